@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
 from folioscope.functions.text import tokens
-from folioscope.plans.scale import checked_join, fits, materialise, running_sum, top_k
+from folioscope.plans.scale import checked_join, fits, materialise, running_sum, spread, top_k
 
 ANY = "*"
 SCORE_DIGITS = 9
@@ -87,7 +87,7 @@ def _statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def build_index(passages: DataFrame, doc: str, pos: str, text: str, subject: str) -> LexicalIndex:
     """Index ``passages``; ``pos`` is an integer position that settles ties."""
-    index = index_passages(passages, doc, pos, text, subject)
+    index = index_passages(spread(passages.select(*{doc, pos, text, subject})), doc, pos, text, subject)
     return LexicalIndex(index, *_statistics(index))
 
 
@@ -187,7 +187,7 @@ def search(
         return best
     best = materialise(best, "bm25")
     full = best.where("score > 0").groupBy("query_id").count().where(F.col("count") >= k)
-    short = queries.join(full, "query_id", "left_anti")
+    short = materialise(queries.join(full, "query_id", "left_anti"), "short")
     if short.isEmpty():
         return best
     zero = _zero_passages(index, short, matched_scores(index, short, colocate), k)

@@ -31,6 +31,16 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when the input has fewer splits than the cluster has cores.
+
+    Large inputs have more splits than cores and pass unchanged; a single small
+    file would otherwise keep heavy per-row work in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checked_join(
     big: DataFrame,
     small: DataFrame,
@@ -69,13 +79,14 @@ def carry_last(
     value: str,
     upto: str = "last_value",
     before: str | None = None,
+    first: str | None = None,
     order: Sequence[str] = (),
     width: int = BLOCK,
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row (and strictly before it).
 
-    ``position`` is an integer; ``order`` breaks ties among equal positions. The
-    first row of a group has a null ``before``. Work per task is bounded by the
+    ``position`` is an integer; ``order`` breaks ties among equal positions.
+    ``first`` names a flag for the first row of a group. Work per task is bounded by the
     rows of one block, and the carried summary has one row per block.
     """
     keys = list(keys)
@@ -87,6 +98,8 @@ def carry_last(
     summary = base.groupBy(*keys, "_blk").agg(F.max_by(F.col(value), present).alias("_tail"))
     across = _over(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.withColumn("_carry", F.last("_tail", ignorenulls=True).over(across)).drop("_tail")
+    if first:
+        carry = carry.withColumn("_earlier", F.count(F.lit(1)).over(across))
 
     out = base.withColumn(
         "_upto", F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -95,7 +108,11 @@ def carry_last(
         out = out.withColumn(
             "_before", F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
         )
+    if first:
+        out = out.withColumn("_row", F.row_number().over(inside))
     out = _with_carry(out, carry, keys)
+    if first:
+        out = out.withColumn(first, (F.col("_row") == 1) & (F.col("_earlier") == 0)).drop("_row", "_earlier")
     out = out.withColumn(upto, F.coalesce("_upto", "_carry"))
     if before:
         out = out.withColumn(before, F.coalesce("_before", "_carry")).drop("_before")
