@@ -139,7 +139,6 @@ def chapter_override_fill(spark, sf):
 
 # --- boundaries in the text of a book ---------------------------------------------------
 
-_HEADED = "CASE WHEN i % 3 = 1 THEN concat('  Topic Number ', i, ' eLearn.Punjab', chr(10), line, chr(10)) ELSE concat(line, chr(10)) END"
 _BOOK_SQL = rf"""
     book AS (SELECT doc_id, list_transform(range(0, len(ls)), lambda i: CASE WHEN i % 3 = 1
                  THEN concat('  Topic Number ', i, ' eLearn.Punjab', chr(10), ls[i + 1], chr(10)) ELSE concat(ls[i + 1], chr(10)) END) AS page_texts
@@ -197,8 +196,7 @@ def _anchor_pattern(page: str) -> str:
         two AS (SELECT *, CASE WHEN p1 <> '' AND regexp_matches(r, p1) THEN cur + instr(r, regexp_extract(r, p1)) - 1 END AS o1 FROM rest),
         found AS (SELECT doc_id, 0 AS n, o0 AS o, 'One' AS chapter FROM two WHERE o0 IS NOT NULL
                   UNION ALL SELECT doc_id, 1, o1, 'Two' FROM two WHERE o1 IS NOT NULL),
-        kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq FROM
-                 (SELECT * FROM found QUALIFY o IS DISTINCT FROM lead(o) OVER (PARTITION BY doc_id ORDER BY n)))
+        kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq FROM found)
         SELECT doc_id, seq, o::BIGINT AS "offset", chapter FROM txt LEFT JOIN kept USING (doc_id)""",
 )
 def chapter_anchor_boundaries(spark, sf):

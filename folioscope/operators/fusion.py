@@ -61,12 +61,18 @@ def hybrid(
 ) -> DataFrame:
     """Fused top ``k`` of BM25 and nearest neighbours, each taken to depth ``2k``.
 
-    ``questions`` has ``query_id, text, subject, vector``; ids of the index and of
-    ``vectors`` (``id, vector, scope``) are the same kind. Both arms honour the subject.
+    ``questions`` has ``query_id, text, subject, vector``; the documents of the index
+    and the ids of ``vectors`` (``id, vector, scope``) are the same ids and are
+    compared as strings. Both arms honour the subject.
     """
     lexical = search(index, questions.select("query_id", "text", "subject"), 2 * k)
     near = knn(vectors, questions.select("query_id", "vector", F.col("subject").alias("scope")), 2 * k)
-    return fuse({"lexical": lexical.withColumnRenamed("doc", "id"), "vector": near}, k)
+    text_id = lambda column: F.col(column).cast("string").alias("id")
+    arms = {
+        "lexical": lexical.select("query_id", text_id("doc"), "rank"),
+        "vector": near.select("query_id", text_id("id"), "rank"),
+    }
+    return fuse(arms, k)
 
 
 def overlap_scorer(question: Column, passage: Column) -> Column:

@@ -18,7 +18,7 @@ VECTORS = "chunk_id STRING, embedding ARRAY<FLOAT>, text STRING, subject STRING,
 
 QUESTION = "STRUCT<id: BIGINT, question: STRING, explanation: STRING, options: ARRAY<STRING>, correct_answer: STRING>"
 
-QUESTION_FILE = f"MAP<STRING, STRUCT<name: STRING, subject: STRING, questions: ARRAY<{QUESTION}>>>"
+TEST = f"STRUCT<name: STRING, subject: STRING, questions: ARRAY<{QUESTION}>>"
 
 QUESTIONS = "key STRING, subject STRING, question STRING, options ARRAY<STRING>, correct_answer STRING"
 
