@@ -66,6 +66,7 @@ def main() -> None:
         else:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -12,10 +12,14 @@ from folioscope.operators import lexical
 from folioscope.plans.scale import running_sum, scratch_path
 
 SUBJECT_SQL = "['en', 'fr', 'de', 'es'][1 + item_id % 4]"
-SUBJECT = F.element_at(F.array(*map(F.lit, ["en", "fr", "de", "es"])), (F.col("item_id") % 4 + 1).cast("int"))
 TOP = 10
 
 
+def item_subject():
+    """The subject a benchmark item is asked under."""
+    return F.element_at(F.array(*map(F.lit, ["en", "fr", "de", "es"])), (F.col("item_id") % 4 + 1).cast("int"))
+
+
 def index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
     """The stored index of the documents, built on first use."""
 
@@ -75,7 +79,7 @@ def bm25_topk(spark, sf):
     "WITH " + sql.bm25(f"SELECT item_id AS query_id, text, {SUBJECT_SQL} AS subject FROM benchmark", TOP) + REPORT_SQL,
 )
 def bm25_by_subject(spark, sf):
-    return _report(lexical.search(index(spark, sf), benchmark_queries(spark, sf, SUBJECT), TOP))
+    return _report(lexical.search(index(spark, sf), benchmark_queries(spark, sf, item_subject()), TOP))
 
 
 @query(

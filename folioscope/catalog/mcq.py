@@ -125,7 +125,7 @@ def paper_question_counts(spark, sf):
 
 
 def worded(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("w"))
 
 
 _WORDS_SQL = f"(SELECT doc_id, {sql.words('text')} AS w FROM documents)"

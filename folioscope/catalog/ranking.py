@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.catalog import sql
-from folioscope.catalog.lexical import SUBJECT, SUBJECT_SQL, benchmark_queries, index
+from folioscope.catalog.lexical import SUBJECT_SQL, benchmark_queries, index, item_subject
 from folioscope.catalog.registry import built_once, query, table
 from folioscope.operators import fusion
 from folioscope.plans.scale import checked_join, materialise
@@ -27,7 +27,7 @@ def vectors(spark, sf):
 
 
 def questions(spark, sf):
-    asked = benchmark_queries(spark, sf, SUBJECT)
+    asked = benchmark_queries(spark, sf, item_subject())
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return asked.join(vecs, "query_id", "left")
 

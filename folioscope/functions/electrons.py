@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
+from folioscope.functions.text import let
 
 
 def _orbitals(letter: Column) -> Column:
@@ -49,12 +50,16 @@ def total_unpaired(shells: Column) -> Column:
 
 def annotate(text: Column) -> Column:
     """Append the number of unpaired electrons to a configuration; other text is unchanged."""
-    shells = subshells(text)
-    first_d = F.get(F.filter(shells, lambda t: t["letter"] == "d"), F.lit(0))["electrons"]
-    extra = (
-        F.when(first_d == 5, "; all five d orbitals contain unpaired electrons")
-        .when(first_d == 10, "; all five d orbitals are fully paired")
-        .otherwise("")
-    )
-    note = F.concat(F.lit(" ("), total_unpaired(shells).cast("string"), F.lit(" unpaired electrons total"), extra, F.lit(")"))
-    return F.when(F.size(shells) > 0, F.concat(text, note)).otherwise(text)
+
+    def noted(shells):
+        first_d = F.get(F.filter(shells, lambda t: t["letter"] == "d"), F.lit(0))["electrons"]
+        extra = (
+            F.when(first_d == 5, "; all five d orbitals contain unpaired electrons")
+            .when(first_d == 10, "; all five d orbitals are fully paired")
+            .otherwise("")
+        )
+        total = total_unpaired(shells).cast("string")
+        note = F.concat(F.lit(" ("), total, F.lit(" unpaired electrons total"), extra, F.lit(")"))
+        return F.when(F.size(shells) > 0, F.concat(text, note)).otherwise(text)
+
+    return let(subshells(text), noted)

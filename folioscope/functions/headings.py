@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
-from folioscope.functions.text import strip, words
+from folioscope.functions.text import let, strip, words
 
 
 def is_structural(candidate: Column) -> Column:
@@ -18,12 +18,14 @@ def is_structural(candidate: Column) -> Column:
 
 def is_garbled(candidate: Column) -> Column:
     """Mostly one- and two-character words, or too few letters."""
-    parts = words(candidate)
-    short = F.size(F.filter(parts, lambda w: F.length(w) <= 2))
+
+    def mostly_short(parts):
+        short = F.size(F.filter(parts, lambda w: F.length(w) <= 2))
+        return (F.size(parts) > 0) & (short / F.size(parts) > 0.5)
+
     letters = F.length(F.regexp_replace(candidate, r"[^\p{L}]", ""))
-    return ((F.size(parts) > 0) & (short / F.size(parts) > 0.5)) | (
-        (F.length(candidate) > 0) & (letters / F.length(candidate) < 0.6)
-    )
+    few_letters = (F.length(candidate) > 0) & (letters / F.length(candidate) < 0.6)
+    return let(words(candidate), mostly_short) | few_letters
 
 
 def is_prose(candidate: Column) -> Column:
@@ -35,9 +37,12 @@ def is_heading(candidate: Column) -> Column:
     return ~(is_prose(candidate) | is_structural(candidate) | is_garbled(candidate))
 
 
-def _tier(page: Column, pattern: str, group: int, label: Column) -> Column:
-    candidate = F.regexp_extract(page, pattern, group)
-    return F.when(page.rlike(pattern) & is_heading(candidate), label)
+def _tier(page: Column, pattern: str, group: int, label) -> Column:
+    """``label(candidate)`` when the pattern occurs and its first match is a heading."""
+    found = let(
+        F.regexp_extract(page, pattern, group), lambda candidate: F.when(is_heading(candidate), label(candidate))
+    )
+    return F.when(page.rlike(pattern), found)
 
 
 def page_heading(page: Column) -> Column:
@@ -46,19 +51,13 @@ def page_heading(page: Column) -> Column:
     Only the first match of each tier is tried.
     """
     number = F.regexp_extract(page, fixed.NUMBERED_SECTION, 1)
-    title = F.regexp_extract(page, fixed.NUMBERED_SECTION, 2)
     return F.coalesce(
-        _tier(page, fixed.RUNNING_HEADER, 1, strip(F.regexp_extract(page, fixed.RUNNING_HEADER, 1))),
-        _tier(page, fixed.NUMBERED_SECTION, 2, F.concat(number, F.lit(". "), strip(title))),
-        _tier(page, fixed.BARE_TITLE, 1, strip(F.regexp_extract(page, fixed.BARE_TITLE, 1))),
+        _tier(page, fixed.RUNNING_HEADER, 1, strip),
+        _tier(page, fixed.NUMBERED_SECTION, 2, lambda title: F.concat(number, F.lit(". "), strip(title))),
+        _tier(page, fixed.BARE_TITLE, 1, strip),
     )
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` several times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def flexible_pattern(label: Column, limit: int | None = None) -> Column:
     """Pattern for the words of ``label`` with any white space between them."""
     parts = words(label)
@@ -102,10 +101,12 @@ def _locate(text: Column, items: Column, pattern_of, pinned) -> Column:
 
 def _keep_last_of_equal(found: Column) -> Column:
     """Of consecutive entries at one offset keep the last one."""
-    return F.filter(
-        found,
-        lambda entry, i: (i + 1 == F.size(found)) | (entry["offset"] != F.get(found, i + 1)["offset"]),
-    )
+
+    def keep(entries):
+        is_last = lambda entry, i: (i + 1 == F.size(entries)) | (entry["offset"] != F.get(entries, i + 1)["offset"])
+        return F.filter(entries, is_last)
+
+    return let(found, keep)
 
 
 def locate_labels(text: Column, transitions: Column) -> Column:

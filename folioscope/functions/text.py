@@ -12,6 +12,15 @@ from folioscope.functions import fixed
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` several times.
+
+    Spark shares repeated expressions only outside lambdas; inside one, a repeated
+    array expression would run again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sub(pattern: str, replacement: str = ""):
     return lambda c: F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
 

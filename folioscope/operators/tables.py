@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
 from folioscope.functions.electrons import annotate
-from folioscope.functions.text import strip
+from folioscope.functions.text import let, strip
 
 
 def flat_text(rows: Column) -> Column:
@@ -42,12 +42,13 @@ def row_facts(grids: DataFrame, rows: str = "rows", page: str = "page_text", sub
     """
     others = [c for c in grids.columns if c not in (rows, page)]
     topic = page_topic(F.col(page), F.col(subject))
-    usable = grids.where(is_usable(F.col(rows))).select(
-        *others, topic.alias("_topic"), F.posexplode_outer(rows).alias("row_ix", "_cells")
-    )
-    tidy = F.transform("_cells", lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
-    read = usable.where(F.col("_cells").isNotNull()).withColumn("_tidy", tidy).where(~is_header(F.col("_tidy")))
-    filled = F.filter("_tidy", lambda c: c != "")
-    read = read.withColumn("_filled", filled).where(F.size("_filled") >= 2)
+    data = let(F.col(rows), lambda grid: F.when(is_usable(grid), grid))
+    read = grids.select(*others, topic.alias("_topic"), F.posexplode_outer(data).alias("row_ix", "_cells"))
+
+    def filled(cells):
+        tidy = F.transform(cells, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
+        return let(tidy, lambda t: F.when(~is_header(t), F.filter(t, lambda c: c != "")))
+
+    facts = read.where(F.col("_cells").isNotNull()).withColumn("_filled", filled(F.col("_cells"))).where(F.size("_filled") >= 2)
     text = F.concat(F.col("_topic"), F.lit(" — "), F.array_join(F.transform("_filled", annotate), " | "))
-    return read.select(*others, F.col("row_ix").cast("long").alias("row_ix"), text.alias("text"))
+    return facts.select(*others, F.col("row_ix").cast("long").alias("row_ix"), text.alias("text"))
