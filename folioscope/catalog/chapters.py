@@ -132,9 +132,9 @@ def _starts_sql() -> str:
 def chapter_override_fill(spark, sf):
     docs = table(spark, sf, "documents").where(F.col("source").isin("src3", "src7")).select("doc_id", "source", "text")
     numbered = running_sum(docs, ["source"], "doc_id", F.lit(1), "page_index")
-    book = numbered.select(F.expr(_NAMED).alias("filename"), F.col("source").alias("book_id"), "page_index", "text")
+    book = numbered.select(F.expr(_NAMED).alias("filename"), F.expr(_NAMED).alias("book_id"), "page_index", "text")
     filled = chapters.fill_labels(chapters.raw_labels(book, chapters.chapter_starts(spark)))
-    return filled.select("filename", "page_index", "chapter")
+    return filled.select(F.col("book_id").alias("filename"), "page_index", "chapter")
 
 
 # --- boundaries in the text of a book ---------------------------------------------------

@@ -88,7 +88,7 @@ def bm25_by_subject(spark, sf):
 )
 def bm25_no_filter(spark, sf):
     none = F.lit(None).cast("string")
-    return _report(lexical.search(index(spark, sf), benchmark_queries(spark, sf, none), TOP, colocate=True))
+    return _report(lexical.search(index(spark, sf), benchmark_queries(spark, sf, none), TOP, by_term=False))
 
 
 GROUPS = [["tion", "ment"], ["heit", "ent"], ["able", "est"]]

@@ -33,11 +33,13 @@ def raw_labels(pages: DataFrame, starts: DataFrame | None = None) -> DataFrame:
 
 
 def fill_labels(labelled: DataFrame, width: int = BLOCK) -> DataFrame:
-    """Carry the last label forward inside each book: adds ``chapter`` and ``previous``.
+    """Carry the last label forward inside each book: ``book_id, page_index, label, chapter, previous``.
 
-    ``previous`` is the chapter of the page before, null on the first page.
+    ``previous`` is the chapter of the page before, null on the first page. Only
+    these columns are shuffled; page texts are joined back by page where needed.
     """
-    filled = carry_last(labelled, ["book_id"], "page_index", "label", "chapter", "previous", "_first", width=width)
+    narrow = labelled.select("book_id", "page_index", "label")
+    filled = carry_last(narrow, ["book_id"], "page_index", "label", "chapter", "previous", "_first", width=width)
     front = F.lit(fixed.FRONT_MATTER)
     return (
         filled.withColumn("chapter", F.coalesce("chapter", front))

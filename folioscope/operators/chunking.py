@@ -16,6 +16,8 @@ from folioscope.functions.headings import chapter_at
 from folioscope.functions.text import chunk_id, strip
 from folioscope.plans.scale import top_k
 
+OUTPUT_ROWS = 8192
+
 
 def _others(df: DataFrame, text: str) -> list[str]:
     return [c for c in df.columns if c != text]
@@ -144,19 +146,24 @@ def recursive_chunks(df: DataFrame, text: str = "text", size: int = 450, overlap
     )
     arrow = to_arrow_schema(schema)
 
+    def emit(batch, source, ix, out, starts):
+        keep = pa.array(source, pa.int64())
+        columns = [batch.column(c).take(keep) for c in others]
+        columns += [pa.array(ix, pa.int64()), pa.array(out, pa.string()), pa.array(starts, pa.int64())]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source, ix, out, starts = [], [], [], []
-            for row, value in enumerate(batch.column(text).to_pylist()):
-                for i, (chunk, start) in enumerate(chunks_with_starts(value or "", size, overlap)):
-                    source.append(row)
-                    ix.append(i)
-                    out.append(chunk)
-                    starts.append(start)
-            keep = pa.array(source, pa.int64())
-            columns = [batch.column(c).take(keep) for c in others]
-            columns += [pa.array(ix, pa.int64()), pa.array(out, pa.string()), pa.array(starts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            found: tuple[list, ...] = ([], [], [], [])
+            for row, value in enumerate(batch.column(text)):
+                for i, (chunk, start) in enumerate(chunks_with_starts(value.as_py() or "", size, overlap)):
+                    for column, item in zip(found, (row, i, chunk, start)):
+                        column.append(item)
+                    if len(found[0]) == OUTPUT_ROWS:
+                        yield emit(batch, *found)
+                        found = ([], [], [], [])
+            if found[0]:
+                yield emit(batch, *found)
 
     return df.select(*others, text).mapInArrow(run, schema)
 

@@ -1,8 +1,9 @@
 """Lexical ranking: a term index over passages and BM25 top-k for sets of queries.
 
-The index is document-major: one row per passage with its length and its term
-counts, computed inside the row, so that building it shuffles nothing. Corpus
-statistics are kept per subject, because a query restricted to a subject is
+The index holds the passages twice: one row per passage with its length and its
+term counts, computed inside the row without a shuffle, and the same counts as
+postings in term order. A few questions read the postings of their terms only; a
+large set of questions reads whole passages. Corpus statistics are kept per subject, because a query restricted to a subject is
 scored against the statistics of that subject alone. The pseudo-subject
 ``ANY`` carries the statistics of the whole corpus for queries without one.
 """
@@ -17,33 +18,45 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
 from folioscope.functions.text import tokens
-from folioscope.plans.scale import checked_join, fits, materialise, running_sum, spread, top_k
+from folioscope.plans.scale import checked_join, materialise, running_sum, spread, top_k
 
 ANY = "*"
 SCORE_DIGITS = 9
-COLOCATE_QUERIES = 256
+SUBJECT_LIST = 1000
+TERM_LIST = 2000
+PREFIX = 10_000
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``passages``: doc, pos, subject, dl, terms; ``terms``: subject, term, df; ``corpora``: subject, n_docs, avgdl."""
+    """The parts of an index.
+
+    ``passages``: doc, pos, subject, dl, terms; ``postings``: doc, pos, subject, dl, term, tf;
+    ``terms``: subject, term, df; ``corpora``: subject, n_docs, avgdl, mean_idf.
+    """
 
     passages: DataFrame
+    postings: DataFrame
     terms: DataFrame
     corpora: DataFrame
 
     def save(self, path: str) -> LexicalIndex:
-        """Write the index, statistics last so that they read the written passages."""
+        """Write the index; each part is computed from the parts already written."""
         spark = self.passages.sparkSession
-        self.passages.write.parquet(f"{path}/passages")
-        terms, corpora = _statistics(spark.read.parquet(f"{path}/passages"))
-        terms.write.parquet(f"{path}/terms")
+        self.passages.sortWithinPartitions("subject").write.parquet(f"{path}/passages")
+        passages = spark.read.parquet(f"{path}/passages")
+        # a hot term is split too, because the range goes on by passage
+        ordered = postings(passages).repartitionByRange("term", "subject", "doc").sortWithinPartitions("term", "subject")
+        ordered.write.parquet(f"{path}/postings")
+        _term_statistics(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
+        corpora = _corpus_statistics(passages, spark.read.parquet(f"{path}/terms"))
         corpora.coalesce(1).write.parquet(f"{path}/corpora")
         return LexicalIndex.load(spark, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("passages", "terms", "corpora")))
+        parts = ("passages", "postings", "terms", "corpora")
+        return LexicalIndex(*(spark.read.parquet(f"{path}/{part}") for part in parts))
 
 
 def term_counts(token_array: str) -> Column:
@@ -75,29 +88,42 @@ def postings(index: DataFrame) -> DataFrame:
     return index.select("doc", "pos", "subject", "dl", F.inline_outer("terms")).where(F.col("term").isNotNull())
 
 
-def _statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    terms = postings(index).groupBy("subject", "term").agg(F.count(F.lit(1)).alias("df"))
+def _term_statistics(listed: DataFrame) -> DataFrame:
+    terms = listed.groupBy("subject", "term").agg(F.count(F.lit(1)).alias("df"))
     whole = terms.groupBy("term").agg(F.sum("df").alias("df")).select(F.lit(ANY).alias("subject"), "term", "df")
+    return terms.unionByName(whole)
+
+
+def _raw_idf() -> Column:
+    n, df = F.col("n_docs"), F.col("df")
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def _corpus_statistics(index: DataFrame, terms: DataFrame) -> DataFrame:
     sizes = index.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("n_tokens"))
     total = sizes.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    corpora = sizes.unionByName(total.select(F.lit(ANY).alias("subject"), "n_docs", "n_tokens"))
-    corpora = corpora.select("subject", "n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))
-    return terms.unionByName(whole), corpora
+    sizes = sizes.unionByName(total.select(F.lit(ANY).alias("subject"), "n_docs", "n_tokens"))
+    mean = terms.join(sizes, "subject").groupBy("subject").agg(F.avg(_raw_idf()).alias("mean_idf"))
+    avgdl = (F.col("n_tokens") / F.col("n_docs")).alias("avgdl")
+    return sizes.join(mean, "subject", "left").select("subject", "n_docs", avgdl, "mean_idf")
 
 
 def build_index(passages: DataFrame, doc: str, pos: str, text: str, subject: str) -> LexicalIndex:
     """Index ``passages``; ``pos`` is an integer position that settles ties."""
     index = index_passages(spread(passages.select(*{doc, pos, text, subject})), doc, pos, text, subject)
-    return LexicalIndex(index, *_statistics(index))
+    listed = postings(index)
+    terms = _term_statistics(listed)
+    return LexicalIndex(index, listed, terms, _corpus_statistics(index, terms))
+
+
+def _floored_idf() -> Column:
+    """Negative values give way to a share of the mean over the vocabulary."""
+    return F.when(_raw_idf() < 0, F.col("mean_idf") * fixed.BM25_EPSILON).otherwise(_raw_idf())
 
 
 def idf(index: LexicalIndex) -> DataFrame:
-    """``subject, term, df, idf`` with negative values replaced by a share of the mean."""
-    n, df = F.col("n_docs"), F.col("df")
-    raw = index.terms.join(index.corpora, "subject").withColumn("raw_idf", F.log(n - df + 0.5) - F.log(df + 0.5))
-    floor = raw.groupBy("subject").agg((F.avg("raw_idf") * fixed.BM25_EPSILON).alias("floor_idf"))
-    value = F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf"))
-    return raw.join(floor, "subject").select("subject", "term", "df", value.alias("idf"))
+    """``subject, term, df, idf`` of the whole vocabulary."""
+    return index.terms.join(index.corpora, "subject").select("subject", "term", "df", _floored_idf().alias("idf"))
 
 
 def _scope() -> Column:
@@ -111,38 +137,42 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """``query_id, subject, term, weight, avgdl``: what each query term adds per unit of saturated count.
+    """``query_id, subject, term, weight, avgdl``: what each query term adds per unit of saturated count."""
+    wanted = query_terms(queries)
+    known = checked_join(index.terms, wanted, ["subject", "term"], spread="term").join(index.corpora, "subject")
+    return known.select("query_id", "subject", "term", (F.col("qtf") * _floored_idf()).alias("weight"), "avgdl")
+
+
+def _few(weights: DataFrame, column: str, limit: int) -> list[str] | None:
+    """The distinct values of a column when there are at most ``limit``."""
+    values = [r[0] for r in weights.select(column).distinct().limit(limit + 1).collect()]
+    return values if len(values) <= limit else None
+
+
+def _in_scope(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Rows of the subjects asked for, once more under ``ANY`` when a query has no subject."""
+    subjects = _few(weights, "subject", SUBJECT_LIST)
+    if subjects is not None and ANY not in subjects:
+        return rows.where(F.col("subject").isin(subjects))
+    if subjects is not None or not weights.where(F.col("subject") == ANY).isEmpty():
+        return rows.withColumn("subject", F.explode(F.array("subject", F.lit(ANY))))
+    return rows
 
-    The idf is computed for the terms of the queries only; the mean for the
-    floor needs every term, but only one number per subject.
+
+def matched_scores(index: LexicalIndex, weights: DataFrame, by_term: bool | None = None) -> DataFrame:
+    """``query_id, doc, pos, score`` of every passage that shares a term with a query.
+
+    ``by_term`` reads the postings of the query terms and shuffles the summed
+    pairs. Otherwise whole passages are placed by id, and no pair is shuffled
+    before the top-k. By default the number of distinct terms decides.
     """
-    n, df = F.col("n_docs"), F.col("df")
-    raw = F.log(n - df + 0.5) - F.log(df + 0.5)
-    floor = (
-        index.terms.join(index.corpora, "subject")
-        .groupBy("subject")
-        .agg((F.avg(raw) * fixed.BM25_EPSILON).alias("floor_idf"))
-    )
-    wanted = query_terms(queries)
-    known = checked_join(index.terms, wanted, ["subject", "term"], spread="term")
-    known = known.join(index.corpora, "subject").join(floor, "subject")
-    value = F.when(raw < 0, F.col("floor_idf")).otherwise(raw)
-    return known.select("query_id", "subject", "term", (F.col("qtf") * value).alias("weight"), "avgdl")
-
-
-def matched_scores(index: LexicalIndex, queries: DataFrame, colocate: bool | None = None) -> DataFrame:
-    """``query_id, doc, pos, score`` of every passage that shares a term with a query."""
-    if colocate is None:
-        colocate = not fits(queries, COLOCATE_QUERIES)
-    scopes = queries.select(_scope().alias("subject")).distinct()
-    rows = checked_join(index.passages, scopes.where(F.col("subject") != ANY), ["subject"], spread="doc", how="left_semi")
-    if not scopes.where(F.col("subject") == ANY).isEmpty():
-        rows = index.passages.withColumn("subject", F.explode(F.array("subject", F.lit(ANY))))
-    if colocate:
-        # many queries: place whole passages by id once, and no pair is shuffled before the top-k
-        rows = rows.repartition("doc")
-    weights = query_weights(index, queries)
-    pairs = checked_join(postings(rows), weights, ["subject", "term"], spread="doc")
+    terms = _few(weights, "term", TERM_LIST) if by_term is not False else None
+    if terms is not None or by_term:
+        rows = index.postings if terms is None else index.postings.where(F.col("term").isin(terms))
+        rows = _in_scope(rows, weights)
+    else:
+        rows = postings(_in_scope(index.passages, weights).repartition("doc"))
+    pairs = checked_join(rows, weights, ["subject", "term"], spread="doc")
     tf, dl = F.col("tf"), F.col("dl")
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
@@ -155,15 +185,19 @@ def _zero_passages(index: LexicalIndex, short: DataFrame, scores: DataFrame, k:
     A query needs the first passages of its subject by position, as many as ``k``
     plus its passages below zero; those with a score of their own are taken out.
     """
-    below = scores.where("score < 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_below"))
+    scored = materialise(scores.where("score <> 0").select("query_id", "doc", "score"), "scored")
+    below = scored.where("score < 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_below"))
     reach = (F.coalesce("n_below", F.lit(0)) + k).alias("reach")
     need = short.join(below, "query_id", "left").select("query_id", _scope().alias("subject"), reach)
-    longest = need.groupBy("subject").agg(F.max("reach").alias("longest"))
+    asked = need.select("subject").distinct()
     places = index.passages.select("doc", "pos", F.explode(F.array("subject", F.lit(ANY))).alias("subject"))
-    places = running_sum(places, ["subject"], "pos", F.lit(1), "place")
-    early = places.join(longest, "subject").where(F.col("place") < F.col("longest"))
+    places = checked_join(places, asked, ["subject"], spread="doc", how="left_semi")
+    longest = need.agg(F.max("reach")).first()[0]
+    if longest <= PREFIX:
+        early = top_k(places, ["subject"], [F.asc("pos")], longest, "place").withColumn("place", F.col("place") - 1)
+    else:
+        early = running_sum(places, ["subject"], "pos", F.lit(1), "place").where(F.col("place") < longest)
     wanted = early.join(need, "subject").where(F.col("place") < F.col("reach")).select("query_id", "doc", "pos")
-    scored = scores.where("score <> 0").select("query_id", "doc")
     return wanted.join(scored, ["query_id", "doc"], "left_anti").withColumn("score", F.lit(0.0))
 
 
@@ -172,7 +206,7 @@ def search(
     queries: DataFrame,
     k: int,
     pad: bool = True,
-    colocate: bool | None = None,
+    by_term: bool | None = None,
 ) -> DataFrame:
     """BM25 top ``k`` per query: ``query_id, doc, pos, score, rank``.
 
@@ -182,7 +216,8 @@ def search(
     first, and only the queries that come short of ``k`` are looked at again.
     """
     order = [F.desc("score"), F.asc("pos")]
-    best = top_k(matched_scores(index, queries, colocate), ["query_id"], order, k)
+    weights = materialise(query_weights(index, queries), "weights")
+    best = top_k(matched_scores(index, weights, by_term), ["query_id"], order, k)
     if not pad:
         return best
     best = materialise(best, "bm25")
@@ -190,7 +225,8 @@ def search(
     short = materialise(queries.join(full, "query_id", "left_anti"), "short")
     if short.isEmpty():
         return best
-    zero = _zero_passages(index, short, matched_scores(index, short, colocate), k)
+    lacking = weights.join(short.select("query_id"), "query_id", "left_semi")
+    zero = _zero_passages(index, short, matched_scores(index, lacking, by_term), k)
     return top_k(best.where("score <> 0").drop("rank").unionByName(zero), ["query_id"], order, k)
 
 

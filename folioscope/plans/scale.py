@@ -31,14 +31,20 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+SMALL_INPUT_PER_CORE = 128 << 20
+"""Input bytes per core below which rows are dealt out; this is the usual size of one split."""
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when the input has fewer splits than the cluster has cores.
+    """Deal the rows of a small input out evenly over the cores.
 
-    Large inputs have more splits than cores and pass unchanged; a single small
-    file would otherwise keep heavy per-row work in one task.
+    A large input has a split per core and passes unchanged; a single small file
+    would otherwise keep heavy per-row work in one task. The size comes from
+    plan statistics, so nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_INPUT_PER_CORE else df
 
 
 def checked_join(
@@ -54,11 +60,14 @@ def checked_join(
 
     ``small`` is broadcast when its measured size is within the bound. Otherwise
     both sides are shuffled with a salt taken from ``big[spread]`` (a column that
-    varies inside a hot key), and ``small`` is replicated once per salt.
+    varies inside a hot key), and ``small`` is replicated once per salt. Where
+    ``spread`` is a key itself, keys of ``big`` do not repeat and need no salt.
     """
     keys = list(keys)
     if fits(small, max_rows):
         return big.join(F.broadcast(small), keys, how)
+    if spread in keys:
+        return big.join(small, keys, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
@@ -86,21 +95,15 @@ def carry_last(
     """Last non-null ``value`` at or before each row (and strictly before it).
 
     ``position`` is an integer; ``order`` breaks ties among equal positions.
-    ``first`` names a flag for the first row of a group. Work per task is bounded by the
-    rows of one block, and the carried summary has one row per block.
+    ``first`` names a flag for the first row of a group. Work per task is bounded
+    by the rows of one block, and the carried summary has one row per block. The
+    summary is taken from the windowed rows, which are partitioned by block
+    already, so ``df`` is read and shuffled once; keep it narrow.
     """
     keys = list(keys)
     base = df.withColumn("_blk", _block(position, width))
     by_order = [F.col(c) for c in (position, *order)]
     inside = _over(*keys, "_blk").orderBy(*by_order)
-
-    present = F.when(F.col(value).isNotNull(), F.struct(*by_order))
-    summary = base.groupBy(*keys, "_blk").agg(F.max_by(F.col(value), present).alias("_tail"))
-    across = _over(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.withColumn("_carry", F.last("_tail", ignorenulls=True).over(across)).drop("_tail")
-    if first:
-        carry = carry.withColumn("_earlier", F.count(F.lit(1)).over(across))
-
     out = base.withColumn(
         "_upto", F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
@@ -110,6 +113,13 @@ def carry_last(
         )
     if first:
         out = out.withColumn("_row", F.row_number().over(inside))
+
+    summary = out.groupBy(*keys, "_blk").agg(F.max_by("_upto", F.struct(*by_order)).alias("_tail"))
+    across = _over(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.withColumn("_carry", F.last("_tail", ignorenulls=True).over(across)).drop("_tail")
+    if first:
+        carry = carry.withColumn("_earlier", F.count(F.lit(1)).over(across))
+
     out = _with_carry(out, carry, keys)
     if first:
         out = out.withColumn(first, (F.col("_row") == 1) & (F.col("_earlier") == 0)).drop("_row", "_earlier")
@@ -136,10 +146,10 @@ def running_sum(
     keys = list(keys)
     base = df.withColumn("_blk", _block(position, width)).withColumn("_amount", amount.cast("long"))
     inside = _over(*keys, "_blk").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    summary = base.groupBy(*keys, "_blk").agg(F.sum("_amount").alias("_total"))
+    out = base.withColumn("_inside", F.sum("_amount").over(inside))
+    summary = out.groupBy(*keys, "_blk").agg(F.sum("_amount").alias("_total"))
     across = _over(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.withColumn("_carry", F.sum("_total").over(across)).drop("_total")
-    out = base.withColumn("_inside", F.sum("_amount").over(inside))
     out = _with_carry(out, carry, keys)
     zero = F.lit(0).cast("long")
     return out.withColumn(name, F.coalesce("_inside", zero) + F.coalesce("_carry", zero)).drop(

@@ -55,9 +55,16 @@ class Collection:
             out.write.parquet(self._at((versions[-1] if versions else 0) + 1))
 
     def missing(self, rows: DataFrame) -> DataFrame:
-        """Rows whose id is not stored yet, one per id."""
+        """Rows whose id is not stored yet, one per id.
+
+        The stored ids that also come in are picked out first, so that a small
+        insert never shuffles a large collection.
+        """
         unique = first_of_each_id(rows, [c for c in ("book_id", "chunk_ix") if c in rows.columns] or ["text"])
-        return unique.join(self.read().select("chunk_id"), "chunk_id", "left_anti")
+        known = checked_join(
+            self.read().select("chunk_id"), rows.select("chunk_id").distinct(), ["chunk_id"], spread="chunk_id", how="left_semi"
+        )
+        return unique.join(known, "chunk_id", "left_anti")
 
     def add(self, rows: DataFrame) -> None:
         """Insert embedded rows; ids already present are left alone, so a repeated insert changes nothing."""
