@@ -73,12 +73,26 @@ def checked_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def _block(position: str, width: int) -> Column:
-    return F.floor(F.col(position) / F.lit(width)).cast("long")
+def _grouped(df: DataFrame, keys: Sequence[str], position: str, width: int) -> DataFrame:
+    """Add ``_blk`` and ``_key``, the group and block in one value.
 
+    The later join has two branches over the same shuffle, which Spark runs once
+    when both need the same columns. So the keys travel inside ``_key`` only, and a
+    struct is never null, so that no null filter is inferred for one branch; a null
+    group is a group of its own.
+    """
+    block = F.floor(F.col(position) / F.lit(width)).cast("long")
+    key = F.struct(*[F.col(k) for k in keys], block.alias("_blk")).alias("_key")
+    return df.select(*[c for c in df.columns if c not in keys], key)
+
+
+def _ungrouped(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(f"_key.{c}").alias(c) if c in keys else F.col(c) for c in columns])
 
-def _over(*columns: str):
-    return Window.partitionBy(*columns) if columns else Window.partitionBy()
+
+def _across_blocks(keys: Sequence[str]):
+    group = F.struct(*[F.col(f"_key.{k}") for k in keys]) if keys else F.lit(0)
+    return Window.partitionBy(group).orderBy("_key._blk").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def carry_last(
@@ -100,10 +114,9 @@ def carry_last(
     summary is taken from the windowed rows, which are partitioned by block
     already, so ``df`` is read and shuffled once; keep it narrow.
     """
-    keys = list(keys)
-    base = df.withColumn("_blk", _block(position, width))
+    base = _grouped(df, keys, position, width)
     by_order = [F.col(c) for c in (position, *order)]
-    inside = _over(*keys, "_blk").orderBy(*by_order)
+    inside = Window.partitionBy("_key").orderBy(*by_order)
     out = base.withColumn(
         "_upto", F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
@@ -114,24 +127,20 @@ def carry_last(
     if first:
         out = out.withColumn("_row", F.row_number().over(inside))
 
-    summary = out.groupBy(*keys, "_blk").agg(F.max_by("_upto", F.struct(*by_order)).alias("_tail"))
-    across = _over(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    summary = out.groupBy("_key").agg(F.max_by("_upto", F.struct(*by_order)).alias("_tail"))
+    across = _across_blocks(keys)
     carry = summary.withColumn("_carry", F.last("_tail", ignorenulls=True).over(across)).drop("_tail")
     if first:
         carry = carry.withColumn("_earlier", F.count(F.lit(1)).over(across))
 
-    out = _with_carry(out, carry, keys)
+    out = out.join(carry, "_key", "left")
     if first:
         out = out.withColumn(first, (F.col("_row") == 1) & (F.col("_earlier") == 0)).drop("_row", "_earlier")
     out = out.withColumn(upto, F.coalesce("_upto", "_carry"))
     if before:
         out = out.withColumn(before, F.coalesce("_before", "_carry")).drop("_before")
-    return out.drop("_upto", "_carry", "_blk")
-
-
-def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equal keys, so the window's partitioning of ``rows`` serves the join too; keys are non-null."""
-    return rows.join(carry, [*keys, "_blk"], "left")
+    extra = [c for c in (upto, before, first) if c and c not in df.columns]
+    return _ungrouped(out, [*df.columns, *extra], keys)
 
 
 def running_sum(
@@ -143,18 +152,15 @@ def running_sum(
     width: int = BLOCK,
 ) -> DataFrame:
     """Exclusive running sum of ``amount`` in ``position`` order inside each group."""
-    keys = list(keys)
-    base = df.withColumn("_blk", _block(position, width)).withColumn("_amount", amount.cast("long"))
-    inside = _over(*keys, "_blk").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    base = _grouped(df, keys, position, width).withColumn("_amount", amount.cast("long"))
+    inside = Window.partitionBy("_key").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     out = base.withColumn("_inside", F.sum("_amount").over(inside))
-    summary = out.groupBy(*keys, "_blk").agg(F.sum("_amount").alias("_total"))
-    across = _over(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.withColumn("_carry", F.sum("_total").over(across)).drop("_total")
-    out = _with_carry(out, carry, keys)
+    summary = out.groupBy("_key").agg(F.sum("_amount").alias("_total"))
+    carry = summary.withColumn("_carry", F.sum("_total").over(_across_blocks(keys))).drop("_total")
+    out = out.join(carry, "_key", "left")
     zero = F.lit(0).cast("long")
-    return out.withColumn(name, F.coalesce("_inside", zero) + F.coalesce("_carry", zero)).drop(
-        "_inside", "_carry", "_blk", "_amount"
-    )
+    out = out.withColumn(name, F.coalesce("_inside", zero) + F.coalesce("_carry", zero))
+    return _ungrouped(out, [*df.columns, name], keys)
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
