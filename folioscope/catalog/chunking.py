@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.catalog import sql
 from folioscope.catalog.registry import query, table
 from folioscope.operators import chunking
+from folioscope.plans.pipeline import number_rows
 from folioscope.plans.scale import spread
 
 SIZE, OVERLAP = 1000, 200
@@ -120,3 +121,12 @@ def chunk_books_by_method(spark, sf):
         counts = chunks.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
         parts.append(counts.select(F.lit(method).alias("method"), "book_id", "n_chunks", "n_chars"))
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "corpus_positions",
+    f"""WITH {FIXED_SQL} SELECT doc_id, chunk_ix, row_number() OVER (ORDER BY lang, doc_id, chunk_ix) - 1 AS pos FROM fixed""",
+)
+def corpus_positions(spark, sf):
+    chunks = chunking.fixed_chunks(docs(spark, sf), "text", SIZE, OVERLAP).select("lang", "doc_id", "chunk_ix")
+    return number_rows(chunks, ["lang", "doc_id", "chunk_ix"]).select("doc_id", "chunk_ix", "pos")
