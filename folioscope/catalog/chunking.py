@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.catalog import sql
 from folioscope.catalog.registry import query, table
 from folioscope.operators import chunking
-from folioscope.plans.pipeline import number_rows
+from folioscope.plans.jobs import number_rows
 from folioscope.plans.scale import spread
 
 SIZE, OVERLAP = 1000, 200

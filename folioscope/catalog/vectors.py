@@ -8,7 +8,7 @@ from folioscope.catalog import sql
 from folioscope.catalog.registry import built_once, query, table
 from folioscope.functions.vectors import cosine, squared_l2
 from folioscope.operators import vectors
-from folioscope.plans.scale import scratch_path
+from folioscope.plans.scale import scratch_path, spread
 
 K = 10
 CELLS = 16
@@ -103,15 +103,34 @@ def knn_approximate(spark, sf):
     return _report(vectors.knn_in_cells(cells, pivots, asked, K, PROBES))
 
 
-@query("embed_passages")
+def _embedding_sql(name: str, ident: str, text: str) -> str:
+    """The offline encoder in SQL: a byte of each token's hash picks the place, another the sign."""
+    return f"""WITH t AS (SELECT {ident}, unnest(string_split_regex(lower({text}), '\\s+')) AS token FROM {name}),
+        h AS (SELECT {ident}, ('0x' || substring(md5(token), 1, 2))::INT % 64 AS i,
+                     CASE WHEN ('0x' || substring(md5(token), 9, 2))::INT % 2 = 1 THEN 1 ELSE -1 END AS v FROM t WHERE token <> ''),
+        e AS (SELECT {ident}, i, sum(v) AS v FROM h GROUP BY ALL),
+        n AS (SELECT {ident}, sqrt(sum(v * v)) AS norm, map_from_entries(list((i, v))) AS m FROM e GROUP BY ALL)
+        SELECT {ident}, 64::BIGINT AS dimensions, coalesce(CASE WHEN norm > 0 THEN m[0] / norm END, 0)::FLOAT::DOUBLE AS first,
+               array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN m[i] > 0 THEN '+' WHEN m[i] < 0 THEN '-' ELSE '0' END), '') AS signs
+        FROM {name} LEFT JOIN n USING ({ident})"""
+
+
+def _embedding_report(rows, ident, column):
+    sign = lambda v: F.when(v > 0, "+").when(v < 0, "-").otherwise("0")
+    return rows.select(
+        ident,
+        F.size(column).cast("long").alias("dimensions"),
+        F.get(F.col(column), F.lit(0)).cast("double").alias("first"),
+        F.array_join(F.transform(F.col(column), sign), "").alias("signs"),
+    )
+
+
+@query("embed_passages", _embedding_sql("documents", "doc_id", "text"))
 def embed_passages(spark, sf):
-    """Batch embedding with the offline encoder; unit length is checked in the tests."""
-    docs = vectors.embed(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return docs.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.get("embedding", F.lit(0)), 5).alias("first"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return _embedding_report(vectors.embed(docs, "text"), "doc_id", "embedding")
 
 
-@query("embed_queries")
+@query("embed_queries", _embedding_sql("benchmark", "item_id", "'Represent this sentence for searching relevant passages: ' || text"))
 def embed_queries(spark, sf):
-    """Query-side embedding with the instruction prefix."""
-    items = vectors.embed_queries(table(spark, sf, "benchmark"), "text")
-    return items.select("item_id", F.size("vector").alias("dimensions"), F.round(F.get("vector", F.lit(0)), 5).alias("first"))
+    return _embedding_report(vectors.embed_queries(table(spark, sf, "benchmark"), "text"), "item_id", "vector")

@@ -7,8 +7,10 @@ vectors are shuffled and only ``k`` rows per query and task reach the final sort
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -176,18 +178,30 @@ def knn_in_cells(cells: DataFrame, pivots: DataFrame, queries: DataFrame, k: int
 class HashingEncoder:
     """Deterministic stand-in for an embedding model: hashed token counts at unit length."""
 
-    def __init__(self, dimensions: int = 64, query_prefix: str = ""):
+    CACHE = 1 << 20
+
+    def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
-        self.query_prefix = query_prefix
+        self._places: dict[str, tuple[int, int]] = {}
+
+    def _place(self, token: str) -> tuple[int, int]:
+        found = self._places.get(token)
+        if found is None:
+            h = int.from_bytes(md5(token.encode()).digest()[:8], "little")
+            found = (h % self.dimensions, 1 if (h >> 32) & 1 else -1)
+            if len(self._places) >= self.CACHE:
+                self._places.clear()
+            self._places[token] = found
+        return found
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        from hashlib import md5
-
         out = np.zeros((len(texts), self.dimensions))
         for i, text in enumerate(texts):
-            for token in text.lower().split():
-                h = int.from_bytes(md5(token.encode()).digest()[:8], "little")
-                out[i, h % self.dimensions] += 1.0 if (h >> 32) & 1 else -1.0
+            row = [0] * self.dimensions
+            for token, count in Counter(text.lower().split()).items():
+                place, sign = self._place(token)
+                row[place] += sign * count
+            out[i] = row
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from folioscope.operators import chapters, evaluation, generation
-from folioscope.plans import pipeline
+from folioscope.plans import jobs
 from folioscope.plans.timing import Stopwatch, timed
 from folioscope.sources import files
 from folioscope.sources.collection import Collection
@@ -187,7 +187,7 @@ def corpus(spark, sf_dir, tmp_path_factory):
         F.col("source").alias("shelf"), F.col("doc_id").cast("string").alias("book_id"), "text", F.col("lang").alias("subject"), F.lit("g").alias("grade"),
         F.array(F.struct(F.lit(0).alias("offset"), F.lit("Start").alias("chapter"))).alias("chapter_boundaries"),
     )
-    return pipeline.Corpus.build(books.drop("shelf"), str(tmp_path_factory.mktemp("corpus")))
+    return jobs.Corpus.build(books.drop("shelf"), str(tmp_path_factory.mktemp("corpus")))
 
 
 def test_corpus_positions_are_dense(corpus):
@@ -208,23 +208,23 @@ def test_end_to_end_with_resume(spark, corpus, sf_dir, tmp_path):
     def limited():
         def model(prompt):
             if seen.exists():
-                raise pipeline.QuotaReached
+                raise jobs.QuotaReached
             return "The answer is A"
 
         return model
 
-    run = lambda todo: pipeline.answer_choices(corpus, todo, limited)
+    run = lambda todo: jobs.answer_choices(corpus, todo, limited)
     watch = Stopwatch()
     first = work.where("cast(key as int) < 5")
-    assert pipeline.run_resumable(first, path, lambda todo: pipeline.answer_choices(corpus, todo, limited, watch=watch), parts=1)
+    assert jobs.run_resumable(first, path, lambda todo: jobs.answer_choices(corpus, todo, limited, watch=watch), parts=1)
     assert {r.stage for r in watch.table(spark).collect()} == {"retrieval", "rerank"}
     seen.write_text("x")
-    assert not pipeline.run_resumable(work, path, run, parts=2)
+    assert not jobs.run_resumable(work, path, run, parts=2)
     assert files.read_results(spark, path).count() == 5
     seen.unlink()
-    assert pipeline.run_resumable(work, path, run, parts=2)
+    assert jobs.run_resumable(work, path, run, parts=2)
     results = files.read_results(spark, path)
     assert results.count() == 12 and results.select("key").distinct().count() == 12
     assert {(int(r.key) % 2 == 0, r.is_correct) for r in results.collect()} == {(True, True), (False, False)}
     before = results.count()
-    assert pipeline.run_resumable(work, path, lambda todo: 1 / 0, parts=2) and files.read_results(spark, path).count() == before
+    assert jobs.run_resumable(work, path, lambda todo: 1 / 0, parts=2) and files.read_results(spark, path).count() == before
