@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.line_dedup import dedup_lines
+from folioscope.llm.packing import pack_documents
+from folioscope.llm.token_files import read_token_files, write_token_files
+from folioscope.plans.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +54,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return out.select("doc_id", "n_lines", "n_dropped", kept)
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, end_id=2)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_best_two_fit")
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), end_id=1, capacity=4096)
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "piece", "start", "length", digest, "sequence_id", "offset")
