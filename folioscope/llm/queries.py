@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.langid import identify
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.packing import pack_documents
 from folioscope.llm.token_files import read_token_files, write_token_files
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold_of(id_col: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``; a missing id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -68,3 +74,11 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), end_id=1, capacity=4096)
     digest = F.crc32("ids").alias("ids_crc32")
     return packed.select("doc_id", "piece", "start", "length", digest, "sequence_id", "offset")
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = fold_of("doc_id", 4)
+    found = identify(docs, learn=fold != 2, keep=["doc_id"])
+    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
