@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.langid import identify
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.packing import pack_documents
+from folioscope.llm.quality import score_quality
 from folioscope.llm.token_files import read_token_files, write_token_files
 from folioscope.plans.scale import scratch_path
 
@@ -82,3 +83,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = fold_of("doc_id", 4)
     found = identify(docs, learn=fold != 2, keep=["doc_id"])
     return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_quality(docs, labels, learn=fold_of("doc_id", 5) != 0, keep=["doc_id"])
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", predicted)
