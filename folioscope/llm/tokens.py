@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Callable
 from typing import Any
 
@@ -27,7 +28,7 @@ def per_process(key: Any, make: Callable[[], Any]) -> Any:
 
 
 class WordEncoder(dict):
-    """Ids, as little-endian unsigned 32-bit integers, of the chunks between spaces.
+    """Ids, as unsigned 32-bit integers (little-endian machines are assumed), of the chunks between spaces.
 
     The word-BPE tokenizer drops white space before it looks for pieces, so a text's ids are
     its chunks' ids one after another, and a frequent chunk is encoded once per worker. A run
@@ -35,40 +36,50 @@ class WordEncoder(dict):
     chunks go to the model directly. All others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, max_entries: int = 500_000):
+    def __init__(self, path: str, max_entries: int = 300_000):
+        """``max_entries`` bounds each of the two generations kept of chunks and of parts."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_entries = max_entries
         self.parts: dict[str, bytes] = {}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        self.older: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
+        letters = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
+        self.units = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
 
     def _whole(self, chunk: str) -> bytes:
-        return self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-
-    def _word(self, word: str) -> bytes:
-        if word not in self.parts:
-            unit = word if word.isascii() else self.tokenizer.pre_tokenizer.pre_tokenize_str(word)[0][0]
-            self.parts[word] = self._packed([t.id for t in self.tokenizer.model.tokenize(unit)])
-        return self.parts[word]
-
-    def _tail(self, tail: str) -> bytes:
-        if tail not in self.parts:
-            self.parts[tail] = self._whole(tail)
-        return self.parts[tail]
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """A lower-case run of letters as one unit of the model, or a run of punctuation."""
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= self.max_entries:
+                self.older_parts, self.parts = self.parts, {}
+            if part in self.older_parts:
+                ids = self.older_parts[part]
+            elif part[0].isalpha():
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part.translate(self.units))]).tobytes()
+            else:
+                ids = self._whole(part)
+            self.parts[part] = ids
+        return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 64:
-            return self._whole(chunk)
-        if len(self) + len(self.parts) >= self.max_entries:
-            self.clear()
-            self.parts.clear()
-        plain = PLAIN.match(chunk)
-        value = self._word(plain[1].lower()) + (self._tail(plain[2]) if plain[2] else b"") if plain else self._whole(chunk)
-        self[chunk] = value
-        return value
+        if chunk in self.older:
+            ids = self.older[chunk]
+        elif plain := PLAIN.match(chunk):
+            word, tail = plain.groups()
+            ids = self._part(word.lower()) + self._part(tail) if tail else self._part(word.lower())
+        else:
+            ids = self._whole(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.max_entries:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
