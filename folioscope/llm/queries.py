@@ -12,6 +12,7 @@ from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.packing import pack_documents
 from folioscope.llm.quality import score_quality
 from folioscope.llm.token_files import read_token_files, write_token_files
+from folioscope.llm.topk import search, whole_numbers
 from folioscope.plans.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(docs, labels, learn=fold_of("doc_id", 5) != 0, keep=["doc_id"])
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", predicted)
+
+
+TOP_K_SQL = """
+WITH parts AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op2_max_score", TOP_K_SQL)
+def op2_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return search(vectors.where(F.col("vec_id") % 100 == 0), vectors, k=10)
