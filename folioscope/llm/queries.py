@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.hnsw import near_vectors
 from folioscope.llm.langid import identify
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.packing import pack_documents
@@ -112,3 +113,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 def op2_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whole_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
     return search(vectors.where(F.col("vec_id") % 100 == 0), vectors, k=10)
+
+
+@query("op7_hnsw")
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
