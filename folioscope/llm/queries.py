@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.hnsw import near_vectors
+from folioscope.llm.jaccard import similar_documents
 from folioscope.llm.langid import identify
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.packing import pack_documents
@@ -118,3 +119,8 @@ def op2_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_hnsw")
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+@query("op8_part_enum")
+def op8_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
