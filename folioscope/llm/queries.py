@@ -11,7 +11,7 @@ from folioscope.llm.hnsw import near_vectors
 from folioscope.llm.jaccard import similar_documents
 from folioscope.llm.langid import identify
 from folioscope.llm.line_dedup import dedup_lines
-from folioscope.llm.packing import pack_documents
+from folioscope.llm.packing import pieces_of, place
 from folioscope.llm.quality import score_quality
 from folioscope.llm.token_files import read_token_files, write_token_files
 from folioscope.llm.topk import search, whole_numbers
@@ -75,9 +75,9 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_best_two_fit")
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"), end_id=1, capacity=4096)
-    digest = F.crc32("ids").alias("ids_crc32")
-    return packed.select("doc_id", "piece", "start", "length", digest, "sequence_id", "offset")
+    pieces = pieces_of(table(spark, sf_dir, "documents"), end_id=1, capacity=4096)
+    digest = pieces.select("piece_key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digest.join(place(pieces, capacity=4096), "piece_key").drop("piece_key")
 
 
 @query("op9_language_id")
