@@ -13,9 +13,10 @@ from folioscope.llm.langid import identify
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.packing import pieces_of, place
 from folioscope.llm.quality import score_quality
-from folioscope.llm.token_files import read_token_files, write_token_files
+from folioscope.llm.token_files import file_system, read_token_files, write_token_files
 from folioscope.llm.topk import search, whole_numbers
-from folioscope.plans.scale import scratch_path
+from folioscope.llm.warc import audit, copy_archive, merkle_tree, write_archive
+from folioscope.plans.scale import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +125,42 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_part_enum")
 def op8_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+WARC_SQL = """
+SELECT page_id, sha256(coalesce(html, '')) AS payload_sha256
+FROM pages WHERE page_id % 17 = 3 OR page_id % 31 = 7
+"""
+
+
+def damage(index: DataFrame, folder: str, replica: str) -> None:
+    """Bit rot in a replica: one bit of the records of some pages, and zeros over those of others."""
+
+    def run(batches):
+        (fs, root), (to, there) = file_system(folder), file_system(replica)
+        for batch in batches:
+            for file in batch.to_pylist():
+                with fs.open_input_file(f"{root}/{file['file']}") as source:
+                    data = bytearray(source.read())
+                for row in file["rows"]:
+                    if row["page_id"] % 17 == 3:
+                        data[(row["start"] + row["stop"]) // 2] ^= 1 << row["page_id"] % 8
+                    else:
+                        data[row["start"] : row["stop"]] = bytes(row["stop"] - row["start"])
+                with to.open_output_stream(f"{there}/{file['file']}", compression=None) as out:
+                    out.write(bytes(data))
+            yield batch
+
+    chosen = index.where("page_id % 17 = 3 or page_id % 31 = 7")
+    rows = chosen.groupBy("file").agg(F.collect_list(F.struct("page_id", "start", "stop")).alias("rows"))  # a file's records, bounded
+    materialise(rows.mapInArrow(run, rows.schema), "warc-damaged")
+
+
+@query("op5_warc_merkle", WARC_SQL)
+def op5_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose record is damaged in the second replica, which is a copy with known damage."""
+    first, second = (scratch_path(spark, f"warc-{k}") for k in ("first", "second"))
+    index = write_archive(table(spark, sf_dir, "pages"), first)
+    copy_archive(index, first, second)
+    damage(index, first, second)
+    return audit(index, merkle_tree(index, first), merkle_tree(index, second)).select("page_id", "payload_sha256")
