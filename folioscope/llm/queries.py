@@ -11,6 +11,7 @@ from folioscope.llm.hnsw import near_vectors
 from folioscope.llm.jaccard import similar_documents
 from folioscope.llm.langid import identify
 from folioscope.llm.line_dedup import dedup_lines
+from folioscope.llm.mixing import mix
 from folioscope.llm.packing import pieces_of, place
 from folioscope.llm.quality import score_quality
 from folioscope.llm.token_files import file_system, read_token_files, write_token_files
@@ -164,3 +165,10 @@ def op5_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy_archive(index, first, second)
     damage(index, first, second)
     return audit(index, merkle_tree(index, first), merkle_tree(index, second)).select("page_id", "payload_sha256")
+
+
+@query("op4_soft_mixing")
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    mixed = mix(docs, labels, {"good": 0.85, "poor": 0.10, "toxic": 0.05})
+    return mixed.select("doc_id", "source", "n_tokens", "posterior", "rate", "copies")
