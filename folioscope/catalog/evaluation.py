@@ -146,7 +146,7 @@ def rewrite_outcomes(spark, sf):
 def _targets_sql() -> str:
     from folioscope.functions.fixed import SECOND_MODEL_TARGETS
 
-    return ", ".join(f"('{t}', {i})" for t, ids in SECOND_MODEL_TARGETS.items() for i in ids)
+    return ", ".join(f"('{t}', {i})" for t, i in SECOND_MODEL_TARGETS)
 
 
 @query(

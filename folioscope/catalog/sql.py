@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from folioscope.functions import fixed
 
 
@@ -75,3 +77,13 @@ def knn(queries: str, k: int, scoped: bool) -> str:
     knn_ranked AS (
       SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
       FROM dist QUALIFY rank <= {k})"""
+
+
+def pattern(java: str) -> str:
+    """A fixed pattern in the dialect of the SQL twin, which has no classes or line-end flags to choose."""
+    found = re.match(r"\(\?([A-Za-z]+)\)", java)
+    if not found:
+        return java
+    flags = found[1].replace("U", "").replace("d", "")
+    return (f"(?{flags})" if flags else "") + java[found.end() :].replace(r"\uFFFD", "\uFFFD")
+

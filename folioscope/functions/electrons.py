@@ -54,12 +54,12 @@ def annotate(text: Column) -> Column:
     def noted(shells):
         first_d = F.get(F.filter(shells, lambda t: t["letter"] == "d"), F.lit(0))["electrons"]
         extra = (
-            F.when(first_d == 5, "; all five d orbitals contain unpaired electrons")
-            .when(first_d == 10, "; all five d orbitals are fully paired")
+            F.when(first_d == 5, fixed.HALF_FULL_NOTE)
+            .when(first_d == 10, fixed.FULL_NOTE)
             .otherwise("")
         )
         total = total_unpaired(shells).cast("string")
-        note = F.concat(F.lit(" ("), total, F.lit(" unpaired electrons total"), extra, F.lit(")"))
+        note = F.concat(F.lit(" ("), total, F.lit(fixed.UNPAIRED_NOTE), extra, F.lit(")"))
         return F.when(F.size(shells) > 0, F.concat(text, note)).otherwise(text)
 
     return let(subshells(text), noted)

@@ -55,4 +55,4 @@ def query_text(question: Column, prefix: str = fixed.QUERY_PREFIX) -> Column:
 def with_citation(answer: Column, chapter: Column) -> Column:
     """Append the chapter of the top passage unless it cannot be cited."""
     citable = chapter.isNotNull() & (chapter != "") & ~chapter.isin(fixed.UNKNOWN_CHAPTER, fixed.FRONT_MATTER)
-    return F.when(citable, F.concat(answer, F.lit("\n\nSource: "), chapter)).otherwise(answer)
+    return F.when(citable, F.concat(answer, F.lit(fixed.CITATION_LEAD), chapter)).otherwise(answer)

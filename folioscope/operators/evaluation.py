@@ -118,8 +118,7 @@ def rewrite_outcome(runs: DataFrame) -> DataFrame:
 
 def second_model_targets(spark) -> DataFrame:
     """The fixed list of ``test_key, id`` pairs for the second-model check."""
-    rows = [(test, number) for test, numbers in fixed.SECOND_MODEL_TARGETS.items() for number in numbers]
-    return spark.createDataFrame(rows, "test_key string, id long")
+    return spark.createDataFrame(fixed.SECOND_MODEL_TARGETS, "test_key string, id long")
 
 
 def select_targets(questions: DataFrame, targets: DataFrame, expected: int | None = None) -> DataFrame:
