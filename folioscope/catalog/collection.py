@@ -52,10 +52,11 @@ def filename_metadata(spark, sf):
     "filename_metadata_positional",
     """SELECT doc_id, 10 + doc_id % 3 || 'th' AS grade, 'Class' AS class, upper(lang) AS subject, source AS board, 'Year' AS year,
               concat(10 + doc_id % 3, 'th Class ', upper(lang), ' ', source) AS title, (2000 + doc_id % 30) || '.pdf' AS extension
-       FROM documents WHERE doc_id % 10 <> 9""",
+       FROM documents WHERE doc_id % 10 <> 9
+       UNION ALL SELECT doc_id, 'notes.txt', NULL, NULL, NULL, NULL, 'notes.txt', NULL FROM documents WHERE doc_id % 10 = 9""",
 )
 def filename_metadata_positional(spark, sf):
-    named = table(spark, sf, "documents").where("doc_id % 10 <> 9").select("doc_id", F.expr(_NAME).alias("name"))
+    named = table(spark, sf, "documents").select("doc_id", F.expr(_NAME).alias("name"))
     return named.select("doc_id", *files.filename_parts_by_position(F.col("name")))
 
 
@@ -95,57 +96,92 @@ def book_file_scan(spark, sf):
     return pages.groupBy(F.md5("text").alias("page_md5"), F.length("text").cast("long").alias("n_chars")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def question_file(spark, sf) -> str:
-    """A stored question file: one test per document, its lines the questions; every seventh entry is no test."""
+PER_FILE = 64
+"""Documents whose tests share a question file."""
+
+
+def question_files(spark, sf, strict: bool) -> str:
+    """Stored question files: pretty-printed objects with a test per document, whose questions are its whole text.
+
+    Ids are numbers, texts or, in the lenient files, missing. There every seventh entry is no test and another
+    has no questions.
+    """
 
     def make():
-        path = scratch_path(spark, "questions")
-        line = F.get(F.split("text", "\n"), F.lit(0))
+        ident = lambda i: F.when(i == 0, "1").when(i == 1, "q2")
         questions = F.transform(
-            F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")),
+            F.sequence(F.lit(0), (F.col("doc_id") % (2 if strict else 3)).cast("int")),
             lambda i: F.struct(
-                (i + 1).cast("long").alias("id"),
-                F.concat(i.cast("string"), F.lit(" "), line).alias("question"),
+                ident(i).alias("id"),
+                F.concat(i.cast("string"), F.lit(" "), "text").alias("question"),
                 F.lit("").alias("explanation"),
                 F.array(F.lit("A. yes"), F.lit("B. no")).alias("options"),
                 F.lit("B. no").alias("correct_answer"),
             ),
         )
-        test = F.struct(
-            F.when(F.col("doc_id") % 2 == 0, "named test").alias("name"), F.col("lang").alias("subject"), questions.alias("questions")
-        )
-        key = F.concat(F.lit('{"test'), F.col("doc_id").cast("string"), F.lit('": '))
-        body = F.when(F.col("doc_id") % 7 == 0, '"a remark"').when(F.col("doc_id") % 7 == 1, '{"subject": "none"}').otherwise(F.to_json(test))
-        rows = table(spark, sf, "documents").select(F.concat(key, body, F.lit("}")).alias("value"))
-        files.write_text(rows, "value", path)
+        test = F.struct(F.when(F.col("doc_id") % 2 == 0, "named test").alias("name"), F.col("lang").alias("subject"), questions.alias("questions"))
+        body = F.regexp_replace(F.to_json(test, {"pretty": "true"}), r'"id" : "(\d+)"', '"id" : $1')
+        if not strict:
+            body = F.when(F.col("doc_id") % 7 == 0, '"a remark"').when(F.col("doc_id") % 7 == 1, '{"subject": "none"}').otherwise(body)
+        entry = F.concat(F.lit('"test'), F.col("doc_id").cast("string"), F.lit('" : '), body)
+        rows = table(spark, sf, "documents").select(F.expr(f"doc_id div {PER_FILE}").alias("file"), entry.alias("entry"))
+        objects = rows.groupBy("file").agg(F.concat(F.lit("{\n  "), F.array_join(F.collect_list("entry"), ",\n  "), F.lit("\n}")).alias("value"))
+        path = scratch_path(spark, "questions")
+        objects.repartition("file").write.partitionBy("file").text(path)
         return path
 
-    return built_once(spark, sf, "questions", make)
+    return built_once(spark, sf, f"questions-{strict}", make)
 
 
-_QUESTIONS_SQL = r"""q AS (SELECT doc_id, lang, i + 1 AS id, i || ' ' || string_split(text, E'\n')[1] AS question
-    FROM (SELECT doc_id, lang, text, unnest(range(0, doc_id % 3 + 1)) AS i FROM documents WHERE doc_id % 7 > 1))"""
+def _questions_sql(choices: int, where: str) -> str:
+    return f"""q AS (SELECT doc_id, lang, ['1', 'q2', NULL][i + 1] AS id, i || ' ' || text AS question
+        FROM (SELECT doc_id, lang, text, unnest(range(0, doc_id % {choices} + 1)) AS i FROM documents WHERE {where}))"""
 
 
 @query(
     "question_file_scan",
-    f"""WITH {_QUESTIONS_SQL} SELECT CASE WHEN doc_id % 2 = 0 THEN 'named test' ELSE 'test' || doc_id END AS source, lang AS subject, id,
-            md5(question) AS question_md5, 'B. no' AS correct_answer FROM q""",
+    f"""WITH {_questions_sql(3, 'doc_id % 7 > 1')} SELECT CASE WHEN doc_id % 2 = 0 THEN 'named test' ELSE 'test' || doc_id END AS source,
+            lang AS subject, id, md5(question) AS question_md5, 'B. no' AS correct_answer FROM q""",
 )
 def question_file_scan(spark, sf):
-    found = files.read_questions(spark, question_file(spark, sf))
+    found = files.read_questions(spark, question_files(spark, sf, strict=False))
     return found.select("source", "subject", "id", F.md5("question").alias("question_md5"), "correct_answer")
 
 
 @query(
     "question_file_keys",
-    f"""WITH {_QUESTIONS_SQL} SELECT 'test' || doc_id || ':' || id AS key, lang AS subject, md5(question) AS question_md5 FROM q""",
+    f"""WITH {_questions_sql(2, 'true')} SELECT 'test' || doc_id || ':' || id AS key, lang AS subject, md5(question) AS question_md5 FROM q""",
 )
 def question_file_keys(spark, sf):
-    found = files.read_keyed_questions(spark, question_file(spark, sf))
+    found = files.read_keyed_questions(spark, question_files(spark, sf, strict=True))
     return found.select("key", "subject", F.md5("question").alias("question_md5"))
 
 
+@query(
+    "pages_joined",
+    r"""SELECT doc_id, md5(replace(text, E'\n', '')) AS plain_md5, md5(text || E'\n') AS lines_md5 FROM documents""",
+)
+def pages_joined(spark, sf):
+    """The lines of a document as its pages, joined as they are and with a line end after each."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n").alias("pages"))
+    return docs.select(
+        "doc_id", F.md5(files.joined_text(F.col("pages"))).alias("plain_md5"), F.md5(files.joined_text(F.col("pages"), "\n")).alias("lines_md5")
+    )
+
+
+@query(
+    "text_file_scan",
+    f"""SELECT doc_id // {PER_FILE} AS file, md5(string_agg(text, E'\\n' ORDER BY doc_id) || E'\\n') AS text_md5 FROM documents GROUP BY 1""",
+)
+def text_file_scan(spark, sf):
+    """Text files of a bounded number of documents each, read back whole; the writer ends a file with a line end."""
+    path = scratch_path(spark, "texts")
+    rows = table(spark, sf, "documents").select(F.expr(f"doc_id div {PER_FILE}").alias("file"), F.struct("doc_id", "text").alias("row"))
+    joined = rows.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("row")).getField("text"), "\n").alias("value"))
+    joined.repartition("file").write.partitionBy("file").text(path)
+    return files.read_text(spark, path, ["file"]).select(F.col("file").cast("long").alias("file"), F.md5("text").alias("text_md5"))
+
+
 @query(
     "results_resume",
     """SELECT doc_id::VARCHAR AS key, lang AS subject, CASE WHEN doc_id % 4 = 1 THEN 'A' ELSE 'B' END AS predicted FROM documents""",

@@ -101,9 +101,9 @@ def rrf_topk(spark, sf):
 @query(
     "fusion_lookup",
     """WITH l AS (SELECT source AS query_id, md5(text) AS id, 'lexical ' || lang AS title, NULL::VARCHAR AS chapter
-                  FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL),
+                  FROM documents WHERE doc_id % 3 <> 1 GROUP BY ALL),
             v AS (SELECT source AS query_id, md5(text) AS id, 'vector ' || lang AS title, max(source) AS chapter
-                  FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+                  FROM documents WHERE doc_id % 3 <> 2 GROUP BY ALL)
        SELECT query_id, id, coalesce(l.title, v.title) AS title, CASE WHEN l.id IS NULL THEN v.chapter END AS chapter
        FROM l FULL JOIN v USING (query_id, id)""",
 )
@@ -112,8 +112,8 @@ def fusion_lookup(spark, sf):
         F.col("source").alias("query_id"), F.md5("text").alias("id"), F.col("doc_id").alias("rank"), "lang", "source"
     )
     arms = {
-        "lexical": docs.where("rank % 2 = 0").withColumn("title", F.concat(F.lit("lexical "), "lang")),
-        "vector": docs.where("rank % 3 = 0").withColumn("title", F.concat(F.lit("vector "), "lang")).withColumn("chapter", F.col("source")),
+        "lexical": docs.where("rank % 3 <> 1").withColumn("title", F.concat(F.lit("lexical "), "lang")),
+        "vector": docs.where("rank % 3 <> 2").withColumn("title", F.concat(F.lit("vector "), "lang")).withColumn("chapter", F.col("source")),
     }
     return fusion.payload(arms, "lexical", ["title", "chapter"])
 

@@ -16,7 +16,7 @@ CHUNKS = (
 
 VECTORS = "chunk_id STRING, embedding ARRAY<FLOAT>, text STRING, subject STRING, grade STRING, chapter STRING"
 
-QUESTION = "STRUCT<id: BIGINT, question: STRING, explanation: STRING, options: ARRAY<STRING>, correct_answer: STRING>"
+QUESTION = "STRUCT<id: STRING, question: STRING, explanation: STRING, options: ARRAY<STRING>, correct_answer: STRING>"
 
 TEST = f"STRUCT<name: STRING, subject: STRING, questions: ARRAY<{QUESTION}>>"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -126,9 +126,9 @@ def load_books(
     )
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files, one row each: ``text``."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+def read_text(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> DataFrame:
+    """Whole text files, one row each: ``text`` and the values of ``folders`` named in their paths."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), *folders)
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
@@ -145,33 +145,38 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _question_rows(spark: SparkSession, path: str, lines: bool) -> DataFrame:
-    """``test_key, test``; a value that is not a test parses to null."""
-    files = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,string>").alias("tests"))
-    rows = files.select(F.explode_outer("tests").alias("test_key", "_raw")).where(F.col("test_key").isNotNull())
-    return rows.select("test_key", F.from_json("_raw", schemas.TEST).alias("test"))
+    """``test_key, raw``: the entries of a file of tests; text that is no JSON object is an error."""
+    files = spark.read.text(path, wholetext=not lines).where(F.trim("value") != "")
+    entries = files.select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("tests"))
+    rows = entries.select(F.explode_outer("tests").alias("test_key", "raw"))
+    return rows.where(F.col("test_key").isNotNull())
 
 
-def read_questions(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+def _exploded(tests: DataFrame) -> DataFrame:
+    """One row per question of ``test``; a list without questions gives none, a question without an id stays."""
+    rows = tests.select("test_key", "test.name", "test.subject", F.posexplode_outer("test.questions").alias("place", "q"))
+    return rows.where(F.col("place").isNotNull() & F.col("q").isNotNull())
+
+
+def read_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Questions of a file of tests; entries that are no tests or have no questions are skipped.
 
-    With ``lines`` the file has one JSON object per line, else it is one object. Adds ``source``, the name of the test or else its key.
+    A file is one JSON object of any layout, or has one object per line with ``lines``. Ids are texts and may be
+    missing. Adds ``source``, the name of the test or else its key.
     """
-    rows = _question_rows(spark, path, lines).where(F.col("test.questions").isNotNull())
-    return rows.select(
-        F.coalesce("test.name", "test_key").alias("source"),
-        F.col("test.subject").alias("subject"),
-        F.inline_outer("test.questions"),
-    ).where(F.col("id").isNotNull())
-
-
-def read_keyed_questions(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Questions with the key ``<test>:<id>``."""
-    rows = _question_rows(spark, path, lines).select(
-        "test_key", F.col("test.subject").alias("subject"), F.inline_outer("test.questions")
-    )
-    return rows.where(F.col("id").isNotNull()).select(
-        F.concat_ws(":", "test_key", F.col("id").cast("string")).alias("key"), "subject", "question", "options", "correct_answer"
-    )
+    tests = _question_rows(spark, path, lines).select("test_key", F.from_json("raw", schemas.TEST).alias("test"))
+    return _exploded(tests).select(F.coalesce("name", "test_key").alias("source"), "subject", "q.*")
+
+
+def read_keyed_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Questions with the key ``<test>:<id>``; an entry without questions, or a question without an id, is an error."""
+    tests = _question_rows(spark, path, lines).select("test_key", F.from_json("raw", schemas.TEST).alias("test"))
+    missing = lambda what: F.raise_error(F.concat(F.lit(f"{what} in entry "), F.col("test_key")))
+    listed = F.when(F.col("test.questions").isNull(), missing("no questions")).otherwise(F.col("test.questions"))
+    rows = tests.select("test_key", "test.subject", listed.alias("questions"))
+    rows = rows.select("test_key", "subject", F.posexplode_outer("questions").alias("place", "q")).where(F.col("place").isNotNull())
+    ident = F.when(F.col("q.id").isNull(), missing("a question without id")).otherwise(F.col("q.id"))
+    return rows.select(F.concat_ws(":", "test_key", ident).alias("key"), "subject", "q.question", "q.options", "q.correct_answer")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

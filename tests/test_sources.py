@@ -71,18 +71,39 @@ def test_grids(spark, library):
     assert {(r.page_index, r.table_ix, str(r.rows)) for r in grid.collect()} == {(0, 0, "[['a', None]]")}
 
 
-def test_pretty_printed_question_file(spark, tmp_path):
-    tests = {
-        "t1": {"name": "One", "subject": "Biology", "questions": [{"id": 6, "question": "q?", "options": ["A. x"], "correct_answer": "A"}]},
-        "t2": {"subject": "Physics", "questions": [{"id": 1, "question": "r?", "options": [], "correct_answer": "B"}]},
-        "note": "text",
-        "empty": {"subject": "None"},
-    }
-    path = tmp_path / "q.json"
+def question_file(path, tests):
     path.write_text(json.dumps(tests, indent=2))
-    loose = {(r.source, r.subject, r.id) for r in files.read_questions(spark, str(path), lines=False).collect()}
-    assert loose == {("One", "Biology", 6), ("t2", "Physics", 1)}
-    assert {r.key for r in files.read_keyed_questions(spark, str(path), lines=False).collect()} == {"t1:6", "t2:1"}
+    return str(path)
+
+
+BIOLOGY = {"name": "One", "subject": "Biology", "questions": [{"id": 6, "question": "q?", "options": ["A. x"], "correct_answer": "A"}]}
+
+
+def test_lenient_questions_keep_every_question(spark, tmp_path):
+    odd = {"subject": "Physics", "questions": [{"id": "six", "question": "r?"}, {"question": "no id?"}]}
+    path = question_file(tmp_path / "q.json", {"t1": BIOLOGY, "t2": odd, "note": "text", "empty": {"subject": "None"}, "none": {"questions": []}})
+    found = {(r.source, r.subject, r.id, r.question) for r in files.read_questions(spark, path).collect()}
+    assert found == {("One", "Biology", "6", "q?"), ("t2", "Physics", "six", "r?"), ("t2", "Physics", None, "no id?")}
+
+
+def test_strict_questions(spark, tmp_path):
+    other = {"subject": "Physics", "questions": [{"id": "six", "question": "r?", "options": [], "correct_answer": "B"}]}
+    path = question_file(tmp_path / "q.json", {"t1": BIOLOGY, "t2": other})
+    assert {r.key for r in files.read_keyed_questions(spark, path).collect()} == {"t1:6", "t2:six"}
+
+
+@pytest.mark.parametrize("entry", ["text", {"subject": "None"}, {"questions": [{"question": "no id?"}]}])
+def test_strict_questions_fail_on_incomplete_entries(spark, tmp_path, entry):
+    path = question_file(tmp_path / "q.json", {"t1": BIOLOGY, "bad": entry})
+    with pytest.raises(Exception, match="in entry bad"):
+        files.read_keyed_questions(spark, path).collect()
+
+
+@pytest.mark.parametrize("read", [files.read_questions, files.read_keyed_questions])
+def test_questions_fail_on_text_that_is_no_json(spark, tmp_path, read):
+    (tmp_path / "q.json").write_text('{"t1": {"questions": [')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read(spark, str(tmp_path / "q.json")).collect()
 
 
 def test_chunk_file_keeps_characters(spark, tmp_path):
