@@ -70,9 +70,9 @@ def page_headings(spark, sf):
 
 @query(
     "heading_checks",
-    rf"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('Summary of ', doc_id, ' O O O') WHEN doc_id % 3 = 1
-             THEN concat('this is that ', string_split(text, E'\n')[1]) ELSE string_split(text, E'\n')[1] END AS c FROM documents)
-         SELECT doc_id,
+    rf"""WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, E'\n')))) AS line, unnest(string_split(text, E'\n')) AS s FROM documents),
+         c AS (SELECT doc_id, line, CASE line % 3 WHEN 0 THEN s WHEN 1 THEN concat('this is that ', s) ELSE concat('Summary of ', s, ' O O O') END AS c FROM l)
+         SELECT doc_id, line,
            regexp_matches(lower(c), '{_TERMS}') AS structural,
            (len({sql.words('c')}) > 0 AND len(list_filter({sql.words('c')}, lambda w: length(w) <= 2)) / len({sql.words('c')}) > 0.5)
              OR (length(c) > 0 AND length(regexp_replace(c, '[^\p{{L}}]', '', 'g')) / length(c) < 0.6) AS garbled,
@@ -80,15 +80,18 @@ def page_headings(spark, sf):
            {_ok('c')} AS heading FROM c""",
 )
 def heading_checks(spark, sf):
-    line = F.get(F.split("text", "\n"), F.lit(0))
+    lines = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    lines = lines.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "s"))
+    kind, line = F.col("line") % 3, F.col("s")
     candidate = (
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Summary of "), F.col("doc_id").cast("string"), F.lit(" O O O")))
-        .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("this is that "), line))
-        .otherwise(line)
+        F.when(kind == 0, line)
+        .when(kind == 1, F.concat(F.lit("this is that "), line))
+        .otherwise(F.concat(F.lit("Summary of "), line, F.lit(" O O O")))
     )
     c = F.col("c")
-    return table(spark, sf, "documents").select("doc_id", candidate.alias("c")).select(
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), candidate.alias("c")).select(
         "doc_id",
+        "line",
         headings.is_structural(c).alias("structural"),
         headings.is_garbled(c).alias("garbled"),
         headings.is_prose(c).alias("prose"),
@@ -124,17 +127,19 @@ def _starts_sql() -> str:
 
 @query(
     "chapter_override_fill",
-    f"""WITH pg AS (SELECT {_NAMED} AS filename, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_index
-                    FROM documents WHERE source IN ('src3', 'src7')),
-        s(filename, page_index, label) AS (VALUES {_starts_sql()})
-        SELECT filename, page_index, coalesce(last_value(label IGNORE NULLS) OVER
-            (PARTITION BY filename ORDER BY page_index ROWS UNBOUNDED PRECEDING), 'Front Matter') AS chapter
-        FROM pg LEFT JOIN s USING (filename, page_index)""",
+    f"""WITH {_LABEL_SQL}, pg AS (SELECT {_NAMED.replace('source', 'book_id')} AS filename, label AS found,
+                      row_number() OVER (PARTITION BY book_id ORDER BY page_index) - 1 AS page_index FROM labelled),
+        s(filename, page_index, start) AS (VALUES {_starts_sql()}),
+        marked AS (SELECT filename, page_index, CASE WHEN filename IN (SELECT filename FROM s) THEN start ELSE found END AS mark
+                   FROM pg LEFT JOIN s USING (filename, page_index))
+        SELECT filename, page_index, coalesce(last_value(mark IGNORE NULLS) OVER
+            (PARTITION BY filename ORDER BY page_index ROWS UNBOUNDED PRECEDING), 'Front Matter') AS chapter FROM marked""",
 )
 def chapter_override_fill(spark, sf):
-    docs = table(spark, sf, "documents").where(F.col("source").isin("src3", "src7")).select("doc_id", "source", "text")
-    numbered = running_sum(docs, ["source"], "doc_id", F.lit(1), "page_index")
-    book = numbered.select(F.expr(_NAMED).alias("filename"), F.expr(_NAMED).alias("book_id"), "page_index", "text")
+    """All books: two take their chapters from the fixed table, the others from their headings."""
+    numbered = running_sum(pages(spark, sf), ["book_id"], "page_index", F.lit(1), "place")
+    name = F.expr(_NAMED.replace("source", "book_id"))
+    book = numbered.select(name.alias("filename"), name.alias("book_id"), F.col("place").alias("page_index"), "text")
     filled = chapters.fill_labels(chapters.raw_labels(book, chapters.chapter_starts(spark)))
     return filled.select(F.col("book_id").alias("filename"), "page_index", "chapter")
 

@@ -1,4 +1,4 @@
-"""Question-paper queries. Every document becomes one paper whose questions are made of its words."""
+"""Question-paper queries. Every document becomes one paper, in which all its words are used."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.catalog import sql
 from folioscope.catalog.registry import query, table
-from folioscope.functions import mcq
+from folioscope.functions import fixed, mcq
 from folioscope.functions.text import words
 from folioscope.operators import papers
 from folioscope.plans.scale import spread
@@ -23,6 +23,23 @@ _PAPER = (
 )
 
 
+PAPER_WORDS = 14
+SHORT_WORDS = 3
+
+
+def worded(spark, sf, n):
+    """``doc_id, w``: all words of a document in ``n`` consecutive groups of equal size, each as one text."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("all"))
+    size = F.ceil(F.size("all") / n).cast("int")
+    group = lambda i: F.nullif(F.array_join(F.slice("all", size * i + 1, size), " "), F.lit(""))
+    return docs.select("doc_id", F.array(*[group(i) for i in range(n)]).alias("w"))
+
+
+def words_sql(n) -> str:
+    return f"""(SELECT doc_id, list_transform(range(0, {n}), lambda i: nullif(array_to_string(ws[i * size + 1 : i * size + size], ' '), '')) AS w FROM
+        (SELECT doc_id, ws, ((len(ws) + {n - 1}) // {n}) AS size FROM (SELECT doc_id, {sql.words('text')} AS ws FROM documents)))"""
+
+
 def _pieces():
     for i, bit in enumerate(_PAPER.replace("{", "\0").replace("}", "\0").split("\0")):
         yield (i % 2 == 1), bit
@@ -33,7 +50,6 @@ def _word(w, i):
 
 
 def papers_table(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     w = F.col("w")
     parts = []
     for variable, bit in _pieces():
@@ -43,7 +59,7 @@ def papers_table(spark, sf):
             parts.append(F.col("doc_id").cast("string"))
         else:
             parts.append(_word(w, int(bit)))
-    return docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.concat(*parts).alias("text"))
+    return worded(spark, sf, PAPER_WORDS).select("doc_id", F.concat(*parts).alias("text"))
 
 
 def _paper_sql() -> str:
@@ -55,7 +71,7 @@ def _paper_sql() -> str:
             parts.append("doc_id::VARCHAR")
         else:
             parts.append(f"coalesce(w[{int(bit) + 1}], 'word')")
-    return f"papers AS (SELECT doc_id, {' || '.join(parts)} AS t FROM (SELECT doc_id, {sql.words('text')} AS w FROM documents))"
+    return f"papers AS (SELECT doc_id, {' || '.join(parts)} AS t FROM {words_sql(PAPER_WORDS)})"
 
 
 def _cut(header: str) -> str:
@@ -65,7 +81,7 @@ def _cut(header: str) -> str:
 _SECTIONS_SQL = f"""
     {_paper_sql()},
     marks AS (SELECT doc_id, t, length(t) AS n,
-        {', '.join(f"length({_cut(h)}[1]) AS s{i}, length(t) - length({_cut(h)}[2]) AS e{i}" for i, h in enumerate(['Biology', 'Logical Reasoning', 'PHYSICS', 'CHEMISTRY', 'ENGLISH']))}
+        {', '.join(f"length({_cut(h)}[1]) AS s{i}, length(t) - length({_cut(h)}[2]) AS e{i}" for i, h in enumerate([header for header, _ in fixed.PAPER_SECTIONS]))}
         FROM papers),
     sections AS (SELECT doc_id, 'Biology' AS subject, substring(t, e0 + 1, s1 - e0) AS body FROM marks
         UNION ALL SELECT doc_id, 'Physics', substring(t, e2 + 1, s3 - e2) FROM marks
@@ -124,20 +140,13 @@ def paper_question_counts(spark, sf):
     return flat.groupBy("test_key", "name").agg(F.count(F.lit(1)).alias("n_questions"))
 
 
-def worded(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("w"))
-
-
-_WORDS_SQL = f"(SELECT doc_id, {sql.words('text')} AS w FROM documents)"
-
-
 @query(
     "parse_options",
-    f"""WITH o AS (SELECT doc_id, coalesce(w[1], 'word') AS a, coalesce(w[2], 'word') AS b, coalesce(w[3], 'word') AS c FROM {_WORDS_SQL}),
+    f"""WITH o AS (SELECT doc_id, coalesce(w[1], 'word') AS a, coalesce(w[2], 'word') AS b, coalesce(w[3], 'word') AS c FROM {words_sql(SHORT_WORDS)}),
         e AS (SELECT doc_id, unnest(CASE doc_id % 3
                 WHEN 0 THEN [{{'ix': 0, 'letter': 'A', 'text': a}}, {{'ix': 1, 'letter': 'C', 'text': b}}, {{'ix': 2, 'letter': 'B', 'text': c}}]
-                WHEN 1 THEN [{{'ix': 0, 'letter': 'A', 'text': a || ' or so'}}, {{'ix': 1, 'letter': 'B', 'text': b}}, {{'ix': 2, 'letter': 'C', 'text': c}}]
-                ELSE [{{'ix': 0, 'letter': 'B', 'text': c || ' z'}}] END) AS x FROM o)
+                WHEN 1 THEN [{{'ix': 0, 'letter': 'A', 'text': 'opt ' || a || ' or so'}}, {{'ix': 1, 'letter': 'B', 'text': 'opt ' || b}}, {{'ix': 2, 'letter': 'C', 'text': 'opt ' || c}}]
+                ELSE [{{'ix': 0, 'letter': 'B', 'text': 'opt ' || c || ' z'}}] END) AS x FROM o)
         SELECT doc_id, x.ix::BIGINT AS ix, x.letter AS letter, x.text AS text FROM e""",
 )
 def parse_options(spark, sf):
@@ -145,18 +154,18 @@ def parse_options(spark, sf):
     cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     shapes = [
         F.array(cat("A. ", a), cat(" c) ", b), cat("B.", c)),
-        F.array(cat(" ", a, " or so "), b, c),
-        F.array(cat("B. ", a), cat(b, " y"), cat(c, " z")),
+        F.array(cat(" opt ", a, " or so "), cat("opt ", b), cat("opt ", c)),
+        F.array(cat("B. ", a), cat("opt ", b, " y"), cat("opt ", c, " z")),
     ]
     n = F.col("doc_id") % 3
     options = F.when(n == 0, shapes[0]).when(n == 1, shapes[1]).otherwise(shapes[2])
-    parsed = worded(spark, sf).select("doc_id", F.posexplode(mcq.parse_options(options)).alias("ix", "o"))
+    parsed = worded(spark, sf, SHORT_WORDS).select("doc_id", F.posexplode(mcq.parse_options(options)).alias("ix", "o"))
     return parsed.select("doc_id", F.col("ix").cast("long").alias("ix"), "o.letter", "o.text")
 
 
 _SAID_SQL = f"""(SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'B' WHEN 1 THEN ' b) ' || coalesce(w[1], 'word') WHEN 2 THEN 'The answer is C'
-                 WHEN 3 THEN 'B. a virus' WHEN 4 THEN '' WHEN 5 THEN coalesce(w[2], 'word') || ' : D because A is ' || coalesce(w[3], 'word')
-                 ELSE coalesce(w[1], 'word') || ' e_a E, d.' END AS t FROM {_WORDS_SQL})"""
+                 WHEN 3 THEN 'B. a virus' WHEN 4 THEN '' WHEN 5 THEN 'So ' || coalesce(w[2], 'word') || ' : D because A is ' || coalesce(w[3], 'word')
+                 ELSE 'So ' || coalesce(w[1], 'word') || ' e_a E, d.' END AS t FROM {words_sql(SHORT_WORDS)})"""
 
 
 def _said(spark, sf):
@@ -167,10 +176,10 @@ def _said(spark, sf):
         .when(n == 2, "The answer is C")
         .when(n == 3, "B. a virus")
         .when(n == 4, "")
-        .when(n == 5, F.concat(_word(w, 1), F.lit(" : D because A is "), _word(w, 2)))
-        .otherwise(F.concat(_word(w, 0), F.lit(" e_a E, d.")))
+        .when(n == 5, F.concat(F.lit("So "), _word(w, 1), F.lit(" : D because A is "), _word(w, 2)))
+        .otherwise(F.concat(F.lit("So "), _word(w, 0), F.lit(" e_a E, d.")))
     )
-    return worded(spark, sf).select("doc_id", said.alias("t"))
+    return worded(spark, sf, SHORT_WORDS).select("doc_id", said.alias("t"))
 
 
 @query("answer_letters", f"SELECT doc_id, upper(left({sql.strip('t')}, 1)) AS letter FROM {_SAID_SQL}")

@@ -1,14 +1,15 @@
-"""Table-fact queries. Every document becomes one page with a small table made of its words."""
+"""Table-fact queries. Every document becomes one page with a small table, in which all its words are used."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.catalog.mcq import _WORDS_SQL, _word, worded
+from folioscope.catalog.mcq import _word, worded, words_sql
 from folioscope.catalog.registry import query
 from folioscope.functions import electrons
 from folioscope.operators import tables
 
+WORDS = 7
 _CONFIG = "'[Ar] 3d' || (doc_id % 11) || CASE WHEN doc_id % 2 = 0 THEN ' 4s' ELSE '4s  ' END || (doc_id % 3)"
 
 
@@ -32,7 +33,7 @@ def grids(spark, sf):
         .when(n % 3 == 1, F.concat(F.lit("1 x\nTitle Line Here\n"), _word(w, 0)))
         .otherwise("nothing, here")
     )
-    return worded(spark, sf).select("doc_id", F.lit("Chemistry").alias("subject"), page.alias("page_text"), rows.alias("rows"))
+    return worded(spark, sf, WORDS).select("doc_id", F.lit("Chemistry").alias("subject"), page.alias("page_text"), rows.alias("rows"))
 
 
 _GRID_SQL = f"""
@@ -40,7 +41,7 @@ _GRID_SQL = f"""
         [['Element', 'Configuration'], [coalesce(w[1], 'word'), {_CONFIG}], [' ' || coalesce(w[2], 'word'), '2s22p' || (doc_id % 7)],
          [coalesce(w[3], 'word'), NULL, ''], [NULL, '  '],
          [coalesce(w[4], 'word') || chr(10) || coalesce(w[5], 'word'), 'no 7 config', coalesce(w[6], 'word')],
-         [CASE WHEN doc_id % 5 = 0 THEN 'a1b2c' END, coalesce(w[7], 'word')]] AS rows FROM {_WORDS_SQL}),
+         [CASE WHEN doc_id % 5 = 0 THEN 'a1b2c' END, coalesce(w[7], 'word')]] AS rows FROM {words_sql(WORDS)}),
     usable AS (SELECT * FROM g WHERE NOT regexp_matches(array_to_string(list_filter(flatten(rows), lambda c: c <> ''), ' '), '[A-Za-z][0-9][A-Za-z][0-9]?[A-Za-z]'))"""
 
 
@@ -62,7 +63,7 @@ _UNPAIRED = """list_sum(list_transform(sh, lambda x: CASE
 
 @query(
     "subshell_counts",
-    f"""WITH c AS (SELECT doc_id, {_CONFIG} || ' 2s22p' || (doc_id % 7) || ' 3d x' AS t FROM documents),
+    f"""WITH c AS (SELECT doc_id, array_to_string(w, ' ') || ' ' || {_CONFIG} || ' 2s22p' || (doc_id % 7) || ' 3d x' AS t FROM {words_sql(WORDS)}),
         s AS (SELECT doc_id, {_shells('t')} AS sh FROM c)
         SELECT doc_id, array_to_string(list_transform(sh, lambda x: x.letter || x.n), ',') AS shells, {_UNPAIRED}::BIGINT AS unpaired FROM s""",
 )
@@ -70,9 +71,10 @@ def subshell_counts(spark, sf):
     n = F.col("doc_id")
     s = lambda c: c.cast("string")
     text = F.concat(
-        F.lit("[Ar] 3d"), s(n % 11), F.when(n % 2 == 0, " 4s").otherwise("4s  "), s(n % 3), F.lit(" 2s22p"), s(n % 7), F.lit(" 3d x")
+        F.array_join("w", " "), F.lit(" [Ar] 3d"), s(n % 11), F.when(n % 2 == 0, " 4s").otherwise("4s  "), s(n % 3),
+        F.lit(" 2s22p"), s(n % 7), F.lit(" 3d x"),
     )
-    shells = worded(spark, sf).select("doc_id", electrons.subshells(text).alias("sh"))
+    shells = worded(spark, sf, WORDS).select("doc_id", electrons.subshells(text).alias("sh"))
     joined = F.array_join(F.transform("sh", lambda x: F.concat(x["letter"], s(x["electrons"]))), ",")
     return shells.select("doc_id", joined.alias("shells"), electrons.total_unpaired(F.col("sh")).cast("long").alias("unpaired"))
 
