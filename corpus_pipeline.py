@@ -45,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of domains below their target come more than once; every document comes at least once."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     mixed = mix(docs, labels, TARGETS, budget=BUDGET, least_rate=1.0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,8 +64,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: lis
     return weights, [math.log((counts.get(d, 0) + 1) / total) for d in domains]
 
 
-def memberships(docs: DataFrame, weights: list[list[float]], shares: list[float], text_col: str, sharpness: float) -> DataFrame:
-    """``docs`` with ``_tokens`` and ``_p``, the posterior of each domain, from mean log weights of the words."""
+RESULTS = ("n_tokens", "posterior", "rate", "copies")
+
+
+def memberships(docs: DataFrame, weights: list[list[float]], shares: list[float], text: Column, keep: list[str], sharpness: float) -> DataFrame:
+    """``keep`` columns with ``n_tokens`` and ``posterior``, from the mean log weights of the words.
+
+    The sums, the scores and their exponentials pass through the name ``rate``, which no input column has.
+    """
     k = range(len(shares))
     tables = [F.from_json(F.lit(json.dumps(row)), "array<double>") for row in weights]
     zero = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(f"s{i}") for i in k])
@@ -73,20 +79,20 @@ def memberships(docs: DataFrame, weights: list[list[float]], shares: list[float]
     def add(acc: Column, bucket: Column) -> Column:
         return F.struct((acc["n"] + F.when(bucket > 0, 1).otherwise(0)).alias("n"), *[(acc[f"s{i}"] + F.get(tables[i], bucket)).alias(f"s{i}") for i in k])
 
-    summed = docs.withColumn("_sums", F.aggregate(F.transform(words_of(F.col(text_col)), bucket_of), zero, add))
-    n = F.greatest(F.col("_sums.n"), F.lit(1))
-    scores = F.array(*[F.col(f"_sums.s{i}") / n * sharpness + shares[i] for i in k])
-    scored = summed.withColumn("_tokens", F.col("_sums.n")).withColumn("_scores", scores)
-    raised = F.transform("_scores", lambda s: F.exp(s - F.array_max("_scores")))
-    total = F.aggregate("_raised", F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn("_raised", raised).withColumn("_p", F.transform("_raised", lambda x: x / total)).drop("_sums", "_scores", "_raised")
+    summed = docs.select(*keep, F.aggregate(F.transform(words_of(text), bucket_of), zero, add).alias("rate"))
+    n = F.greatest(F.col("rate.n"), F.lit(1))
+    scores = F.array(*[F.col(f"rate.s{i}") / n * sharpness + shares[i] for i in k])
+    scored = summed.select(*keep, F.col("rate.n").alias("n_tokens"), scores.alias("rate"))
+    raised = scored.select(*keep, "n_tokens", F.transform("rate", lambda s: F.exp(s - F.array_max("rate"))).alias("rate"))
+    total = F.aggregate("rate", F.lit(0.0), lambda a, x: a + x)
+    return raised.select(*keep, "n_tokens", F.transform("rate", lambda x: x / total).alias("posterior"))
 
 
 def rate_after(steps: list[list[float]], least: float) -> Column:
     """A document's rate after projected gradient steps: from 1, against the error of its domains, never below ``least``."""
     rate = F.lit(1.0)
     for errors in steps:
-        rate = F.greatest(F.lit(least), rate - sum((F.get("_p", F.lit(i)) * e for i, e in enumerate(errors)), F.lit(0.0)))
+        rate = F.greatest(F.lit(least), rate - sum((F.get("posterior", F.lit(i)) * e for i, e in enumerate(errors)), F.lit(0.0)))
     return rate
 
 
@@ -95,6 +101,7 @@ def mix(
     labels: DataFrame,
     targets: dict[str, float],
     domain: Column | None = None,
+    keep: list[str] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     budget: float = 1.0,
@@ -104,24 +111,24 @@ def mix(
     tolerance: float = 0.001,
     max_steps: int = 40,
 ) -> DataFrame:
-    """Every row of ``docs`` with ``n_tokens``, ``posterior``, ``rate`` and ``copies``.
+    """``keep`` columns (all by default) of every row of ``docs`` with ``n_tokens``, ``posterior``, ``rate`` and ``copies``.
 
     ``targets`` are weights by domain; the wanted tokens are ``budget`` times all tokens. ``domain`` names the domain
     of a row of ``labels``; rows without one, or without an id, are not learnt from, and repeated rows count
     again. ``posterior`` is an array in the order of the sorted domain names. ``copies`` is the rate, rounded up or down by a fixed
     hash of the id and text, so that its expectation is the rate. Null and empty texts have the shares of the labels as posterior
-    and no tokens. Columns of these names are replaced. An empty table gives no rows.
+    and no tokens. Input columns of these names are replaced. The posteriors are stored once. An empty table gives no rows.
     """
     domains = sorted(targets)
     model = fit_domains(docs, labels, label_domain() if domain is None else domain, domains, id_col, text_col, max_rows)
-    rows = docs.select([c for c in docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")])
-    soft = memberships(rows, *model, text_col, sharpness)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    light = materialise(soft.select("_tokens", "_p"), "memberships")
+    rows = docs.select(*keep, F.col(text_col).alias("posterior"), draw.alias("copies"))
+    soft = materialise(memberships(rows, *model, F.col("posterior"), [*keep, "copies"], sharpness), "memberships")
 
     def totals(rate: Column) -> list[float]:
         """Expected tokens of each domain."""
-        found = light.agg(*[F.sum(F.col("_tokens") * F.get("_p", F.lit(i)) * rate) for i in range(len(domains))]).first()
+        found = soft.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i)) * rate) for i in range(len(domains))]).first()
         return [x or 0.0 for x in found]
 
     base = totals(F.lit(1.0))
@@ -138,5 +145,4 @@ def mix(
         if all(abs(a - b) <= 1e-6 * max(b, 1.0) for a, b in zip(now, before)):
             break  # as near as rates of at least ``least_rate`` come
     rated = soft.withColumn("rate", rate_after(steps, least_rate))
-    copies = F.floor(F.col("rate") + draw).cast("int")
-    return rated.withColumn("copies", copies).withColumnRenamed("_tokens", "n_tokens").withColumnRenamed("_p", "posterior")
+    return rated.select(*keep, "n_tokens", "posterior", "rate", F.floor(F.col("rate") + F.col("copies")).cast("int").alias("copies"))

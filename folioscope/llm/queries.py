@@ -170,5 +170,5 @@ def op5_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_soft_mixing")
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    mixed = mix(docs, labels, {"good": 0.85, "poor": 0.10, "toxic": 0.05})
+    mixed = mix(docs, labels, {"good": 0.85, "poor": 0.10, "toxic": 0.05}, keep=["doc_id", "source"])
     return mixed.select("doc_id", "source", "n_tokens", "posterior", "rate", "copies")
