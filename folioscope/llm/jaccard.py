@@ -2,7 +2,9 @@
 
 Equal sets are one class from the start. The features are partitioned and subsets of the parts
 enumerated, so that two sets of neighbouring size bands that are similar enough share a
-signature; only signatures are shuffled for the search, once. In each signature's bucket the
+signature; only signatures are shuffled for the search, once. A set whose features mostly occur in
+no other text has no partner and signs nothing; two bit arrays of bounded size, for features seen once and
+twice, tell most of those. In each signature's bucket the
 sets are first compared with one leader. What those links connect needs no more comparing;
 the rest of a bucket is compared across its components, without exception. Before the words of
 two sets are compared, their sizes and a parity sketch must admit the link: the number of differing
@@ -23,12 +25,15 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
 from folioscope.llm.langid import slices
+from folioscope.llm.line_dedup import has, places, repeat_filter
 from folioscope.llm.tokens import per_process
 from folioscope.plans.scale import materialise
 
 LANES = 16
 """64-bit words of the parity sketch."""
 CACHED = 600_000
+BYTES_PER_WORD = 6
+"""What a word takes in common text, to size the filter."""
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,11 +145,22 @@ def _describe(n: int):
     return run
 
 
-def _sign(n: int, least: Fraction):
+def _features(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, sets, _ in _rows(batches, n):
+            yield np.concatenate(sets)
+
+    return run
+
+
+def _sign(n: int, least: Fraction, shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = np.frombuffer(shared.value, np.uint8)
         done: set[int] = set()  # copies in one task sign once
         for docs, sets, ids in _rows(batches, n):
             new = [i for i, k in enumerate(ids) if len(sets[i]) and docs[i].is_valid and k not in done and not done.add(k)]
+            common = [np.count_nonzero(has(repeated, places(sets[i], bits, 1))) for i in new]
+            new = [i for i, k in zip(new, common) if k * least.denominator >= len(sets[i]) * least.numerator]
             signed = [signatures(sets[i], least) for i in new]
             if signed:
                 owner = np.repeat(np.array([ids[i] for i in new], np.int64), [len(x) for x in signed])
@@ -185,15 +201,15 @@ def _admits(least: Fraction, x: str, y: str) -> Column:
     return sizes & (apart * (bottom + top) <= (a + b) * (bottom - top))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, max_filter_bits: int = 1 << 28) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
     Two documents link when their sets of runs of ``n`` words have a Jaccard similarity of ``percent``
     or more hundredths. A text of fewer words is one run; null and empty texts, and rows without an id, link
     with nothing. ``component_id`` is the smallest id reachable. Rows that share an id are one node with
-    several texts. Every link is found; features and equal sets are told apart by 64 and 128 bits of hash.
+    several texts. Every link is found, also where the filter of at most ``max_filter_bits`` bits is too small to rule texts out; features and equal sets are told apart by 64 and 128 bits of hash.
     """
-    least = Fraction(percent, 100)
+    spark, least = docs.sparkSession, Fraction(percent, 100)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = rows.mapInArrow(_describe(n), "doc long, size long, set long, second long, sketch array<long>")
     sets = materialise(sets, "shingle-sets")
@@ -202,7 +218,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = materialise(classes, "set-classes")
     info = classes.select("set", F.struct("rep", "size", "sketch").alias("info"))
 
-    signed = rows.mapInArrow(_sign(n, least), "sig long, set long")
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    bits = min(max_filter_bits, 1 << max(13, (4 * n_bytes // BYTES_PER_WORD).bit_length()))
+    shared_features = spark.sparkContext.broadcast(repeat_filter(rows, bits, _features(n), 1).tobytes())
+    signed = rows.mapInArrow(_sign(n, least, shared_features, bits), "sig long, set long")
     bucket = Window.partitionBy("sig")
     shared = signed.withColumn("leader", F.min("set").over(bucket)).withColumn("last", F.max("set").over(bucket))
     shared = materialise(shared.where(F.col("leader") != F.col("last")).select("sig", "set", "leader"), "shared-signatures")

@@ -44,18 +44,18 @@ def keys_of(text: bytes, min_chars: int) -> dict[bytes, list[int]]:
     return found
 
 
-def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+def places(hashes: np.ndarray, bits: int, probes: int = PROBES) -> np.ndarray:
     step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)])
+    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(probes)])
 
 
-def _put(filter_: np.ndarray, places: np.ndarray) -> None:
-    flat = places.ravel()
+def _put(filter_: np.ndarray, at: np.ndarray) -> None:
+    flat = at.ravel()
     np.bitwise_or.at(filter_, flat >> np.uint64(3), np.uint8(1) << (flat & np.uint64(7)).astype(np.uint8))
 
 
-def _has(filter_: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return ((filter_[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+def has(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
 def _hashes(keys: list[bytes]) -> np.ndarray:
@@ -66,15 +66,24 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (x.as_py() or b"" for x in batch.column("text"))
 
 
-def _fill(bits: int, min_chars: int):
+def _line_hashes(min_chars: int):
+    """Hashes of the keys of each batch, each key once per row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield _hashes([k for text in _texts(batch) for k in keys_of(text, min_chars)])
+
+    return run
+
+
+def _fill(bits: int, hashes_of, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            keys = [k for text in _texts(batch) for k in keys_of(text, min_chars)]
-            hashes, counts = np.unique(_hashes(keys), return_counts=True)
-            places = _places(hashes, bits)
-            _put(twice, places[:, (counts > 1) | _has(once, places)])
-            _put(once, places)
+        for found in hashes_of(batches):
+            hashes, counts = np.unique(found, return_counts=True)
+            at = places(hashes, bits, probes)
+            _put(twice, at[:, (counts > 1) | has(once, at)])
+            _put(once, at)
         for segment, start in enumerate(range(0, bits // 8, SEGMENT)):
             part = once[start : start + SEGMENT]
             if part.any():
@@ -100,10 +109,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["segment", "twice"])
 
 
-def repeat_filter(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """Bit array that has every key found in two rows or more, and few others."""
-    spark = texts.sparkSession
-    pieces = texts.select("text").mapInArrow(_fill(bits, min_chars), "segment int, once binary, twice binary")
+def repeat_filter(rows: DataFrame, bits: int, hashes_of, probes: int = PROBES) -> np.ndarray:
+    """Bit array that has every hash found in two rows or more, and few others.
+
+    ``hashes_of`` turns the batches of a task into arrays of hashes, in which a row has each of its own once.
+    """
+    pieces = rows.mapInArrow(_fill(bits, hashes_of, probes), "segment int, once binary, twice binary")
     merged = pieces.repartition("segment").mapInArrow(_merge, "segment int, twice binary")
     whole = np.zeros(bits // 8, np.uint8)
     for row in materialise(merged, "repeat-filter").collect():  # bits / 8 bytes at most
@@ -116,20 +127,20 @@ def _suspects(shared, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            row, keys, places = [], [], []
+            row, keys, lines = [], [], []
             for i, text in enumerate(_texts(batch)):
                 for key, at in keys_of(text, min_chars).items():
                     row.append(i)
                     keys.append(key)
-                    places.append(at)
-            hit = np.flatnonzero(_has(twice, _places(_hashes(keys), bits)))
+                    lines.append(at)
+            hit = np.flatnonzero(has(twice, places(_hashes(keys), bits)))
             rows = pa.array(np.asarray(row, np.int64)[hit])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc").take(rows),
                     batch.column("row_hash").take(rows),
                     pa.array([keys[i] for i in hit], pa.binary()),
-                    pa.array([places[i] for i in hit], pa.list_(pa.int32())),
+                    pa.array([lines[i] for i in hit], pa.list_(pa.int32())),
                 ],
                 ["doc", "row_hash", "key", "places"],
             )
@@ -168,7 +179,7 @@ def dedup_lines(
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = filter_bits(n_bytes, min_chars, max_filter_bits)
-    shared = spark.sparkContext.broadcast(repeat_filter(texts, bits, min_chars).tobytes())
+    shared = spark.sparkContext.broadcast(repeat_filter(texts.select("text"), bits, _line_hashes(min_chars)).tobytes())
 
     found = texts.mapInArrow(_suspects(shared, bits, min_chars), "doc long, row_hash long, key binary, places array<int>")
     found = materialise(found, "suspects")
