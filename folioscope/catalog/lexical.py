@@ -9,7 +9,7 @@ from folioscope.catalog import sql
 from folioscope.catalog.registry import built_once, query, table
 from folioscope.functions.text import tokens
 from folioscope.operators import lexical
-from folioscope.plans.scale import running_sum, scratch_path
+from folioscope.plans.scale import running_sum, scratch_path, sized_join
 
 SUBJECT_SQL = "['en', 'fr', 'de', 'es'][1 + item_id % 4]"
 TOP = 10
@@ -88,7 +88,7 @@ def bm25_by_subject(spark, sf):
 )
 def bm25_no_filter(spark, sf):
     none = F.lit(None).cast("string")
-    return _report(lexical.search(index(spark, sf), benchmark_queries(spark, sf, none), TOP, by_term=False))
+    return _report(lexical.search(index(spark, sf), benchmark_queries(spark, sf, none), TOP))
 
 
 GROUPS = [["tion", "ment"], ["heit", "ent"], ["able", "est"]]
@@ -104,7 +104,9 @@ SUBJECT_OF_SEARCH = "fr"
        FROM m JOIN c ON c.pos BETWEEN match_pos - 1 AND match_pos + 1 WHERE lang = 'fr'""",
 )
 def term_group_search(spark, sf):
-    docs = running_sum(table(spark, sf, "documents"), [], "doc_id", F.lit(1), "pos")
+    documents = table(spark, sf, "documents")
+    numbered = running_sum(documents.select("doc_id"), [], "doc_id", F.lit(1), "pos")  # only ids are moved
+    docs = sized_join(documents.select("doc_id", "lang", "text"), numbered, ["doc_id"])
     subject = docs.where(F.col("lang") == SUBJECT_OF_SEARCH)
     matches = lexical.find_terms(subject, "text", GROUPS).select("pos", "lang")
     found = lexical.with_neighbours(matches, docs.select("pos", "doc_id", "lang"), "pos", "lang")

@@ -8,7 +8,7 @@ from folioscope.catalog import sql
 from folioscope.catalog.lexical import SUBJECT_SQL, benchmark_queries, index, item_subject
 from folioscope.catalog.registry import built_once, query, table
 from folioscope.operators import fusion
-from folioscope.plans.scale import checked_join, materialise
+from folioscope.plans.scale import sized_join, materialise
 
 CANDIDATES, FINAL = 20, 5
 
@@ -38,7 +38,7 @@ def candidates(spark, sf):
     def make():
         fused = fusion.hybrid(index(spark, sf), vectors(spark, sf), questions(spark, sf), CANDIDATES)
         asked = questions(spark, sf).select("query_id", F.col("text").alias("question"))
-        ranked = checked_join(fused.select("query_id", "id", "score", "rank"), asked, ["query_id"], spread="id")
+        ranked = sized_join(fused.select("query_id", "id", "score", "rank"), asked, ["query_id"])
         return materialise(fusion.with_texts(materialise(ranked, "fused"), passages(spark, sf)), "candidates")
 
     return built_once(spark, sf, "candidates", make)

@@ -16,6 +16,12 @@ def chapter_starts(spark) -> DataFrame:
     return spark.createDataFrame(rows, "filename string, page_index long, start_label string")
 
 
+def starts_by_file(spark) -> DataFrame:
+    """The hand-made chapter starts as ``filename, starts``, one row per listed book."""
+    rows = [(name, starts) for name, starts in fixed.CHAPTER_STARTS.items()]
+    return spark.createDataFrame(rows, "filename string, starts array<struct<page_index:long,label:string>>")
+
+
 def raw_labels(pages: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Add ``label``: the hand-made start of a page if its book has any, else the detected heading.
 
@@ -65,14 +71,16 @@ def as_of_label(
     points = boundaries.select(
         F.col(book), F.col("offset").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("seq").cast("long").alias("_seq"), "chapter"
     )
-    asked = rows.withColumn("_at", F.col(offset).cast("long")).withColumn("_kind", F.lit(1))
+    unplaced = rows.where(F.col(offset).isNull()).withColumn("chapter", F.lit(fixed.UNKNOWN_CHAPTER))  # they meet no boundary
+    asked = rows.where(F.col(offset).isNotNull()).withColumn("_at", F.col(offset).cast("long")).withColumn("_kind", F.lit(1))
     merged = asked.unionByName(points, allowMissingColumns=True)
     carried = carry_last(merged, [book], "_at", "chapter", "_found", order=["_kind", "_seq"], width=width)
-    return (
+    placed = (
         carried.where(F.col("_kind") == 1)
         .withColumn("chapter", F.coalesce("_found", F.lit(fixed.UNKNOWN_CHAPTER)))
         .drop("_at", "_kind", "_seq", "_found")
     )
+    return placed.unionByName(unplaced)
 
 
 def book_boundaries(books: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import fixed
 from folioscope.functions.mcq import answer_letter, answer_letter_robust, parse_options
 from folioscope.functions.text import keywords, overlap
-from folioscope.plans.scale import checked_join, fits
+from folioscope.plans.scale import sized_join
 
 LOW_OVERLAP = 1
 
@@ -123,11 +123,7 @@ def second_model_targets(spark) -> DataFrame:
 
 def select_targets(questions: DataFrame, targets: DataFrame, expected: int | None = None) -> DataFrame:
     """Questions on a target list; fails when their number is not ``expected``."""
-    chosen = (
-        questions.join(F.broadcast(targets), ["test_key", "id"], "left_semi")
-        if fits(targets)
-        else questions.join(targets, ["test_key", "id"], "left_semi")
-    )
+    chosen = sized_join(questions, targets, ["test_key", "id"], "left_semi")
     if expected is not None and (found := chosen.limit(expected + 1).count()) != expected:
         raise ValueError(f"expected {expected} questions, found {found}")
     return chosen
@@ -135,4 +131,4 @@ def select_targets(questions: DataFrame, targets: DataFrame, expected: int | Non
 
 def remaining(work: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
     """Work whose key has no result yet."""
-    return checked_join(work, done.select(key).distinct(), [key], spread=key, how="left_anti")
+    return sized_join(work, done.select(key).distinct(), [key], "left_anti")

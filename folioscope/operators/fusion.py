@@ -12,7 +12,7 @@ from folioscope.functions import fixed
 from folioscope.functions.text import keywords, overlap
 from folioscope.operators.lexical import LexicalIndex, search
 from folioscope.operators.vectors import knn
-from folioscope.plans.scale import checked_join, top_k
+from folioscope.plans.scale import sized_join, top_k
 
 
 def fuse(arms: Mapping[str, DataFrame], k: int | None = None) -> DataFrame:
@@ -96,8 +96,8 @@ def rerank(
 
 
 def with_texts(candidates: DataFrame, passages: DataFrame) -> DataFrame:
-    """Fetch passage columns for ranked ids; the candidate list is the broadcast side when it is small."""
-    return checked_join(passages, candidates, ["id"], spread="id")
+    """Fetch passage columns for ranked ids; passages are not shuffled while the candidate list is small."""
+    return sized_join(passages, candidates, ["id"])
 
 
 def survivors(candidates: DataFrame, final: DataFrame) -> DataFrame:

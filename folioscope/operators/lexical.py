@@ -2,8 +2,8 @@
 
 The index holds the passages twice: one row per passage with its length and its
 term counts, computed inside the row without a shuffle, and the same counts as
-postings in term order. A few questions read the postings of their terms only; a
-large set of questions reads whole passages. Corpus statistics are kept per subject, because a query restricted to a subject is
+postings in term order. A search places whole passages by id once and meets them with blocks of query
+weights of a bounded number, so no pair is shuffled before the top-k. Corpus statistics are kept per subject, because a query restricted to a subject is
 scored against the statistics of that subject alone. The pseudo-subject
 ``ANY`` carries the statistics of the whole corpus for queries without one.
 """
@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
 from folioscope.functions.text import tokens
-from folioscope.plans.scale import checked_join, materialise, running_sum, spread, top_k
+from folioscope.plans.scale import materialise, running_sum, scratch_path, sized_join, spread, top_k
 
 ANY = "*"
 SCORE_DIGITS = 9
-SUBJECT_LIST = 1000
-TERM_LIST = 2000
-PREFIX = 10_000
+WEIGHTS = 100_000
+"""Query weights (a query's distinct terms) that are broadcast together, on average."""
 
 
 @dataclass(frozen=True)
@@ -50,7 +49,7 @@ class LexicalIndex:
         ordered.write.parquet(f"{path}/postings")
         _term_statistics(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
         corpora = _corpus_statistics(passages, spark.read.parquet(f"{path}/terms"))
-        corpora.coalesce(1).write.parquet(f"{path}/corpora")
+        corpora.write.parquet(f"{path}/corpora")
         return LexicalIndex.load(spark, path)
 
     @staticmethod
@@ -139,95 +138,84 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``query_id, subject, term, weight, avgdl``: what each query term adds per unit of saturated count."""
     wanted = query_terms(queries)
-    known = checked_join(index.terms, wanted, ["subject", "term"], spread="term").join(index.corpora, "subject")
+    known = sized_join(index.terms, wanted, ["subject", "term"]).join(index.corpora, "subject")
     return known.select("query_id", "subject", "term", (F.col("qtf") * _floored_idf()).alias("weight"), "avgdl")
 
 
-def _few(weights: DataFrame, column: str, limit: int) -> list[str] | None:
-    """The distinct values of a column when there are at most ``limit``."""
-    values = [r[0] for r in weights.select(column).distinct().limit(limit + 1).collect()]
-    return values if len(values) <= limit else None
-
-
-def _in_scope(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rows of the subjects asked for, once more under ``ANY`` when a query has no subject."""
-    subjects = _few(weights, "subject", SUBJECT_LIST)
-    if subjects is not None and ANY not in subjects:
-        return rows.where(F.col("subject").isin(subjects))
-    if subjects is not None or not weights.where(F.col("subject") == ANY).isEmpty():
-        return rows.withColumn("subject", F.explode(F.array("subject", F.lit(ANY))))
-    return rows
-
-
-def matched_scores(index: LexicalIndex, weights: DataFrame, by_term: bool | None = None) -> DataFrame:
+def matched_scores(index: LexicalIndex, weights: DataFrame) -> DataFrame:
     """``query_id, doc, pos, score`` of every passage that shares a term with a query.
 
-    ``by_term`` reads the postings of the query terms and shuffles the summed
-    pairs. Otherwise whole passages are placed by id, and no pair is shuffled
-    before the top-k. By default the number of distinct terms decides.
+    ``weights`` is one block, so it and its subjects are bounded. Passages of other subjects are not read,
+    and a posting meets the queries of its own subject and those without one.
     """
-    terms = _few(weights, "term", TERM_LIST) if by_term is not False else None
-    if terms is not None or by_term:
-        rows = index.postings if terms is None else index.postings.where(F.col("term").isin(terms))
-        rows = _in_scope(rows, weights)
-    else:
-        rows = postings(_in_scope(index.passages, weights).repartition("doc"))
-    pairs = checked_join(rows, weights, ["subject", "term"], spread="doc")
+    subjects = [r.subject for r in weights.select("subject").distinct().collect()]
+    passages = index.passages if ANY in subjects else index.passages.where(F.col("subject").isin(subjects))
+    rows = postings(passages.repartition("doc"))
+    asked = weights.withColumnRenamed("subject", "_scope")
+    pairs = rows.join(F.broadcast(asked), "term").where(F.col("_scope").isin(ANY) | (F.col("_scope") == F.col("subject")))
     tf, dl = F.col("tf"), F.col("dl")
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
     return pairs.groupBy("query_id", "doc", "pos").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
 
 
-def _zero_passages(index: LexicalIndex, short: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """Passages with score zero for the queries in ``short``, at least as many as they lack.
+def _blocks(weights: DataFrame, size: int) -> list[DataFrame]:
+    """Whole queries in blocks of about ``size`` weights."""
+    n = max(1, -(-weights.count() // size))
+    return [weights.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
 
-    A query needs the first passages of its subject by position, as many as ``k``
-    plus its passages below zero; those with a score of their own are taken out.
+
+def _first_places(index: LexicalIndex, need: DataFrame) -> DataFrame:
+    """``query_id, doc, pos`` of the first ``reach`` passages by position in each query's subject.
+
+    ``need`` has ``query_id, subject, reach``. Places are numbered per subject as far as its longest reach, and
+    a query asks for each of its places, so a subject that many queries share is spread over its places.
     """
-    scored = materialise(scores.where("score <> 0").select("query_id", "doc", "score"), "scored")
-    below = scored.where("score < 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_below"))
-    reach = (F.coalesce("n_below", F.lit(0)) + k).alias("reach")
-    need = short.join(below, "query_id", "left").select("query_id", _scope().alias("subject"), reach)
-    asked = need.select("subject").distinct()
-    places = index.passages.select("doc", "pos", F.explode(F.array("subject", F.lit(ANY))).alias("subject"))
-    places = checked_join(places, asked, ["subject"], spread="doc", how="left_semi")
-    longest = need.agg(F.max("reach")).first()[0]
-    if longest <= PREFIX:
-        early = top_k(places, ["subject"], [F.asc("pos")], longest, "place").withColumn("place", F.col("place") - 1)
-    else:
-        early = running_sum(places, ["subject"], "pos", F.lit(1), "place").where(F.col("place") < longest)
-    wanted = early.join(need, "subject").where(F.col("place") < F.col("reach")).select("query_id", "doc", "pos")
-    return wanted.join(scored, ["query_id", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-
-
-def search(
-    index: LexicalIndex,
-    queries: DataFrame,
-    k: int,
-    pad: bool = True,
-    by_term: bool | None = None,
-) -> DataFrame:
+    reach = {r.subject: r.reach for r in need.groupBy("subject").agg(F.max("reach").alias("reach")).collect()}  # one row per subject
+    longest = max(reach.values(), default=0)
+    asked = F.filter(F.array("subject", F.lit(ANY)), lambda x: x.isin(list(reach)))
+    places = index.passages.select("doc", "pos", F.explode(asked).alias("subject"))
+    early = top_k(places, ["subject"], [F.asc("pos")], longest, "place")
+    wanted = need.select("query_id", "subject", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reach").cast("long"))).alias("place"))
+    return wanted.join(early, ["subject", "place"]).select("query_id", "doc", "pos")
+
+
+def search(index: LexicalIndex, queries: DataFrame, k: int, pad: bool = True, block: int = WEIGHTS) -> DataFrame:
     """BM25 top ``k`` per query: ``query_id, doc, pos, score, rank``.
 
     ``queries`` has ``query_id, text, subject``; a null or empty subject searches
     everything. Ties go to the earlier position. With ``pad``, passages of score
-    zero fill the list up, in position order; the ranked matches are written out
-    first, and only the queries that come short of ``k`` are looked at again.
+    zero fill the list up, in position order. The ranked matches of each block of queries are written before the
+    next block. Only queries with a term of negative weight, which can put passages below zero, are scored again
+    to tell those from passages without a match.
     """
+    spark = queries.sparkSession
     order = [F.desc("score"), F.asc("pos")]
     weights = materialise(query_weights(index, queries), "weights")
-    best = top_k(matched_scores(index, weights, by_term), ["query_id"], order, k)
+    folder = scratch_path(spark, "bm25")
+    for part in _blocks(weights, block):
+        top_k(matched_scores(index, part), ["query_id"], order, k).write.mode("append").parquet(folder)
+    best = spark.read.parquet(folder)
     if not pad:
         return best
-    best = materialise(best, "bm25")
     full = best.where("score > 0").groupBy("query_id").count().where(F.col("count") >= k)
-    short = materialise(queries.join(full, "query_id", "left_anti"), "short")
+    short = materialise(queries.join(full, "query_id", "left_anti").select("query_id", _scope().alias("subject")), "short")
     if short.isEmpty():
         return best
-    lacking = weights.join(short.select("query_id"), "query_id", "left_semi")
-    zero = _zero_passages(index, short, matched_scores(index, lacking, by_term), k)
-    return top_k(best.where("score <> 0").drop("rank").unionByName(zero), ["query_id"], order, k)
+    scored = best.where("score <> 0").drop("rank")
+    need = short.withColumn("reach", F.lit(k).cast("long"))
+    sunk = materialise(weights.where("weight < 0").select("query_id").distinct().join(short.select("query_id"), "query_id"), "sunk")
+    if not sunk.isEmpty():
+        again = sized_join(weights, sunk, ["query_id"], "left_semi")
+        folder = scratch_path(spark, "sunk-scores")
+        for part in _blocks(again, block):
+            matched_scores(index, part).where("score <> 0").write.mode("append").parquet(folder)
+        whole = spark.read.parquet(folder)
+        below = whole.where("score < 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_below"))
+        need = short.join(below, "query_id", "left").select("query_id", "subject", (F.coalesce("n_below", F.lit(0)) + k).alias("reach"))
+        scored = scored.join(sunk, "query_id", "left_anti").unionByName(whole)
+    zero = _first_places(index, need).join(scored.select("query_id", "doc"), ["query_id", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(scored.unionByName(zero), ["query_id"], order, k)
 
 
 def find_terms(passages: DataFrame, text: str, groups: Sequence[Sequence[str]]) -> DataFrame:

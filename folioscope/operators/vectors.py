@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import fixed
-from folioscope.plans.scale import top_k
+from folioscope.plans.scale import materialise, scratch_path, top_k
 
 QUERY_BLOCK = 4096
 _CELLS = 2_000_000
@@ -35,12 +34,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame, block_rows: int) -> Iterator[pa.Table]:
-    """The query table in Arrow blocks of about ``block_rows`` rows; one block in most cases."""
-    head = queries.limit(block_rows + 1).toArrow()
-    if head.num_rows <= block_rows:
-        yield head
-        return
-    parts = -(-queries.count() // block_rows)
+    """A stored query table in Arrow blocks of about ``block_rows`` rows."""
+    parts = max(1, -(-queries.count() // block_rows))
     part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
     for p in range(parts):
         yield queries.where(part == p).toArrow()
@@ -108,12 +103,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = QUERY_
 
     ``vectors`` has ``id, vector`` and ``queries`` has ``query_id, vector``. When
     both have ``scope``, a query sees the vectors of its own scope, and a query
-    with a null scope sees all. Ties go to the smaller id.
+    with a null scope sees all. Ties go to the smaller id. The queries are stored first, so an embedding model
+    runs once per query. A block of queries is finished before the next one leaves the driver, and the
+    scopes it asks for are a filter of its scan.
     """
     scoped = "scope" in vectors.columns and "scope" in queries.columns
     columns = ["vector"] + (["scope"] if scoped else [])
     rows = vectors.select("id", *columns).where(F.col("vector").isNotNull())
-    asked = queries.select("query_id", *columns).where(F.col("vector").isNotNull())
+    asked = materialise(queries.select("query_id", *columns), "query-vectors").where(F.col("vector").isNotNull())
     out = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -128,9 +125,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = QUERY_
             pa.field("distance", pa.float64()),
         ]
     )
-    parts = [rows.mapInArrow(_scan(block, k, scoped, arrow), out) for block in _blocks(asked, block_rows)]
-    near = reduce(DataFrame.unionByName, parts)
-    return top_k(near, ["query_id"], [F.asc("distance"), F.asc("id")], k)
+    order = [F.asc("distance"), F.asc("id")]
+    folder = scratch_path(vectors.sparkSession, "nearest")
+    for block in _blocks(asked, block_rows):
+        here = rows
+        if scoped and not block.column("scope").null_count:
+            here = rows.where(F.col("scope").isin(block.column("scope").unique().to_pylist()))
+        near = here.mapInArrow(_scan(block, k, scoped, arrow), out)
+        top_k(near, ["query_id"], order, k).write.mode("append").parquet(folder)
+    return vectors.sparkSession.read.parquet(folder)
 
 
 def _arrow_type(dtype: T.DataType) -> pa.DataType:

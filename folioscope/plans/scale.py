@@ -2,8 +2,8 @@
 
 Three patterns recur in this package:
 
-* *checked broadcast*: a side is broadcast only after its row count has been
-  measured against a bound; beyond it the join falls back to a salted shuffle;
+* *sized joins*: the small side is stored first, so that its size in bytes is known
+  when the join is planned and nothing of it runs twice;
 * *block carry*: ordered operations inside a group (forward fill, previous value,
   running sum) run per fixed-width block of positions, and one small summary row
   per block carries the state on, so that one huge group is spread over many tasks;
@@ -12,6 +12,7 @@ Three patterns recur in this package:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -19,18 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-"""Largest table, in rows, that is broadcast; rows here are short (ids, terms, weights)."""
-
 BLOCK = 1 << 16
 """Default width of a position block."""
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; the limit stops the count early."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 SMALL_INPUT_PER_CORE = 128 << 20
 """Input bytes per core below which rows are dealt out; this is the usual size of one split."""
 
@@ -47,30 +40,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL_INPUT_PER_CORE else df
 
 
-def checked_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    spread: str,
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = 64,
-) -> DataFrame:
-    """Join ``big`` with ``small`` on ``keys``.
+def sized_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` with ``small``, which is stored first unless it is a plain scan.
 
-    ``small`` is broadcast when its measured size is within the bound. Otherwise
-    both sides are shuffled with a salt taken from ``big[spread]`` (a column that
-    varies inside a hot key), and ``small`` is replicated once per salt. Where
-    ``spread`` is a key itself, keys of ``big`` do not repeat and need no salt.
+    Spark then knows the bytes of ``small``: below its broadcast threshold ``big`` is not shuffled. Above it both
+    sides are, and adaptive execution splits the large partitions of a hot key of ``big``.
     """
-    keys = list(keys)
-    if fits(small, max_rows):
-        return big.join(F.broadcast(small), keys, how)
-    if spread in keys:
-        return big.join(small, keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    scan = small._jdf.queryExecution().optimizedPlan().nodeName().startswith("LogicalRelation")
+    return big.join(small if scan else materialise(small, "small-side"), list(keys), how)
 
 
 def _grouped(df: DataFrame, keys: Sequence[str], position: str, width: int) -> DataFrame:
@@ -150,13 +127,22 @@ def running_sum(
     amount: Column,
     name: str,
     width: int = BLOCK,
+    blocks: bool = True,
 ) -> DataFrame:
-    """Exclusive running sum of ``amount`` in ``position`` order inside each group."""
+    """Exclusive running sum of ``amount`` in ``position`` order inside each group.
+
+    Without ``keys`` and with ``blocks`` the sums of the blocks are carried on in two levels, so that no task
+    sees all of them.
+    """
     base = _grouped(df, keys, position, width).withColumn("_amount", amount.cast("long"))
     inside = Window.partitionBy("_key").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     out = base.withColumn("_inside", F.sum("_amount").over(inside))
     summary = out.groupBy("_key").agg(F.sum("_amount").alias("_total"))
-    carry = summary.withColumn("_carry", F.sum("_total").over(_across_blocks(keys))).drop("_total")
+    if keys or not blocks:
+        carry = summary.withColumn("_carry", F.sum("_total").over(_across_blocks(keys))).drop("_total")
+    else:  # the blocks of one order without groups are summed by blocks of blocks
+        numbered = summary.select(F.col("_key").alias("_outer"), F.col("_key._blk").alias("_number"), "_total")
+        carry = running_sum(numbered, [], "_number", F.col("_total"), "_carry", width, blocks=False).select(F.col("_outer").alias("_key"), "_carry")
     out = out.join(carry, "_key", "left")
     zero = F.lit(0).cast("long")
     out = out.withColumn(name, F.coalesce("_inside", zero) + F.coalesce("_carry", zero))
@@ -170,17 +156,30 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only when none is named."""
+    """The cluster's shared checkpoint folder; a temporary one only where the master is local and none is named."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
         configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of all scratch tables of this application."""
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's scratch folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's scratch folder; call it when no result read from there is needed any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.operators.chunking import first_of_each_id
 from folioscope.operators.vectors import HashingEncoder, embed
-from folioscope.plans.scale import checked_join
+from folioscope.plans.scale import materialise, sized_join
 
 METADATA = ["subject", "grade", "chapter"]
 
@@ -61,9 +61,8 @@ class Collection:
         insert never shuffles a large collection.
         """
         unique = first_of_each_id(rows, [c for c in ("book_id", "chunk_ix") if c in rows.columns] or ["text"])
-        known = checked_join(
-            self.read().select("chunk_id"), rows.select("chunk_id").distinct(), ["chunk_id"], spread="chunk_id", how="left_semi"
-        )
+        unique = materialise(unique, "incoming")  # chunked and hashed once
+        known = sized_join(self.read().select("chunk_id"), unique.select("chunk_id"), ["chunk_id"], "left_semi")
         return unique.join(known, "chunk_id", "left_anti")
 
     def add(self, rows: DataFrame) -> None:
@@ -85,18 +84,17 @@ class Collection:
 
     def get(self, ids: DataFrame, include: Sequence[str] = ("text", *METADATA)) -> DataFrame:
         """Stored rows of the given ids."""
-        return checked_join(
-            self.read().select("chunk_id", *include), ids.select("chunk_id").distinct(), ["chunk_id"], spread="chunk_id", how="left_semi"
-        )
+        return sized_join(self.read().select("chunk_id", *include), ids.select("chunk_id").distinct(), ["chunk_id"], "left_semi")
 
     def count(self) -> int:
         return self.read().count()
 
 
 def patched(rows: DataFrame, updates: DataFrame) -> DataFrame:
-    """``rows`` with the metadata columns of ``updates`` put in where an id matches."""
+    """``rows`` with the metadata columns of ``updates`` put in where an id matches; of several updates for an id the largest counts."""
     named = [c for c in METADATA if c in updates.columns]
-    fresh = updates.select("chunk_id", *[F.col(c).alias(f"_new_{c}") for c in named]).dropDuplicates(["chunk_id"])
+    fresh = updates.select("chunk_id", *[F.col(c).alias(f"_new_{c}") for c in named])
+    fresh = fresh.groupBy("chunk_id").agg(F.max(F.struct(*[f"_new_{c}" for c in named])).alias("_new")).select("chunk_id", "_new.*")
     out = rows.join(fresh, "chunk_id", "left")
     for c in named:
         out = out.withColumn(c, F.coalesce(f"_new_{c}", c))
@@ -105,13 +103,11 @@ def patched(rows: DataFrame, updates: DataFrame) -> DataFrame:
 
 def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` whose id is not listed."""
-    return checked_join(rows, ids.select("chunk_id").distinct(), ["chunk_id"], spread="chunk_id", how="left_anti")
+    return sized_join(rows, ids.select("chunk_id").distinct(), ["chunk_id"], "left_anti")
 
 
 def embedding_cache(spark: SparkSession, path: str, chunks: DataFrame, make_model: Callable = HashingEncoder) -> DataFrame:
     """Embeddings of ``chunks`` by id: computed and stored for ids not stored yet, read for the rest."""
     store = Collection(spark, path)
     store.add_texts(chunks, make_model)
-    return checked_join(
-        store.read().select("chunk_id", "embedding"), chunks.select("chunk_id").distinct(), ["chunk_id"], spread="chunk_id", how="left_semi"
-    )
+    return sized_join(store.read().select("chunk_id", "embedding"), chunks.select("chunk_id").distinct(), ["chunk_id"], "left_semi")

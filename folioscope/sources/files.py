@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope import schemas
 from folioscope.functions.text import clean_board_text
+from folioscope.operators.chapters import starts_by_file
 
 PageDecoder = Callable[[bytes], list[str]]
 GridDecoder = Callable[[bytes], list[list[list[list[str | None]]]]]
@@ -119,11 +120,16 @@ def filename_parts_by_position(name: Column) -> list[Column]:
 def load_books(
     spark: SparkSession, directory: str, decode: PageDecoder = pdf_page_texts, clean: Callable[[Column], Column] = clean_board_text
 ) -> DataFrame:
-    """Decoded and cleaned books with their file-name metadata, one row per file."""
+    """Decoded and cleaned books with their file-name metadata, one row per file.
+
+    ``starts`` holds the hand-made chapter starts of the books that have some; ``book_boundaries`` uses them.
+    """
     decoded = decode_pages(book_files(spark, directory), decode)
-    return decoded.select(
+    books = decoded.select(
         F.col("filename").alias("book_id"), *filename_parts(F.col("filename")), "page_texts", clean(joined_text(F.col("page_texts"))).alias("text")
     )
+    listed = starts_by_file(spark).withColumnRenamed("filename", "book_id")  # a fixed table of a few rows
+    return books.join(F.broadcast(listed), "book_id", "left")
 
 
 def read_text(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> DataFrame:

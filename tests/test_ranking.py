@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import fusion, lexical, vectors
-from folioscope.plans import scale
 
 WORDS = "atom bond cell dna energy force gene heat ion joule light mass".split()
 
@@ -55,13 +54,10 @@ def index(request, spark, tmp_path_factory):
     return built if request.param == "lazy" else built.save(str(tmp_path_factory.mktemp("index") / "i"))
 
 
-@pytest.mark.parametrize("by_term", [None, True, False])
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_bm25_matches_plain(spark, index, by_term, broadcast, monkeypatch):
-    if not broadcast:
-        monkeypatch.setattr(scale, "fits", lambda *_: False)
+@pytest.mark.parametrize("block", [5, 100_000])
+def test_bm25_matches_plain(spark, index, block):
     asked = spark.createDataFrame(QUESTIONS, "query_id long, text string, subject string")
-    found = lexical.search(index, asked, 7, by_term=by_term).collect()
+    found = lexical.search(index, asked, 7, block=block).collect()
     for q, text, subject in QUESTIONS:
         got = [(r.doc, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)]
         want = plain_bm25(passages(120), text, subject, 7)
@@ -69,9 +65,8 @@ def test_bm25_matches_plain(spark, index, by_term, broadcast, monkeypatch):
         assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-8)
 
 
-def test_bm25_with_scores_below_zero(spark, monkeypatch):
+def test_bm25_with_scores_below_zero(spark):
     """Nearly every word is in nearly every passage, so the floor itself is negative."""
-    monkeypatch.setattr(lexical, "PREFIX", 0)
     rows = [(i, "atom bond" if i % 7 else "cell", "x") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, text string, subject string")
     index = lexical.build_index(df, "id", "id", "text", "subject")
@@ -172,3 +167,21 @@ def test_encoder_gives_unit_vectors(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 20")
     norms = vectors.embed(docs, "text").select(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("n"))
     assert norms.where(F.abs(F.col("n") - 1) > 1e-4).count() == 0
+
+
+def test_knn_embeds_each_query_once_and_filters_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 1.0], f"s{i % 3}") for i in range(60)], "id long, vector array<double>, scope string")
+    rows.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def model(i):
+        calls.add(1)
+        return [float(i), 1.0]
+
+    asked = spark.createDataFrame([(i, f"s{i % 2}") for i in range(20)], "query_id long, scope string").withColumn("vector", model("query_id"))
+    found = vectors.knn(stored, asked, 2, block_rows=4)
+    assert found.count() == 40 and calls.value == 20
+    plan = stored.where(F.col("scope").isin(["s0", "s1"])).mapInArrow(lambda b: b, stored.schema)._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(scope, [s0,s1])]" in plan

@@ -57,11 +57,20 @@ def test_running_sum(spark, keys, width):
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti", "left"])
-def test_checked_join_is_the_same_on_both_sides_of_the_bound(spark, how):
+def test_sized_join_is_the_same_on_both_sides_of_the_bound(spark, how):
     big = spark.createDataFrame([(i % 3 if i % 2 else 9, i) for i in range(100)], "k long, n long")
     small = spark.createDataFrame([(9, "hot"), (1, "one"), (1, "uno")], "k long, name string")
-    plain = lambda bound: sorted(map(tuple, scale.checked_join(big, small, ["k"], "n", how, max_rows=bound, salts=5).collect()), key=str)
-    assert plain(0) == plain(1000)
+    found = []
+    for bound in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        found.append(sorted(map(tuple, scale.sized_join(big, small, ["k"], how).collect()), key=str))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1]
+
+
+def test_scratch_is_removed(spark):
+    df = scale.materialise(spark.range(3), "kept")
+    assert df.count() == 3 and scale.scratch_root(spark) in df.inputFiles()[0]
 
 
 def test_as_of_label(spark):

@@ -46,17 +46,13 @@ def test_page_joins_differ(spark, library):
 
 def test_books_with_boundaries(spark, library):
     books = files.load_books(spark, library, decode)
-    starts = F.when(
-        F.col("book_id") == BOOK,
-        F.array(*[F.struct(F.lit(p).cast("long").alias("page_index"), F.lit(n).alias("label")) for p, n in [(4, "1. Periodic Table"), (23, "2. Atoms")]]),
-    )
-    rows = {r.subject: r for r in chapters.book_boundaries(books.withColumn("starts", starts)).collect()}
+    rows = {r.subject: r for r in chapters.book_boundaries(books).collect()}
     biology, chemistry = rows["Biology"], rows["Chemistry"]
     assert (biology.grade, biology.board, biology.year, biology.extension) == ("12th", "Board", "2026", "pdf")
     assert [b.chapter for b in biology.chapter_boundaries] == ["Front Matter", "1.1 Cell Theory", "2.1 Gas Exchange"]
     for b in biology.chapter_boundaries[1:]:
         assert biology.text[b.offset :].startswith(b.chapter)
-    assert [tuple(b) for b in chemistry.chapter_boundaries] == [(chemistry.text.index("PERIODIC"), "1. Periodic Table")]
+    assert [tuple(b) for b in chemistry.chapter_boundaries] == [(chemistry.text.index("PERIODIC"), "1. Periodic Table and Periodic Properties")]
 
 
 def test_page_rows_and_hand_made_starts(spark, library):
