@@ -131,7 +131,7 @@ def chunks_with_starts(text: str, size: int, overlap: int) -> Iterator[tuple[str
         yield chunk, start
 
 
-def recursive_chunks(df: DataFrame, text: str = "text", size: int = 450, overlap: int = 100) -> DataFrame:
+def recursive_chunks(df: DataFrame, text: str = "text", size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP) -> DataFrame:
     """Chunks cut at paragraphs, else lines, else words, else characters."""
     if overlap > size:
         raise ValueError("overlap must not be larger than size")
@@ -168,7 +168,7 @@ def recursive_chunks(df: DataFrame, text: str = "text", size: int = 450, overlap
     return df.select(*others, text).mapInArrow(run, schema)
 
 
-def chunk_books(books: DataFrame, size: int = 450, overlap: int = 100, method: str = "recursive") -> DataFrame:
+def chunk_books(books: DataFrame, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP, method: str = "recursive") -> DataFrame:
     """Chunk every book by ``method`` and label each chunk with its chapter.
 
     ``books`` has ``book_id, text, subject, grade`` and, for labels,
