@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from folioscope.llm.components import components
 from folioscope.llm.langid import slices
 from folioscope.llm.line_dedup import has, places, repeat_filter
-from folioscope.llm.tokens import per_process
+from folioscope.llm.tokens import per_process, small_parts
 from folioscope.plans.scale import materialise
 
 LANES = 16
 """64-bit words of the parity sketch."""
-CACHED = 600_000
+CACHED = 300_000
 BYTES_PER_WORD = 6
 """What a word takes in common text, to size the filter."""
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -120,8 +120,8 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[int]]]:
     """Ids, shingle sets and set ids of some whole texts at a time; the set id of an empty set is 0."""
-    words = per_process("word hashes", WordHashes)
-    for batch in batches:
+    words = per_process("jaccard", "words", WordHashes)
+    for batch in small_parts(batches):
         for first, texts in slices(batch.column("text").to_pylist()):
             sets = shingle_sets(texts, n, words)
             ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in sets]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import per_process
+from folioscope.llm.tokens import per_process, small_parts
 from folioscope.plans.scale import materialise
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,7 +31,7 @@ RUN = re.compile(r"[^\W\d_]{1,40}")
 LONGEST = 16
 """Longest piece, in bytes, that is used; all single bytes are pieces, so any text has a segmentation."""
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHED = 400_000
+CACHED = 250_000
 SLICE = 1 << 20
 
 
@@ -173,7 +173,7 @@ class Model:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_parts(batches):
         counts: Counter = Counter()
         langs = batch.column("lang").to_pylist()
         for first, texts in slices(batch.column("text").to_pylist()):
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: st
         shared = spark.sparkContext.broadcast(chance)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            pieces = per_process(("pieces", vocabulary), lambda: Pieces(vocabulary))
+            pieces = per_process("langid", vocabulary, lambda: Pieces(vocabulary))
             found = np.zeros_like(shared.value)
             for batch in batches:
                 lang = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64)
@@ -233,7 +233,7 @@ class WordScores(dict):
     """Row in ``table`` of every run of letters met so far; row 0 is for runs without a letter."""
 
     def __init__(self, model: Model):
-        self.model, self.pieces = model, per_process(("pieces", model.path), lambda: Pieces(model.path))
+        self.model, self.pieces = model, per_process("langid", model.path, lambda: Pieces(model.path))
         self.table = np.zeros((1, len(model.langs)))
 
     def learn(self, runs: set[str]) -> None:
@@ -263,11 +263,11 @@ def scores_of(texts: list[str], words: WordScores) -> tuple[np.ndarray, np.ndarr
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value) if shared.value else None
-        kept = per_process("word scores", dict)
+        kept = per_process("langid", "word scores", dict)
         if model and model.key not in kept:
             kept.clear()
             kept[model.key] = WordScores(model)
-        for batch in batches:
+        for batch in small_parts(batches):
             lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             for first, texts in slices(batch.column(batch.num_columns - 1).to_pylist()) if model else ():
                 chance, n = scores_of(texts, kept[model.key])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.langid import slices
-from folioscope.llm.tokens import per_process
+from folioscope.llm.tokens import per_process, small_parts
 from folioscope.plans.scale import materialise
 
 WORDS = 1 << 14
@@ -29,7 +29,7 @@ BINS = len(EDGES) + 1
 STATS = ["upper", "digit", "bar", "bang", "symbol", "other_punct", "newline", "beyond_ascii", "repeat", "distinct", "top_word", "word_length", "size"]
 RANK = 6
 STEPS = 60
-CACHED = 600_000
+CACHED = 300_000
 
 KINDS = np.zeros(256, np.int64)
 """Class of each byte: 0 other, then as the first eight of ``STATS``, 9 ASCII lower case."""
@@ -153,8 +153,8 @@ FIT_ROW = "part int, label double, feature array<long>, value array<double>"
 
 def _featurised(texts: DataFrame, n_meta: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = per_process("quality buckets", Buckets)
-        for batch in batches:
+        buckets = per_process("quality", "buckets", Buckets)
+        for batch in small_parts(batches):
             meta = np.array([batch.column(f"_m{k}").to_pylist() for k in range(n_meta)], float).reshape(n_meta, -1).T
             for first, part in slices(batch.column("_text").to_pylist()):
                 n = len(part)
@@ -235,9 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_co
 
 def _score(shared, n_meta: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = per_process("quality buckets", Buckets)
+        buckets = per_process("quality", "buckets", Buckets)
         bias, table = shared.value
-        for batch in batches:
+        for batch in small_parts(batches):
             meta = np.array([batch.column(f"_m{k}").to_pylist() for k in range(n_meta)], float).reshape(n_meta, -1).T
             score = np.zeros(batch.num_rows)
             for first, part in slices(batch.column("_text").to_pylist()):

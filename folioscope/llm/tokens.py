@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import public_tokenizers
+import pyarrow as pa
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 """Default vocabulary file; it lies at the same path on every machine."""
@@ -16,17 +17,28 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
 
 
-def per_process(key: Any, make: Callable[[], Any]) -> Any:
-    """A value that lives as long as the Python worker.
+def per_process(user: str, key: Any, make: Callable[[], Any]) -> Any:
+    """A value that outlives a task in its Python worker, until another ``user`` works there.
 
-    Functions travel to the tasks by value, so their module's globals do not outlive a task.
+    Functions travel to the tasks by value, so their module's globals do not outlive a task. A worker
+    serves many stages, and the tables of one must not lie beside those of the next.
     """
     kept = sys.__dict__.setdefault("_folioscope_kept", {})
+    if kept.get("user") != user:
+        kept.clear()
+        kept["user"] = user
     if key not in kept:
         kept[key] = make()
     return kept[key]
 
 
+def small_parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, as texts take more room in Python than in Arrow."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 class WordEncoder(dict):
     """Ids, as unsigned 32-bit integers (little-endian machines are assumed), of the chunks between spaces.
 
@@ -86,4 +98,4 @@ class WordEncoder(dict):
 
 
 def word_encoder(path: str = WORD_BPE) -> WordEncoder:
-    return per_process(("word encoder", path), lambda: WordEncoder(path))
+    return per_process("tokens", path, lambda: WordEncoder(path))
