@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.tokens import per_process
 from folioscope.plans.scale import materialise
 
 PROBES = 3
@@ -78,6 +79,7 @@ def _line_hashes(min_chars: int):
 
 def _fill(bits: int, hashes_of, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_process("filters", "none", dict)  # frees the tables of earlier stages
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for found in hashes_of(batches):
             hashes, counts = np.unique(found, return_counts=True)
