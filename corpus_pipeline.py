@@ -17,8 +17,6 @@ from folioscope.llm.packing import pieces_of, place
 from folioscope.plans.scale import materialise
 
 TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
-BUDGET = 1.1
-"""Wanted tokens after mixing, in multiples of the tokens before."""
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of domains below their target come more than once; every document comes at least once."""
+    """Documents are repeated until the domains have their target shares of the tokens; every document comes at least once."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixed = mix(docs, labels, TARGETS, budget=BUDGET, least_rate=1.0)
+    mixed = mix(docs, labels, TARGETS, budget=None, least_rate=1.0)
     return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 

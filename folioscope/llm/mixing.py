@@ -4,7 +4,8 @@ A classifier fitted on a labelled table gives every document a posterior over do
 document gets a nonnegative rate so that the expected tokens of each domain come as near to their
 targets as least squares allows. One step of projected gradient needs one number per domain from
 all documents, and a document's rate follows from those numbers; so a step is one aggregation over a
-narrow table and nothing else is kept between steps.
+narrow table and nothing else is kept between steps. Without a fixed
+budget, damped Newton steps on one price per domain take their place, with a number for each pair of domains.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.plans.scale import materialise
 
+RIDGE = 1e-8
+"""Weight of the prices against the targets; it keeps prices finite where the targets cannot be met."""
+MOST_NEWTON = 200
 BUCKETS = 4096
 """Buckets of hashed words; number 0 is for the empty string between two spaces."""
 
@@ -96,6 +101,60 @@ def rate_after(steps: list[list[float]], least: float) -> Column:
     return rate
 
 
+def rate_at(prices: list[float], least: float) -> Column:
+    """The rates nearest to 1 (in squares, by tokens) for the totals that they give: 1 less the price of a document's domains."""
+    return F.greatest(F.lit(least), F.lit(1.0) - sum((F.get("posterior", F.lit(i)) * float(x) for i, x in enumerate(prices)), F.lit(0.0)))
+
+
+def near(totals: np.ndarray, wanted: np.ndarray, tolerance: float) -> bool:
+    return bool((np.abs(totals - wanted) <= tolerance * np.maximum(wanted, 1.0)).all())
+
+
+def settle(soft: DataFrame, base: np.ndarray, weights: np.ndarray, budget: float | None, least: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Prices by domain, the totals at their rates, and whether the totals are as near to the targets as can be.
+
+    The prices maximise the dual of the least squares, a concave function. A step is damped by the domains' tokens,
+    which bound the curvature, so that a fully damped step always gains; damping falls while steps gain. Without a ``budget``
+    the totals only have to be in the proportion of ``weights``, and prices stay orthogonal to those.
+    """
+    k, whole = range(len(base)), base.sum()
+    free = np.linalg.svd(weights[None])[2][1:].T if budget is None else np.eye(len(base))
+
+    def at(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        p, n = [F.get("posterior", F.lit(i)) for i in k], F.col("n_tokens")
+        rated = soft.select("n_tokens", "posterior", rate_at(list(prices), least).alias("rate"))
+        rate = F.col("rate")
+        cost = sum((p[i] * float(x) for i, x in enumerate(prices)), F.lit(0.0))
+        curved = [F.sum(F.when(rate > least, n * p[i] * p[j]).otherwise(0.0)) for i in k for j in k]
+        found = rated.agg(F.sum(n * ((rate - 1) * (rate - 1) / 2 + rate * cost)), *[F.sum(n * p[i] * rate) for i in k], *curved).first()
+        found = np.array(found, float) / whole
+        wanted = 0.0 if budget is None else budget * weights
+        gain = found[0] - prices @ (wanted + RIDGE / 2 * base / whole * prices)
+        slope = found[1 : 1 + len(base)] - wanted - RIDGE * base / whole * prices
+        return gain, free.T @ slope, found
+
+    prices, damping = np.zeros(len(base)), 1.0
+    scale = np.diag(np.maximum(base / whole, 1e-12))
+    gain, slope, found = at(prices)
+    for _ in range(MOST_NEWTON):
+        totals = found[1 : 1 + len(base)] * whole
+        if near(totals, weights * (totals.sum() if budget is None else budget * whole), tolerance):
+            return prices, totals, True
+        curved = found[1 + len(base) :].reshape(len(base), -1)
+        step = np.linalg.solve(free.T @ (curved + max(damping, RIDGE) * scale) @ free, slope)
+        if slope @ step <= 1e-13 * max(1.0, abs(gain)) and damping <= RIDGE:
+            return prices, totals, True
+        tried = prices + free @ step
+        after = at(tried)
+        if after[0] >= gain:
+            prices, (gain, slope, found), damping = tried, after, max(damping / 10, RIDGE)
+        elif damping >= 1.0:
+            return prices, totals, True  # a step that must gain loses to rounding
+        else:
+            damping = min(1.0, damping * 10)
+    return prices, found[1 : 1 + len(base)] * whole, False
+
+
 def mix(
     docs: DataFrame,
     labels: DataFrame,
@@ -104,7 +163,7 @@ def mix(
     keep: list[str] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    budget: float = 1.0,
+    budget: float | None = 1.0,
     least_rate: float = 0.0,
     max_rows: int = 6000,
     sharpness: float = 40.0,
@@ -113,7 +172,9 @@ def mix(
 ) -> DataFrame:
     """``keep`` columns (all by default) of every row of ``docs`` with ``n_tokens``, ``posterior``, ``rate`` and ``copies``.
 
-    ``targets`` are weights by domain; the wanted tokens are ``budget`` times all tokens. ``domain`` names the domain
+    ``targets`` are weights by domain; the wanted tokens are ``budget`` times all tokens. Without a budget, rates are those
+    nearest to 1 that give the tokens the proportion of the targets, however many they are; if none do, or if that takes more than
+    twice the tokens at which the most over-represented domain has its target at rate 1, those tokens are the budget. ``domain`` names the domain
     of a row of ``labels``; rows without one, or without an id, are not learnt from, and repeated rows count
     again. ``posterior`` is an array in the order of the sorted domain names. ``copies`` is the rate, rounded up or down by a fixed
     hash of the id and text, so that its expectation is the rate. Null and empty texts have the shares of the labels as posterior
@@ -133,16 +194,26 @@ def mix(
 
     base = totals(F.lit(1.0))
     whole = sum(targets.values())
-    wanted = [targets[d] / whole * budget * sum(base) for d in domains]
+    weights = np.array([targets[d] / whole for d in domains])
     steps: list[list[float]] = []
-    now = base
+    rate, now = F.lit(1.0), np.array(base)
+    if budget is None and sum(base) > 0:
+        prices, now, _ = settle(soft, np.array(base), weights, None, least_rate, tolerance)
+        rate = rate_at(list(prices), least_rate)
+        budget = float(max(b / sum(base) / w for b, w in zip(base, weights) if w > 0))
+        if near(now, weights * now.sum(), tolerance) and now.sum() <= 2 * budget * sum(base):
+            budget = now.sum() / sum(base)
+        else:
+            rate, now = F.lit(1.0), np.array(base)
+    wanted = weights * (1.0 if budget is None else budget) * sum(base)
     while len(steps) < max_steps and sum(base) > 0:
-        if all(abs(a - b) <= tolerance * max(b, 1.0) for a, b in zip(now, wanted)):
+        if near(now, wanted, tolerance):
             break
         # errors count relative to a domain's tokens; with that the largest curvature is 1, so full steps converge
         steps.append([(a - b) / max(s, 1e-9) for a, b, s in zip(now, wanted, base)])
-        before, now = now, totals(rate_after(steps, least_rate))
-        if all(abs(a - b) <= 1e-6 * max(b, 1.0) for a, b in zip(now, before)):
-            break  # as near as rates of at least ``least_rate`` come
-    rated = soft.withColumn("rate", rate_after(steps, least_rate))
+        rate = rate_after(steps, least_rate)
+        before, now = now, np.array(totals(rate))
+        if near(now, before, 1e-6):
+            break  # as near as rates of at least ``least_rate`` come, or creeping
+    rated = soft.withColumn("rate", rate)
     return rated.select(*keep, "n_tokens", "posterior", "rate", F.floor(F.col("rate") + F.col("copies")).cast("int").alias("copies"))

@@ -10,6 +10,7 @@ from test_text_operators import plain_dedup
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from folioscope.llm.mixing import mix
 from folioscope.llm.queries import ORACLES, QUERIES
 from folioscope.llm.tokens import WORD_BPE
 from folioscope.plans.scale import materialise
@@ -140,3 +141,13 @@ def test_pipeline(spark, sf_dir):
             assert sorted(after) == sorted((d, t) for d, t in before if root[d] == d)
         if name == "mixing":
             assert set(after) == set(before) and len(after) >= len(before)
+
+
+def test_mixing_stage_meets_targets(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), corpus_pipeline.TARGETS, keep=["doc_id"]).collect()
+    copies = {r.doc_id: r["count"] for r in corpus_pipeline.mixing(spark, docs, sf_dir).groupBy("doc_id").count().collect()}
+    assert set(copies) == {r.doc_id for r in mixed}
+    tokens = np.array([r.n_tokens * copies[r.doc_id] for r in mixed]) @ np.array([r.posterior for r in mixed])
+    assert np.allclose(tokens / tokens.sum(), [corpus_pipeline.TARGETS[d] for d in sorted(corpus_pipeline.TARGETS)], atol=0.01)
