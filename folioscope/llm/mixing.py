@@ -4,13 +4,14 @@ A classifier fitted on a labelled table gives every document a posterior over do
 document gets a nonnegative rate so that the expected tokens of each domain come as near to their
 targets as least squares allows. One step of projected gradient needs one number per domain from
 all documents, and a document's rate follows from those numbers; so a step is one aggregation over a
-narrow table and nothing else is kept between steps. Without a fixed
-budget, damped Newton steps on one price per domain take their place, with a number for each pair of domains.
+narrow table and nothing else is kept between steps. Where those steps do not get to the targets, damped
+Newton steps on one price per domain do, with as many numbers as there are pairs of domains.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import math
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from folioscope.plans.scale import materialise
 
+LOG = logging.getLogger(__name__)
 RIDGE = 1e-8
 """Weight of the prices against the targets; it keeps prices finite where the targets cannot be met."""
 MOST_NEWTON = 200
@@ -174,7 +176,8 @@ def mix(
 
     ``targets`` are weights by domain; the wanted tokens are ``budget`` times all tokens. Without a budget, rates are those
     nearest to 1 that give the tokens the proportion of the targets, however many they are; if none do, or if that takes more than
-    twice the tokens at which the most over-represented domain has its target at rate 1, those tokens are the budget. ``domain`` names the domain
+    twice the tokens at which the most over-represented domain has its target at rate 1, those tokens are the budget. Totals that
+    stay off the targets are logged as a warning. ``max_steps`` bounds the gradient steps, not those after them. ``domain`` names the domain
     of a row of ``labels``; rows without one, or without an id, are not learnt from, and repeated rows count
     again. ``posterior`` is an array in the order of the sorted domain names. ``copies`` is the rate, rounded up or down by a fixed
     hash of the id and text, so that its expectation is the rate. Null and empty texts have the shares of the labels as posterior
@@ -196,7 +199,7 @@ def mix(
     whole = sum(targets.values())
     weights = np.array([targets[d] / whole for d in domains])
     steps: list[list[float]] = []
-    rate, now = F.lit(1.0), np.array(base)
+    rate, now, settled = F.lit(1.0), np.array(base), True
     if budget is None and sum(base) > 0:
         prices, now, _ = settle(soft, np.array(base), weights, None, least_rate, tolerance)
         rate = rate_at(list(prices), least_rate)
@@ -215,5 +218,11 @@ def mix(
         before, now = now, np.array(totals(rate))
         if near(now, before, 1e-6):
             break  # as near as rates of at least ``least_rate`` come, or creeping
+    if not near(now, wanted, tolerance):
+        prices, now, settled = settle(soft, np.array(base), weights, budget, least_rate, tolerance)
+        rate = rate_at(list(prices), least_rate)
+    if not near(now, wanted, tolerance):
+        how = "the nearest that rates allow" if settled else "steps did not settle"
+        LOG.warning("mixing: tokens %s for wanted %s (%s; %s)", now.tolist(), wanted.tolist(), domains, how)
     rated = soft.withColumn("rate", rate)
     return rated.select(*keep, "n_tokens", "posterior", "rate", F.floor(F.col("rate") + F.col("copies")).cast("int").alias("copies"))

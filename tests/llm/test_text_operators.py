@@ -198,3 +198,22 @@ def test_mixing_meets_targets(spark):
     floor = mixing.mix(docs, labels, targets, least_rate=1.0, budget=1.5).collect()
     assert min(r.copies for r in floor) >= 1
     assert mixing.mix(empty_documents(spark), labels, targets).count() == 0
+
+
+@pytest.mark.parametrize("sharpness, least, budget", [(40.0, 0.0, 1.0), (0.3, 0.0, 1.0), (1.0, 1.0, None), (40.0, 1.0, None)])
+def test_mixing_meets_targets_with_weak_posteriors_and_without_a_budget(spark, sharpness, least, budget):
+    rows = [(i, ("plain good words here " if i % 4 else "junk ### stuff $$$ ") * (1 + i % 5), "en", "s", 1) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    share = 0.7 if sharpness < 1 else 0.5
+    got = mixing.mix(spark.createDataFrame(rows, DDL), labels, {"good": share, "poor": 1 - share}, sharpness=sharpness, least_rate=least, budget=budget).collect()
+    tokens, p, rate = np.array([r.n_tokens for r in got]), np.array([r.posterior for r in got]), np.array([r.rate for r in got])
+    after = (tokens * rate) @ p
+    assert rate.min() >= least and np.allclose(after / after.sum(), [share, 1 - share], rtol=0.002)
+    assert budget is None or np.isclose(after.sum(), budget * tokens.sum(), rtol=0.002)
+
+
+def test_mixing_reports_targets_out_of_reach(spark, caplog):
+    rows = [(i, "plain good words here", "en", "s", 1) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(spark.createDataFrame(rows, DDL), labels, {"good": 0.5, "poor": 0.5}, least_rate=1.0, budget=None).collect()
+    assert "mixing" in caplog.text and all(1 <= r.rate <= 2.01 for r in got)
