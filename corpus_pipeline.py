@@ -20,8 +20,8 @@ TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, for which no language can be told, go; null texts are such."""
-    return identify(docs).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    """Documents without any letter, for which no language can be told, go; null texts are such. Labels are not needed for that."""
+    return identify(docs, unlearnt="any").where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

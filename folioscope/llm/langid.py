@@ -260,7 +260,7 @@ def scores_of(texts: list[str], words: WordScores) -> tuple[np.ndarray, np.ndarr
     return out, n
 
 
-def _predict(shared):
+def _predict(shared, unlearnt: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value) if shared.value else None
         kept = per_process("langid", "word scores", dict)
@@ -269,7 +269,12 @@ def _predict(shared):
             kept[model.key] = WordScores(model)
         for batch in small_parts(batches):
             lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            for first, texts in slices(batch.column(batch.num_columns - 1).to_pylist()) if model else ():
+            for first, texts in slices(batch.column(batch.num_columns - 1).to_pylist()):
+                if not model:
+                    for i, text in enumerate(texts):
+                        if any(as_word(run[0]) for run in RUN.finditer(text.lower())):
+                            lang[first + i] = unlearnt
+                    continue
                 chance, n = scores_of(texts, kept[model.key])
                 chance = chance + np.log(model.prior)
                 share = np.exp(chance - chance.max(axis=1, keepdims=True))
@@ -293,12 +298,13 @@ def identify(
     vocabulary: str = VOCABULARY,
     max_rows: int = 1500,
     passes: int = 3,
+    unlearnt: str = UNKNOWN,
 ) -> DataFrame:
     """``keep`` columns of every row with ``lang_pred`` and ``score``, the posterior of that language.
 
     Only texts and non-null labels of rows that ``learn`` admits (all, by default) are learnt from,
     about ``max_rows`` of each language. ``und`` with score 0 stands for a null text, a text
-    without a letter, and every text where no row is labelled. Ties go to the language first by name.
+    without a letter; where no row is labelled, every text with a letter is ``unlearnt``. Ties go to the language first by name.
     Letters are those of Unicode; a run of more than 40 is read as several words. ``keep`` columns named
     like the two results are replaced.
     """
@@ -308,4 +314,4 @@ def identify(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared, unlearnt), f"{schema}, lang_pred string, score double")

@@ -151,3 +151,9 @@ def test_mixing_stage_meets_targets(spark, sf_dir):
     assert set(copies) == {r.doc_id for r in mixed}
     tokens = np.array([r.n_tokens * copies[r.doc_id] for r in mixed]) @ np.array([r.posterior for r in mixed])
     assert np.allclose(tokens / tokens.sum(), [corpus_pipeline.TARGETS[d] for d in sorted(corpus_pipeline.TARGETS)], atol=0.01)
+
+
+def test_language_stage_without_labels(spark, sf_dir):
+    rows = [(1, "some words", None, None, None), (2, "12 !?", None, None, None), (3, None, None, None, None), (4, "É", None, None, None)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()) == [1, 4]
