@@ -157,3 +157,12 @@ def test_language_stage_without_labels(spark, sf_dir):
     rows = [(1, "some words", None, None, None), (2, "12 !?", None, None, None), (3, None, None, None, None), (4, "É", None, None, None)]
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()) == [1, 4]
+
+
+def test_near_duplicate_stage_with_repeated_ids(spark, sf_dir):
+    text, other, third = "a b c d e f g", "o p q r s t u", "h i j k l m n"
+    rows = [(1, text), (5, text), (5, other), (5, other), (7, third), (7, third), (8, None), (8, None), (9, "!"), (None, text), (9, other)]
+    docs = spark.createDataFrame([(d, t, "en", "s", i) for i, (d, t) in enumerate(rows)], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    want = [(None, text), (1, text), (5, other), (7, third), (8, None), (8, None), (9, "!")]
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
