@@ -28,8 +28,6 @@ from folioscope.plans.scale import materialise
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNKNOWN = "und"
 RUN = re.compile(r"[^\W\d_]{1,40}")
-LONGEST = 16
-"""Longest piece, in bytes, that is used; all single bytes are pieces, so any text has a segmentation."""
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHED = 250_000
 SLICE = 1 << 20
@@ -46,10 +44,10 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 
 def pieces_of(path: str) -> list[bytes]:
-    """The pieces of a vocabulary file of ranks that are short enough, with every single byte."""
+    """The pieces of a vocabulary file of ranks, with every single byte, so that any text has a segmentation."""
     with open(path, "rb") as file:
         found = {base64.b64decode(line.split()[0]) for line in file if line.strip()}
-    return sorted({p for p in found if len(p) <= LONGEST} | {bytes([b]) for b in range(256)})
+    return sorted(found | {bytes([b]) for b in range(256)})
 
 
 def _hashes(pieces: list[bytes]) -> np.ndarray:
@@ -75,9 +73,12 @@ class Pieces:
     path: str
     hashes: np.ndarray = field(init=False)
     order: np.ndarray = field(init=False)
+    longest: int = field(init=False)
 
     def __post_init__(self):
-        hashes = _hashes(pieces_of(self.path))
+        pieces = pieces_of(self.path)
+        hashes = _hashes(pieces)
+        self.longest = max(map(len, pieces))
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
 
@@ -87,7 +88,7 @@ class Pieces:
         width = letters.shape[1]
         ends: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(width + 1)]
         running = np.zeros_like(letters)
-        for n in range(1, min(LONGEST, width) + 1):
+        for n in range(1, min(self.longest, width) + 1):
             running = running[:, : width - n + 1] * BASE + letters[:, n - 1 :]
             at = np.minimum(np.searchsorted(self.hashes, running), len(self.hashes) - 1)
             piece = np.where(self.hashes[at] == running, self.order[at], -1)
@@ -105,6 +106,7 @@ def _forward(ends, chance: np.ndarray, n_words: int) -> tuple[list[np.ndarray],
     langs = chance.shape[1]
     sums = [np.ones((n_words, langs))]
     scale = np.zeros((n_words, 1))
+    longest = max((n for found in ends for n, _ in found), default=0)
     for end in range(1, len(ends)):
         total = np.zeros((n_words, langs))
         for n, piece in ends[end]:
@@ -112,7 +114,7 @@ def _forward(ends, chance: np.ndarray, n_words: int) -> tuple[list[np.ndarray],
         top = total.max(axis=1, keepdims=True)
         scale += np.log(top)
         sums.append(total / top)
-        for back in range(max(0, end - LONGEST), end):
+        for back in range(max(0, end - longest), end):
             sums[back] = sums[back] / top
     with np.errstate(divide="ignore"):
         return sums, np.maximum(np.log(sums[-1]), -700.0) + scale

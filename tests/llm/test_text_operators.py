@@ -217,3 +217,11 @@ def test_mixing_reports_targets_out_of_reach(spark, caplog):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = mixing.mix(spark.createDataFrame(rows, DDL), labels, {"good": 0.5, "poor": 0.5}, least_rate=1.0, budget=None).collect()
     assert "mixing" in caplog.text and all(1 <= r.rate <= 2.01 for r in got)
+
+
+def test_forward_algorithm_uses_the_longest_pieces():
+    names = langid.pieces_of(langid.VOCABULARY)
+    longest = max(names, key=len)
+    pieces, chance = langid.Pieces(langid.VOCABULARY), np.full((len(names), 1), 1e-12)
+    chance[names.index(longest)] = 0.5
+    assert len(longest) == 33 and np.isclose(langid.log_chances(pieces, chance, [longest])[0, 0], np.log(0.5))
