@@ -13,6 +13,7 @@ from folioscope.llm.langid import identify
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.mixing import mix
 from folioscope.llm.packing import pieces_of, place
+from folioscope.llm.phrases import collocations
 from folioscope.llm.quality import score_quality
 from folioscope.llm.token_files import file_system, read_token_files, write_token_files
 from folioscope.llm.topk import search, whole_numbers
@@ -172,3 +173,38 @@ def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     mixed = mix(docs, labels, {"good": 0.85, "poor": 0.10, "toxic": 0.05}, keep=["doc_id", "source"])
     return mixed.select("doc_id", "source", "n_tokens", "posterior", "rate", "copies")
+
+
+PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
+  FROM documents),
+split AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+runs AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM split, range(1, 5) t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM runs GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, phrase, n AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS y
+  FROM f, range(1, 4) t(k) WHERE k < m),
+scores AS (
+  SELECT c.lang, c.phrase, a, k, l.n AS l, r.n AS r, CAST(2000000::HUGEINT * a // (l.n + r.n) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = x JOIN f r ON r.lang = c.lang AND r.phrase = y),
+lowest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + w - 1], ' ') AS phrase, max(n) AS most
+  FROM f, range(2, 4) t(w), range(1, 4) u(i) WHERE w < m AND i + w - 1 <= m GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", PHRASES_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
