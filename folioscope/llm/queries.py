@@ -14,6 +14,7 @@ from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.mixing import mix
 from folioscope.llm.packing import pieces_of, place
 from folioscope.llm.phrases import collocations
+from folioscope.llm.prefix_trie import prefix_trie
 from folioscope.llm.quality import score_quality
 from folioscope.llm.token_files import file_system, read_token_files, write_token_files
 from folioscope.llm.topk import search, whole_numbers
@@ -208,3 +209,40 @@ FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 @query("op13_collocations", PHRASES_SQL)
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+CRC32_SQL = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda s: CAST(ascii(s) AS UBIGINT))),
+      lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))"""
+
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 100 AS host, CAST(xor({CRC32_SQL.format("CAST(c AS VARCHAR)")}, 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM t GROUP BY c),
+head AS (SELECT ids.c, t.i AS pos, role, text FROM ids JOIN t ON t.c = ids.host AND t.i <= ids.h),
+taken AS (SELECT ids.c, h, count(pos) AS m FROM ids LEFT JOIN head ON head.c = ids.c GROUP BY ALL),
+turns AS (
+  SELECT * FROM head UNION ALL
+  SELECT t.c, i - h + m, role, text FROM t JOIN taken ON taken.c = t.c WHERE i > h),
+named AS (
+  SELECT c, pos, text, list(md5(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING) AS names FROM turns),
+prefixes AS (
+  SELECT c, 0::BIGINT AS d, '' AS path, '' AS up, 0::BIGINT AS chars FROM ids UNION ALL
+  SELECT c, pos, array_to_string(names, ''), array_to_string(names[:-2], ''), length(text) FROM named),
+nodes AS (SELECT path, d, any_value(up) AS up, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs FROM prefixes GROUP BY path, d),
+children AS (SELECT up AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+sums AS (
+  SELECT a.path, CAST(count(*) FILTER (x.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((x.n_convs - 1) * x.chars) AS BIGINT) AS saved_tokens
+  FROM counted x JOIN prefixes a ON a.c = x.conv_id AND a.d <= x.d GROUP BY a.path),
+lengths AS (SELECT c, max(d) AS d FROM prefixes GROUP BY c),
+ends AS (SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS convs FROM prefixes JOIN lengths USING (c, d) GROUP BY path)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(coalesce(convs, '')) AS ends_sha256
+FROM counted n JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes u ON n.d > 0 AND u.path = n.up
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
