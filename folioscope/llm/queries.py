@@ -16,6 +16,7 @@ from folioscope.llm.packing import pieces_of, place
 from folioscope.llm.phrases import collocations
 from folioscope.llm.prefix_trie import prefix_trie
 from folioscope.llm.quality import score_quality
+from folioscope.llm.repeats import remove_repeats
 from folioscope.llm.token_files import file_system, read_token_files, write_token_files
 from folioscope.llm.topk import search, whole_numbers
 from folioscope.llm.warc import audit, copy_archive, merkle_tree, write_archive
@@ -246,3 +247,9 @@ FROM counted n JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN node
 @query("op11_prefix_trie", TRIE_SQL)
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_prefix_doubling")
+def op12_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
