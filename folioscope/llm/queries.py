@@ -249,7 +249,23 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-@query("op12_prefix_doubling")
+REPEATS_SQL = """
+WITH b AS (SELECT doc_id, row_number() OVER () AS row, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT row, unnest(range(1, octet_length(b) - 398)) AS p, b FROM b),
+h AS (SELECT row, p, md5(array_slice(b, p, p + 399)) AS h FROM w),
+again AS (SELECT row, p, coalesce(max(p) OVER (PARTITION BY row ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 399, -1) AS reach
+  FROM (SELECT row, p, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+marked AS (SELECT row, p, sum(CAST(p > reach + 1 AS INTEGER)) OVER (PARTITION BY row ORDER BY p) AS span FROM again),
+spans AS (SELECT row, span, min(p) AS first, max(p) + 399 AS last FROM marked GROUP BY ALL),
+gaps AS (SELECT row, first, last, coalesce(lag(last) OVER (PARTITION BY row ORDER BY first), 0) + 1 AS since FROM spans),
+cut AS (SELECT row, sum(last - first + 1) AS n_removed, count(*) AS n_spans, max(last) AS tail, list({'a': since, 'z': first - 1} ORDER BY first) AS keep FROM gaps GROUP BY row)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN keep IS NULL THEN b ELSE unhex(array_to_string(list_transform(list_append(keep, {'a': tail + 1, 'z': octet_length(b)}), lambda k: CASE WHEN k.z >= k.a THEN hex(array_slice(b, k.a, k.z)) ELSE '' END), '')) END) AS kept_sha256
+FROM b LEFT JOIN cut USING (row)
+"""
+
+
+@query("op12_prefix_doubling", REPEATS_SQL)
 def op12_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), length=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
