@@ -1,19 +1,21 @@
 """Phrase collocations, counted in burst hash tries.
 
-Words are counted first, then phrases of two, three and four words in one pass each; an occurrence counts
-only if its shorter phrases are frequent, which every frequent phrase's are. Those shorter phrases travel as a bit array of
-bounded size: a saturated one costs traffic and changes no result. A task counts in a trie whose first level goes by
-word id; below it lie hash containers, which burst into a further level when they grow. When the trie is full, its
-largest subtrees leave as sorted runs. The runs are stored, dealt out by ranges of phrases (partitions of prefixes, of even
-size even where one prefix has a third of the rows) and merged there.
+Words are counted first, then phrases of two words, then those of three and four; an occurrence counts
+only if its words, or its pairs of words, are frequent, which those of every frequent phrase are. Those travel as a bit array of
+bounded size: a saturated one costs traffic and changes no result. A task counts in a trie over word ids whose leaves are hash
+containers, which burst when they grow. When the trie is full, its largest subtrees leave as sorted runs. Runs meet
+in partitions of the whole phrase, its longest prefix, as a shorter one can have a third of all rows, and are merged there.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,12 +31,12 @@ STOP = b"."
 BITS = 20
 """Bits of a word id in a task; three fit a packed key."""
 WORDS = 300_000
-ENTRIES = 500_000
-BURST = 2048
+ENTRIES = 800_000
+BURST = 32_768
 PART = 1 << 20
 """Bytes of text that are taken apart together."""
 ODD = np.uint64(0x9E3779B97F4A7C15)
-PHRASES = "lang string, phrase string, n long"
+PHRASES = "lang string, phrase string, length int, n long"
 
 
 def mixed(names: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -44,85 +46,111 @@ def mixed(names: np.ndarray, words: np.ndarray) -> np.ndarray:
     return names ^ (names >> np.uint64(31))
 
 
-class Node(dict):
-    """Children by word id: nodes, or containers, which are plain dicts of counts by the packed rest of the key."""
+class HatTrie:
+    """Counts of keys of word ids: a shallow trie whose leaves are hash containers (dicts of counts by the whole key).
 
+    A container serves a range of ids of its level. When it grows beyond ``BURST`` keys it bursts: into two ranges, or, where it
+    serves a single id already, into a level below that goes by the next id.
+    """
 
-class HatTrie:
-    """Counts of keys of ``length`` word ids; the ids after the first are packed into one number."""
-
-    def __init__(self, length: int):
-        self.width = length - 1
-        self.root = Node()
-        self.sizes: dict[int, int] = {}
-        self.size = 0
-
-    def _add(self, node: Node, word: int, width: int, rests: list[int], counts: list[int]) -> int:
-        """Number of new entries after adding keys that go on with ``word`` and ``width`` ids more."""
-        child = node.setdefault(word, {})
-        if isinstance(child, Node):
-            shift = BITS * (width - 1)
-            return sum(self._add(child, r >> shift, width - 1, [r & ((1 << shift) - 1)], [c]) for r, c in zip(rests, counts))
-        before, get = len(child), child.get
-        for r, c in zip(rests, counts):
-            child[r] = get(r, 0) + c
-        if len(child) > BURST and width > 1:
-            self._burst(node, word, width)
-        return len(child) - before
-
-    def _burst(self, node: Node, word: int, width: int) -> None:
-        full, below, shift = node[word], Node(), BITS * (width - 1)
-        for r, c in full.items():
-            below.setdefault(r >> shift, {})[r & ((1 << shift) - 1)] = c
-        node[word] = below
-
-    def add(self, first: np.ndarray, rest: np.ndarray) -> None:
-        """Count each pair of a first id and a packed rest once."""
-        order = np.lexsort((rest, first))
-        first, rest = first[order], rest[order]
-        new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]) if len(first) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[new, len(first)]).tolist()
-        first, rest = first[new], rest[new].tolist()
-        runs = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else new
-        for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(rest)]):
-            word = int(first[a])
-            more = self._add(self.root, word, self.width, rest[a:b], counts[a:b])
-            self.sizes[word] = self.sizes.get(word, 0) + more
-            self.size += more
-
-    def _walk(self, child: dict, width: int, prefix: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
-        shift = BITS * (width - 1)
-        for r, c in child.items():
-            if isinstance(c, dict):
-                yield from self._walk(c, width - 1, (*prefix, r))
+    def __init__(self, length: int, level: int = 0):
+        self.length, self.level = length, level
+        self.bounds = np.zeros(1, np.int64)
+        self.children: list[Counter | HatTrie] = [Counter()]
+
+    def keys_of(self, ids: np.ndarray) -> list:
+        """A number for up to three ids, otherwise their bytes."""
+        if self.length > 3:
+            return ids.astype("<i4").view(f"V{4 * self.length}").ravel().tolist()
+        packed = ids[:, 0]
+        for k in range(1, self.length):
+            packed = (packed << BITS) | ids[:, k]
+        return packed.tolist()
+
+    def ids_of(self, keys) -> np.ndarray:
+        if self.length > 3:
+            return np.frombuffer(b"".join(keys), "<i4").reshape(-1, self.length).astype(np.int64)
+        packed = np.fromiter(keys, np.int64, len(keys))
+        return np.stack([(packed >> (BITS * k)) & ((1 << BITS) - 1) for k in range(self.length - 1, -1, -1)], axis=1)
+
+    def add(self, ids: np.ndarray) -> None:
+        """Count the rows of ``ids``."""
+        if len(self.children) == 1:
+            slots, order, cuts = [0], slice(None), [0, len(ids)]
+        else:
+            slot = np.searchsorted(self.bounds, ids[:, self.level], "right") - 1
+            order = np.argsort(slot.astype(np.uint16), kind="stable")  # a part has fewer words
+            slots = np.unique(slot)
+            cuts = [*np.searchsorted(slot[order], slots).tolist(), len(ids)]
+            slots = slots.tolist()
+        ids = ids[order]
+        for i, a, b in zip(reversed(slots), reversed(cuts[:-1]), reversed(cuts[1:])):  # a burst moves later slots only
+            child = self.children[i]
+            if isinstance(child, HatTrie):
+                child.add(ids[a:b])
             else:
-                yield (*prefix, *((r >> (BITS * k)) & ((1 << BITS) - 1) for k in range(width - 1, -1, -1))), c
-
-    def spill(self, keep: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        """Take whole subtrees out, the largest first, until ``keep`` entries stay."""
-        for word in sorted(self.sizes, key=self.sizes.get, reverse=True):
-            if self.size <= keep:
+                child.update(self.keys_of(ids[a:b]))
+                if len(child) > BURST:
+                    self._burst(i)
+
+    def _burst(self, slot: int) -> None:
+        full = self.children[slot]
+        ids, counts = self.ids_of(full), np.fromiter(full.values(), np.int64, len(full))
+        own = ids[:, self.level]
+        middle = int(np.median(own)) if own.min() < own.max() else None
+        if middle is not None:
+            middle += middle == own.min()
+            keys = self.keys_of(ids)
+            low, high = Counter(), Counter()
+            for key, n, above in zip(keys, counts.tolist(), (own >= middle).tolist()):
+                (high if above else low)[key] = n
+            self.bounds = np.insert(self.bounds, slot + 1, middle)
+            self.children[slot : slot + 1] = [low, high]
+        elif self.level + 1 < self.length:
+            below = HatTrie(self.length, self.level + 1)
+            below.children = [full]
+            self.children[slot] = below
+
+    def entries(self) -> int:
+        return sum(c.entries() if isinstance(c, HatTrie) else len(c) for c in self.children)
+
+    def _take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for child in self.children:
+            if isinstance(child, HatTrie):
+                yield from child._take()
+            elif child:
+                yield self.ids_of(child), np.fromiter(child.values(), np.int64, len(child))
+
+    def spill(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Take whole subtrees out, the largest first, until ``keep`` entries stay; ids and counts of each."""
+        sizes = [c.entries() if isinstance(c, HatTrie) else len(c) for c in self.children]
+        left = sum(sizes)
+        for i in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
+            if left <= keep:
                 break
-            self.size -= self.sizes.pop(word)
-            yield from self._walk(self.root.pop(word), self.width, (word,))
+            left -= sizes[i]
+            child, self.children[i] = self.children[i], Counter()
+            if isinstance(child, HatTrie):
+                yield from child._take()
+            elif child:
+                yield self.ids_of(child), np.fromiter(child.values(), np.int64, len(child))
 
 
-class Words(dict):
+class Words:
     """Ids of ``(lang, word)``; number 0 is the end of a piece."""
 
     def __init__(self):
-        self.known: list[tuple[str, bytes]] = [("", STOP)]
-        self.hashes: list[int] = [0]
+        self.langs, self.words, self.hashes = [""], [STOP], np.zeros(1, np.uint64)
         self.tables: dict[str, dict[bytes, int]] = {}
 
     def ids(self, lang: str, found: list[bytes]) -> np.ndarray:
         table = self.tables.setdefault(lang, {STOP: 0})
-        new = set(found).difference(table)
+        new = list(set(found).difference(table))
         salt = xxhash.xxh3_64_intdigest(lang.encode())
-        for word in new:
-            table[word] = len(self.known)
-            self.known.append((lang, word))
-            self.hashes.append(xxhash.xxh3_64_intdigest(word, salt))
+        table.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.words.extend(new)
+        self.langs.extend([lang] * len(new))
+        self.hashes = np.append(self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(w, salt) for w in new), np.uint64, len(new)))
         return np.fromiter(map(table.__getitem__, found), np.int64, len(found))
 
 
@@ -137,53 +165,58 @@ def parts(texts: list[bytes]) -> Iterator[bytes]:
         at = end
 
 
-def _count(length: int, shared, bits: int):
-    def rows(trie: HatTrie, words: Words, keep: int) -> Iterator[pa.RecordBatch]:
-        run = [(words.known[key[0]][0], b" ".join(words.known[k][1] for k in key), n) for key, n in trie.spill(keep)]
-        run.sort()
-        for first in range(0, len(run), 65_536):
-            lang, phrase, n = zip(*run[first : first + 65_536])
-            phrase = pa.array(phrase, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+def _count(lengths: tuple[int, ...], shared, bits: int, shorter: int):
+    def rows(tries: dict[int, HatTrie], words: Words, keep: int) -> Iterator[pa.RecordBatch]:
+        texts, langs = pa.array(words.words, pa.binary()), pa.array(words.langs, pa.string())
+        for trie in tries.values():
+            for ids, counts in trie.spill(keep):
+                phrase = pc.binary_join_element_wise(*[texts.take(pa.array(column)) for column in ids.T], b" ").cast(pa.string())
+                run = pa.RecordBatch.from_arrays(
+                    [langs.take(pa.array(ids[:, 0])), phrase, pa.array(np.full(len(ids), trie.length, np.int32)), pa.array(counts)], ["lang", "phrase", "length", "n"]
+                )
+                yield run.sort_by([("lang", "ascending"), ("phrase", "ascending")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_process("phrases", "none", dict)  # frees the tables of earlier stages
         frequent = np.frombuffer(shared.value, np.uint8) if shared else None
-        trie, words = HatTrie(length), Words()
+        tries, words = {m: HatTrie(m) for m in lengths}, Words()
         for batch in small_parts(batches, 4096):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 by_lang.setdefault(lang, []).append(text.as_py())
             for lang, texts in by_lang.items():
-                carried: list[bytes] = []
+                before: list[bytes] = []
                 for part in parts(texts):
-                    found = [*carried, *part.split()]
-                    carried = found[-(length - 1) :] if length > 1 else []  # shorter than a phrase: nothing counts twice
+                    found = [*before, *part.split()]
+                    known = len(before)
+                    before = found[len(found) - max(lengths) + 1 :] if max(lengths) > 1 else []
                     ids = words.ids(lang, found)
-                    m = len(ids) - length + 1
-                    if m <= 0:
-                        continue
-                    good = ids[:m] > 0
-                    for k in range(1, length):
-                        good &= ids[k : k + m] > 0
-                    at = np.flatnonzero(good)
+                    good = ids > 0
                     if shared:
-                        hashes = np.array(words.hashes, np.uint64)[ids]
-                        for side in (0, 1):
-                            names = np.zeros(len(at), np.uint64)
-                            for k in range(length - 1):
-                                names = mixed(names, hashes[at + side + k])
-                            at = at[has(frequent, places(names, bits))]
-                    rest = np.zeros(len(at), np.int64)
-                    for k in range(1, length):
-                        rest = (rest << BITS) | ids[at + k]
-                    trie.add(ids[at], rest)
-                    if len(words.known) > WORDS:
-                        yield from rows(trie, words, 0)
-                        trie, words, carried = HatTrie(length), Words(), carried
-                    elif trie.size > ENTRIES:
-                        yield from rows(trie, words, ENTRIES // 2)
-        yield from rows(trie, words, 0)
+                        m = len(ids) - shorter + 1
+                        for k in range(1, shorter):
+                            good = good[: max(m, 0)] & (ids[k : k + max(m, 0)] > 0)
+                        at = np.flatnonzero(good)
+                        hashes, names = words.hashes[ids], np.zeros(len(at), np.uint64)
+                        for k in range(shorter):
+                            names = mixed(names, hashes[at + k])
+                        good[at] = has(frequent, places(names, bits))
+                    for m in lengths:
+                        n = len(ids) - m + 1
+                        if n <= 0:
+                            continue
+                        whole = good[:n].copy()
+                        for k in range(1, m - shorter + 1 if shared else m):
+                            whole &= good[k : k + n]
+                        whole[: max(known - m + 1, 0)] = False  # counted with the part before
+                        at = np.flatnonzero(whole)
+                        tries[m].add(np.stack([ids[at + k] for k in range(m)], axis=1))
+                    if len(words.words) > WORDS:
+                        yield from rows(tries, words, 0)
+                        tries, words = {m: HatTrie(m) for m in lengths}, Words()
+                    elif sum(t.entries() for t in tries.values()) > ENTRIES:
+                        yield from rows(tries, words, ENTRIES // 2 // len(lengths))
+        yield from rows(tries, words, 0)
 
     return run
 
@@ -202,18 +235,18 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.repeat(names, 2)
 
 
-def phrase_counts(docs: DataFrame, length: int, shorter: DataFrame | None = None, max_filter_bits: int = 1 << 28) -> DataFrame:
-    """``lang, phrase, n`` of the phrases of ``length`` words in ``docs (lang, text binary)``; stored.
+def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], shorter: DataFrame | None = None, words: int = 0, max_filter_bits: int = 1 << 28) -> DataFrame:
+    """``lang, phrase, length, n`` of the phrases of ``lengths`` words in ``docs (lang, text binary)``.
 
-    With ``shorter``, the frequent phrases of one word less, only phrases made of those are surely counted.
+    With ``shorter``, the frequent phrases of ``words`` words, only phrases made of those are surely counted.
     """
     shared, bits = None, 0
     if shorter is not None:
         bits = min(max_filter_bits, 1 << max(13, (16 * shorter.count()).bit_length()))
         shared = docs.sparkSession.sparkContext.broadcast(repeat_filter(shorter.select("lang", "phrase"), bits, _names).tobytes())
-    runs = materialise(docs.mapInArrow(_count(length, shared, bits), PHRASES), f"phrase-runs-{length}")
-    merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return materialise(merged, f"phrases-{length}")
+    runs = docs.mapInArrow(_count(lengths, shared, bits, words), PHRASES)
+    # dealt out first: the rows of a run are distinct, so that summing them where they are gains nothing
+    return runs.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.first("length").alias("length"), F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, contained: int = 80, top: int = 2000) -> DataFrame:
@@ -229,14 +262,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     texts = texts.where("text is not null")
-    words = phrase_counts(texts, 1)
+    words = materialise(phrase_counts(texts, (1,)), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     levels = [words.where(F.col("n") >= least)]
-    for length in range(2, longest + 1):
-        levels.append(phrase_counts(texts, length, levels[-1]).where(F.col("n") >= least))
-    known = levels[0].withColumn("length", F.lit(1))
-    for length, level in enumerate(levels[1:], 2):
-        known = known.unionByName(level.withColumn("length", F.lit(length)))
+    for lengths in ((2,), tuple(range(3, longest + 1))):
+        if lengths and lengths[-1] <= longest:
+            found = phrase_counts(texts, lengths, levels[-1], lengths[0] - 1)
+            levels.append(materialise(found.where(F.col("n") >= least), f"phrases-{lengths[0]}"))
+    known = reduce(DataFrame.unionByName, levels)
     found = known.where("length > 1").withColumn("words", F.split("phrase", " "))
 
     def piece(start, length):

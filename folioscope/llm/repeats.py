@@ -253,6 +253,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -
     runs = repeated_windows(texts, length)
     packed = F.shiftleft("first", 32).bitwiseOR(F.col("last"))
     runs = runs.groupBy(*TEXT).agg(F.collect_list(packed).alias("runs"))  # runs of one text
-    keyed = docs.select(F.struct(*rest).alias("row"), as_bytes.alias("text")).select("row", "text", *text_name(F.col("text")))
-    found = join_hot(keyed, materialise(runs, "runs-by-text"), TEXT, "left").withColumn("out", _without(length)("text", "runs"))
-    return found.select("row.*", "out.kept", F.octet_length("text").cast("long").alias("n_bytes"), "out.n_removed", "out.n_spans")
+    keyed = docs.select(F.struct(*rest).alias("row"), *text_name(as_bytes))
+    inside = F.encode(F.coalesce(F.col("row").getField(text_col), F.lit("")), "UTF-8")
+    found = join_hot(keyed, materialise(runs, "runs-by-text"), TEXT, "left").withColumn("out", _without(length)(inside, F.col("runs")))
+    return found.select("row.*", "out.kept", F.octet_length(inside).cast("long").alias("n_bytes"), "out.n_removed", "out.n_spans")

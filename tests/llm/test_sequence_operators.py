@@ -53,7 +53,7 @@ def test_collocations(spark, monkeypatch):
         monkeypatch.setattr(phrases, name, size)
     docs = docs.select(docs.text.cast("binary").alias("text"), "lang").where("text is not null and lang is not null")
     counted = Counter()
-    trie_rows = phrases._count(3, None, 0)([b for b in docs.toArrow().select(["lang", "text"]).to_batches()])
+    trie_rows = phrases._count((2, 3), None, 0, 0)([b for b in docs.toArrow().select(["lang", "text"]).to_batches()])
     for batch in trie_rows:
         for r in batch.to_pylist():
             counted[r["lang"], r["phrase"]] += r["n"]
@@ -61,25 +61,26 @@ def test_collocations(spark, monkeypatch):
     for lang, text in rows:
         for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").encode().lower().decode()) if lang else []:
             w = [x for x in re.split("[ \t]+", piece) if x]
-            whole.update((lang, " ".join(w[i : i + 3])) for i in range(len(w) - 2))
+            whole.update((lang, " ".join(w[i : i + m])) for m in (2, 3) for i in range(len(w) - m + 1))
     assert counted == whole
 
 
 def test_trie_bursts_and_spills(monkeypatch):
     monkeypatch.setattr(phrases, "BURST", 8)
     rng = np.random.default_rng(1)
-    trie, out, keys = HatTrie(4), Counter(), Counter()
-    for _ in range(30):
-        ids = rng.integers(1, 6, (200, 4))
-        keys.update(map(tuple, ids.tolist()))
-        trie.add(ids[:, 0], (ids[:, 1] << 40) | (ids[:, 2] << 20) | ids[:, 3])
-        for key, n in trie.spill(300):
-            out[key] += n
-        assert trie.size <= 300
-    assert any(isinstance(c, phrases.Node) for c in trie.root.values())
-    for key, n in trie.spill(0):
-        out[key] += n
-    assert out == keys and trie.size == 0
+    for length in (1, 2, 4):
+        trie, out, keys, deep = HatTrie(length), Counter(), Counter(), False
+        for _ in range(30):
+            ids = rng.integers(1, 6 if length > 1 else 2000, (200, length))
+            keys.update(map(tuple, ids.tolist()))
+            trie.add(ids)
+            deep |= any(isinstance(c, HatTrie) for c in trie.children)
+            for part, counts in trie.spill(300):
+                out.update(dict(zip(map(tuple, part.tolist()), counts.tolist())))
+            assert trie.entries() <= 300
+        for part, counts in trie.spill(0):
+            out.update(dict(zip(map(tuple, part.tolist()), counts.tolist())))
+        assert out == keys and trie.entries() == 0 and deep == (length == 4)
 
 
 def plain_trie(rows):
