@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import per_process, small_parts
+from folioscope.llm.tokens import free_name, per_process, small_parts
 from folioscope.plans.scale import materialise
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNKNOWN = "und"
-RUN = re.compile(r"[^\W\d_]{1,40}")
+RUN = re.compile(r"[^\W\d_]+")
+LEARN_RUN = re.compile(r"[^\W\d_]{1,40}")
+"""Runs that are learnt from; a longer one is learnt from in parts. All of it is scored as one word."""
+LONG = 200
+"""Bytes from which a word is scored by itself, a stretch at a time."""
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHED = 250_000
 SLICE = 1 << 20
@@ -120,13 +124,35 @@ def _forward(ends, chance: np.ndarray, n_words: int) -> tuple[list[np.ndarray],
         return sums, np.maximum(np.log(sums[-1]), -700.0) + scale
 
 
+def _long_forward(pieces: Pieces, chance: np.ndarray, word: bytes, stretch: int = 1 << 15) -> np.ndarray:
+    """The same sum for one word of any length, with as many earlier places in hand as the longest piece has bytes."""
+    longest, langs = pieces.longest, chance.shape[1]
+    recent = np.zeros((longest, langs))  # row k: the sum k + 1 places back, relative to ``scale``
+    recent[0], scale = 1.0, 0.0
+    for first in range(0, len(word), stretch):
+        start = max(0, first - longest + 1)
+        ends = pieces.lattice([word[start : first + stretch]])
+        for end in ends[first - start + 1 :]:
+            n, piece = np.array([n for n, _ in end]), np.array([p[0] for _, p in end])
+            total = (recent[n - 1] * chance[piece]).sum(axis=0)
+            top = total.max()
+            scale += np.log(top)
+            recent[1:] = recent[:-1] / top
+            recent[0] = total / top
+    with np.errstate(divide="ignore"):
+        return np.maximum(np.log(recent[0]), -700.0) + scale
+
+
 def log_chances(pieces: Pieces, chance: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Log probability of each word under each language, over all segmentations."""
     padded = np.vstack([chance, np.zeros(chance.shape[1])])
     out = np.zeros((len(words), chance.shape[1]))
     by_length: dict[int, list[int]] = {}
     for i, word in enumerate(words):
-        by_length.setdefault(len(word), []).append(i)
+        if len(word) > LONG:
+            out[i] = _long_forward(pieces, padded, word)
+        else:
+            by_length.setdefault(len(word), []).append(i)
     for rows in by_length.values():
         for first in range(0, len(rows), 4096):
             part = rows[first : first + 4096]
@@ -180,7 +206,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column("lang").to_pylist()
         for first, texts in slices(batch.column("text").to_pylist()):
             for i, text in enumerate(texts):
-                counts.update((langs[first + i], run) for run in RUN.findall(text.lower()))
+                counts.update((langs[first + i], run) for run in LEARN_RUN.findall(text.lower()))
         rows = [(lang, word, n) for (lang, run), n in counts.items() if (word := as_word(run))]
         lang, word, n = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
@@ -259,6 +285,8 @@ def scores_of(texts: list[str], words: WordScores) -> tuple[np.ndarray, np.ndarr
     for i, found in enumerate(runs):
         at = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
         out[i], n[i] = words.table[at].sum(axis=0), np.count_nonzero(at)
+    for run in [run for found in runs for run in found if len(run) > LONG]:
+        words.pop(run, None)  # long ones are not kept
     return out, n
 
 
@@ -307,13 +335,13 @@ def identify(
     Only texts and non-null labels of rows that ``learn`` admits (all, by default) are learnt from,
     about ``max_rows`` of each language. ``und`` with score 0 stands for a null text, a text
     without a letter; where no row is labelled, every text with a letter is ``unlearnt``. Ties go to the language first by name.
-    Letters are those of Unicode; a run of more than 40 is read as several words. ``keep`` columns named
+    Letters are those of Unicode; a run of them is one word, whatever its length. ``keep`` columns named
     like the two results are replaced.
     """
     learn = F.lit(True) if learn is None else learn
     model = fit(docs, learn, text_col, lang_col, id_col, vocabulary, max_rows, passes)
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*keep, F.col(text_col).alias(free_name("_text", keep)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(_predict(shared, unlearnt), f"{schema}, lang_pred string, score double")

@@ -197,20 +197,21 @@ def dedup_lines(
         .where(F.col("doc").isNull() | (F.col("doc") != F.col("keeper")))
         .dropDuplicates(["doc", "row_hash", "key"])
         .groupBy("doc", "row_hash")
-        .agg(F.flatten(F.collect_list("places")).alias("_drop"))
-        .select(F.col("doc").alias("_doc"), F.col("row_hash").alias("_row_hash"), "_drop")
+        .agg(F.flatten(F.collect_list("places")).alias("drop"))
     )
     drops = materialise(drops, "dropped-lines")
 
-    here = F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_row_hash"))
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    fewer = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = docs.join(drops, here, "left").withColumn("_lines", F.when(F.col("_drop").isNotNull(), lines))
+    rows = docs.select(F.struct(*docs.columns).alias("whole"))  # no name of the input meets one of these
+    own, given = F.col("whole").getField(text_col), F.coalesce(F.col("whole").getField(text_col), F.lit(""))
+    here = F.col("whole").getField(id_col).cast("long").eqNullSafe(F.col("doc")) & (F.xxhash64(given) == F.col("row_hash"))
+    lines = F.split(given, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+    fewer = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
+    out = rows.join(drops, here, "left").withColumn("lines", F.when(F.col("drop").isNotNull(), lines))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    new_text = F.when(F.col("_drop").isNotNull(), fewer).otherwise(F.col(text_col)).alias(text_col)
+    new_text = F.when(F.col("drop").isNotNull(), fewer).otherwise(own).alias(text_col)
     return out.select(
-        *[new_text if c == text_col else F.col(c) for c in rest],
+        *[new_text if c == text_col else F.col("whole").getField(c).alias(c) for c in rest],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -24,34 +24,48 @@ BUCKET = 32_768
 """Pieces packed together, on average."""
 
 
+PART = 4 << 20
+"""Bytes of ids that leave a task together."""
+
+
 def _cut(tokenizer: str, end_id: int, capacity: int):
+    def rows(batch: pa.RecordBatch, doc: list[int], piece: list[int], cut: list[bytes], key: int) -> pa.RecordBatch:
+        number = np.array(piece, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc").take(pa.array(doc, pa.int64())),
+                pa.array(number, pa.int32()),
+                pa.array(number * capacity),
+                pa.array([len(x) // 4 for x in cut], pa.int64()),
+                pa.array(cut, pa.binary()),
+                pa.array(key + np.arange(len(cut)), pa.int64()),
+            ],
+            ["doc_id", "piece", "start", "length", "ids", "piece_key"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         key = TaskContext.get().partitionId() << 40
         step = 4 * capacity
+        last, ids = None, end
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                doc, piece, cut = [], [], []
-                for row, text in enumerate(part.column("text")):
-                    ids = encoder.encode(text.as_py()) + end
-                    for i, at in enumerate(range(0, len(ids), step)):
-                        doc.append(row)
-                        piece.append(i)
-                        cut.append(ids[at : at + step])
-                number = np.array(piece, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc").take(pa.array(doc, pa.int64())),
-                        pa.array(number, pa.int32()),
-                        pa.array(number * capacity),
-                        pa.array([len(x) // 4 for x in cut], pa.int64()),
-                        pa.array(cut, pa.binary()),
-                        pa.array(key + np.arange(len(cut)), pa.int64()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids", "piece_key"],
-                )
+            doc, piece, cut, held = [], [], [], 0
+            for row, text in enumerate(batch.column("text")):
+                text = text.as_py() or ""
+                if text != last:  # copies that follow each other are encoded once
+                    last, ids = text, encoder.encode(text) + end
+                for i, at in enumerate(range(0, len(ids), step)):
+                    doc.append(row)
+                    piece.append(i)
+                    cut.append(ids[at : at + step])
+                    held += len(cut[-1])
+                    if held > PART:
+                        yield rows(batch, doc, piece, cut, key)
+                        key += len(cut)
+                        doc, piece, cut, held = [], [], [], 0
+            if cut:
+                yield rows(batch, doc, piece, cut, key)
                 key += len(cut)
 
     return run

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.langid import slices
-from folioscope.llm.tokens import per_process, small_parts
+from folioscope.llm.tokens import free_name, per_process, small_parts
 from folioscope.plans.scale import materialise
 
 WORDS = 1 << 14
@@ -238,13 +238,13 @@ def _score(shared, n_meta: int):
         buckets = per_process("quality", "buckets", Buckets)
         bias, table = shared.value
         for batch in small_parts(batches):
-            meta = np.array([batch.column(f"_m{k}").to_pylist() for k in range(n_meta)], float).reshape(n_meta, -1).T
+            n_keep = batch.num_columns - n_meta - 1
+            meta = np.array([batch.column(n_keep + k).to_pylist() for k in range(n_meta)], float).reshape(n_meta, -1).T
             score = np.zeros(batch.num_rows)
-            for first, part in slices(batch.column("_text").to_pylist()):
+            for first, part in slices(batch.column(n_keep + n_meta).to_pylist()):
                 n = len(part)
                 margin = margins(*features(part, meta[first : first + n], buckets), n, bias, table)
                 score[first : first + n] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            n_keep = batch.num_columns - n_meta - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(score)], [*batch.schema.names[:n_keep], "score"])
 
     return run
@@ -276,7 +276,7 @@ def score_quality(
     model = fit(docs, labels, label_col, learn, id_col, text_col, meta, max_rows, passes, parts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    fields = [F.col(c).cast("double").alias(f"_m{k}") for k, c in enumerate(meta)]
-    rows = docs.select(*keep, *fields, F.coalesce(text_col, F.lit("")).alias("_text"))
+    fields = [F.col(c).cast("double").alias(free_name(f"_m{k}", keep)) for k, c in enumerate(meta)]
+    rows = docs.select(*keep, *fields, F.coalesce(text_col, F.lit("")).alias(free_name("_text", keep)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(_score(shared, len(meta)), f"{schema}, score double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import public_tokenizers
@@ -17,6 +20,22 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
 
 
+def release() -> None:
+    """Give freed memory back to the machine, where the worker's allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def free_name(base: str, columns: Iterable[str]) -> str:
+    """``base``, with underscores before it until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def per_process(user: str, key: Any, make: Callable[[], Any]) -> Any:
     """A value that outlives a task in its Python worker, until another ``user`` works there.
 
@@ -27,6 +46,7 @@ def per_process(user: str, key: Any, make: Callable[[], Any]) -> Any:
     if kept.get("user") != user:
         kept.clear()
         kept["user"] = user
+        release()
     if key not in kept:
         kept[key] = make()
     return kept[key]
@@ -48,8 +68,8 @@ class WordEncoder(dict):
     chunks go to the model directly. All others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, max_entries: int = 300_000):
-        """``max_entries`` bounds each of the two generations kept of chunks and of parts."""
+    def __init__(self, path: str, max_entries: int = 100_000):
+        """``max_entries`` bounds each of the two generations kept of chunks and of parts; an entry takes about 200 bytes."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,7 +95,8 @@ class WordEncoder(dict):
                 ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part.translate(self.units))]).tobytes()
             else:
                 ids = self._whole(part)
-            self.parts[part] = ids
+            if len(part) <= 64:
+                self.parts[part] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes:

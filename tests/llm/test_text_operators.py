@@ -51,8 +51,10 @@ def test_line_dedup_matches_plain(spark, bits):
     rows = [(i, "\n".join(line((i * k) % 40) + " " * (k % 3) for k in range(12)) + "\n") for i in range(60)]
     rows += [(100 + i, f" {LONG.upper()}\t\n{LONG}\nown {i}") for i in range(6)]
     rows += [(None, f"{LONG}\nx"), (100, f"{LONG}\nother text"), (101, None), (102, ""), (105, f" {LONG.upper()}\t\n{LONG}\nown 5")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_drop", F.lit("clash")).withColumn("n_lines", F.lit(0))
-    got = line_dedup.dedup_lines(df.drop("_drop"), max_filter_bits=bits)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit(0))
+    names = ["_drop", "_doc", "_row_hash", "_lines", "drop", "doc", "row_hash", "lines", "whole", "key", "places"]
+    got = line_dedup.dedup_lines(df.withColumns({c: F.lit(c) for c in names}), max_filter_bits=bits)
+    assert got.select(*names).distinct().collect() == [tuple(names)]
     found = sorted(((r.doc_id, r.text or "", r.n_lines, r.n_dropped) for r in got.collect()), key=str)
     assert found == plain_dedup(rows, 40, 5)
 
@@ -225,3 +227,25 @@ def test_forward_algorithm_uses_the_longest_pieces():
     pieces, chance = langid.Pieces(langid.VOCABULARY), np.full((len(names), 1), 1e-12)
     chance[names.index(longest)] = 0.5
     assert len(longest) == 33 and np.isclose(langid.log_chances(pieces, chance, [longest])[0, 0], np.log(0.5))
+
+
+def test_results_beside_columns_with_inner_names(spark):
+    names = ["_text", "__text", "_m0", "lang_pred", "score", "label", "part"]
+    rows = [(i, "the cat sat" if i % 2 else "le chat dort", "en" if i % 2 else "fr", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    clash = docs.withColumns({c: F.lit(c) for c in names})
+    found = langid.identify(clash, keep=[*names, "doc_id"]).select("doc_id", *names[:3], "lang_pred")
+    assert {tuple(r) for r in found.collect()} == {(i, *names[:3], g) for i, _, g, _ in rows}
+    scored = quality.score_quality(clash, labels, keep=[*names, "doc_id"]).collect()
+    assert all([r[c] for c in names[:4]] == names[:4] and (r.score > 0.5) == (r.doc_id % 2 == 1) for r in scored)
+
+
+def test_words_of_any_length():
+    pieces = langid.Pieces(langid.VOCABULARY)
+    chance = np.random.default_rng(2).random((len(langid.pieces_of(langid.VOCABULARY)), 3)) / 1000
+    word = b" " + "abstractionsüber".encode() * 340
+    whole = langid._forward(pieces.lattice([word]), np.vstack([chance, np.zeros(3)]), 1)[1][0]
+    assert len(word) > 5000 and np.allclose(langid.log_chances(pieces, chance, [word])[0], whole, rtol=1e-9)
+    assert np.allclose(langid._long_forward(pieces, np.vstack([chance, np.zeros(3)]), word, stretch=100), whole, rtol=1e-9)
+    assert langid.RUN.findall("ab" * 5000) == ["ab" * 5000]
