@@ -38,20 +38,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so that each text of a repeated id is judged alone. Of several texts of the
     smallest id the one with the smallest hash stays, and of rows with equal id and text the first by the other columns.
     """
-    keyed = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
-    found = similar_documents(keyed, id_col="_row", n=5, percent=80).where("doc_id is not null and n_shingles > 0")
-    found = found.groupBy(F.col("doc_id").alias("_row")).agg(F.first("component_id").alias("component"), F.count(F.lit(1)).alias("rows"))
-    found = materialise(found.join(keyed.select("_row", "doc_id").dropDuplicates(["_row"]), "_row"), "similar-rows")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
-    judged = found.join(first, "component").select("_row", "rows", (F.struct("doc_id", "_row") == F.col("first")).alias("stays"))
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("row"), "doc_id", "text")
+    found = similar_documents(keyed, id_col="row", n=5, percent=80).where("doc_id is not null and n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("row")).agg(F.first("component_id").alias("component"), F.count(F.lit(1)).alias("rows"))
+    found = materialise(found.join(keyed.select("row", "doc_id").dropDuplicates(["row"]), "row"), "similar-rows")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    judged = found.join(first, "component").select("row", "rows", (F.struct("doc_id", "row") == F.col("first")).alias("stays"))
     judged = materialise(judged.where("rows > 1 or not stays"), "near-duplicates")
-    kept = keyed.join(judged.where("not stays").select("_row"), "_row", "left_anti")
-    repeated = judged.where("stays").select("_row")
+    kept = keyed.join(judged.where("not stays").select("row"), "row", "left_anti")
+    repeated = judged.where("stays").select("row")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    place = F.row_number().over(Window.partitionBy("_row", "doc_id", "text").orderBy(*docs.columns))
-    one = kept.join(repeated, "_row", "left_semi").withColumn("_place", place).where("_place = 1")
-    return kept.join(repeated, "_row", "left_anti").select(docs.columns).union(one.select(docs.columns))
+        return kept.select("whole.*")
+    place = F.row_number().over(Window.partitionBy("row", "doc_id", "text").orderBy("whole"))
+    one = kept.join(repeated, "row", "left_semi").withColumn("place", place).where("place = 1")
+    return kept.join(repeated, "row", "left_anti").select("whole.*").union(one.select("whole.*"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
