@@ -1,15 +1,17 @@
 """A stored vector collection: passages, metadata and embeddings keyed by ``chunk_id``.
 
-A collection is a folder of numbered versions. Inserts append to the current
-version; metadata updates and deletions write the next one and leave readers of
-the old one undisturbed.
+Rows lie in files bucketed by id and are only ever appended to. Metadata updates and deletions are narrow numbered
+tables beside them, merged when the collection is read: the rows meet them bucket by bucket, so neither a read nor an
+insert shuffles what is stored, and no vector is written again. ``compact`` writes the merged rows as the next
+generation. Readers of an older generation are not disturbed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import schemas
@@ -18,41 +20,94 @@ from folioscope.operators.vectors import HashingEncoder, embed
 from folioscope.plans.scale import materialise, sized_join
 
 METADATA = ["subject", "grade", "chapter"]
+COLUMNS = [f.strip().split(" ")[0] for f in schemas.VECTORS.split(", ")]
+CHANGES = "chunk_id STRING, gone BOOLEAN, subject STRING, grade STRING, chapter STRING, change BIGINT"
+BUCKETS = 16
+"""Default number of buckets of a new collection; about one per few gigabytes is wanted."""
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        """``buckets`` counts for a new collection and for the next ``compact``; a stored one keeps its own until then."""
         self.spark = spark
         self.path = path.rstrip("/")
+        self.buckets = buckets
 
-    def _versions(self) -> list[int]:
+    def _folders(self, path: str, start: str) -> list[str]:
+        """Names of the finished folders below ``path`` that begin with ``start``, in order."""
         jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        root = jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
-
-    def _at(self, version: int) -> str:
-        return f"{self.path}/v{version:06d}"
+        return sorted(n for n in names if n.startswith(start) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+    def _generation(self) -> str | None:
+        """The folder of the last finished generation; its name ends with the number of buckets."""
+        found = self._folders(self.path, "rows-")
+        return found[-1] if found else None
+
+    def _table(self, generation: str) -> str:
+        """The name under which the session knows the bucketed files of a generation."""
+        location = f"{self.path}/{generation}"
+        name = f"collection_{hashlib.md5(location.encode()).hexdigest()}"
+        quoted = location.replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({schemas.VECTORS}, inserted BIGINT) USING parquet "
+            f"CLUSTERED BY (chunk_id) INTO {int(generation.rsplit('-', 1)[1])} BUCKETS LOCATION '{quoted}'"
+        )
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def _changes_path(self, generation: str) -> str:
+        return f"{self.path}/changes-{generation.split('-')[1]}"
+
+    def _rows(self, generation: str, changes: Sequence[str]) -> DataFrame:
+        rows = self.spark.table(self._table(generation))
+        if not changes:
+            return rows.select(*COLUMNS)
+        path = self._changes_path(generation)
+        listed = self.spark.read.schema(CHANGES).parquet(*[f"{path}/{c}" for c in changes])
+        listed = listed.repartition(int(generation.rsplit("-", 1)[1]), "chunk_id")  # as many as buckets, so that the rows stay where they are
+        listed = listed.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("change", "gone", *METADATA))).alias("changes"))  # at most one per change
+        later = F.filter("changes", lambda x: x["change"] > F.col("inserted"))
+        merged = rows.join(listed, "chunk_id", "left").withColumn("changes", F.coalesce(later, F.array()))
+        return merged.where(~F.exists("changes", lambda x: x["gone"])).select(*[_latest(c) if c in METADATA else F.col(c) for c in COLUMNS])
 
     def read(self) -> DataFrame:
-        """The current version; an empty table for a new collection."""
-        versions = self._versions()
-        if not versions:
+        """All rows as they are now; an empty table for a new collection."""
+        generation = self._generation()
+        if not generation:
             return self.spark.createDataFrame([], schemas.VECTORS)
-        return self.spark.read.schema(schemas.VECTORS).parquet(self._at(versions[-1]))
-
-    def _write(self, df: DataFrame, append: bool) -> None:
-        versions = self._versions()
-        columns = [f.strip().split(" ")[0] for f in schemas.VECTORS.split(", ")]
-        out = df.select(*columns)
-        if append and versions:
-            out.write.mode("append").parquet(self._at(versions[-1]))
-        else:
-            out.write.parquet(self._at((versions[-1] if versions else 0) + 1))
+        return self._rows(generation, self._folders(self._changes_path(generation), "c"))
+
+    def _append(self, df: DataFrame) -> None:
+        generation = self._generation() or f"rows-{1:06d}-{self.buckets}"
+        changes = self._folders(self._changes_path(generation), "c")
+        out = df.select(*COLUMNS, F.lit(int(changes[-1][1:]) if changes else 0).cast("long").alias("inserted"))
+        self._write(out, generation)
+
+    def _write(self, rows: DataFrame, generation: str) -> None:
+        """One file per bucket, by rows of one bucket in one task."""
+        table = self._table(generation)
+        rows.repartition(int(generation.rsplit("-", 1)[1]), "chunk_id").write.insertInto(table)
+
+    def _change(self, rows: DataFrame) -> None:
+        generation = self._generation()
+        if not generation:
+            return
+        path = self._changes_path(generation)
+        number = int((self._folders(path, "c") or ["c0"])[-1][1:]) + 1
+        rows.withColumn("change", F.lit(number).cast("long")).write.parquet(f"{path}/c{number:06d}")
+
+    def compact(self) -> None:
+        """Write the rows with all changes merged in as the next generation, in ``buckets`` buckets."""
+        generation = self._generation()
+        if not generation:
+            return
+        rows = self.read().withColumn("inserted", F.lit(0).cast("long"))
+        self._write(rows, f"rows-{int(generation.split('-')[1]) + 1:06d}-{self.buckets}")
 
     def missing(self, rows: DataFrame) -> DataFrame:
         """Rows whose id is not stored yet, one per id.
@@ -67,20 +122,26 @@ class Collection:
 
     def add(self, rows: DataFrame) -> None:
         """Insert embedded rows; ids already present are left alone, so a repeated insert changes nothing."""
-        self._write(self.missing(rows), append=True)
+        self._append(self.missing(rows))
 
     def add_texts(self, chunks: DataFrame, make_model: Callable = HashingEncoder, subject: str | None = None) -> None:
         """Embed and insert the chunks that are new, of one subject when it is given."""
         wanted = chunks if subject is None else chunks.where(F.col("subject") == subject)
-        self._write(embed(self.missing(wanted), "text", make_model), append=True)
+        self._append(embed(self.missing(wanted), "text", make_model))
 
     def update_metadata(self, updates: DataFrame) -> None:
-        """Replace metadata of the given ids (``chunk_id`` and metadata columns); text and vectors stay."""
-        self._write(patched(self.read(), updates), append=False)
+        """Replace metadata of the given ids (``chunk_id`` and metadata columns); text and vectors are not touched.
+
+        Null values change nothing. Of several updates for an id the largest counts. Ids that are not stored are ignored.
+        """
+        named = [c for c in METADATA if c in updates.columns]
+        fresh = updates.groupBy("chunk_id").agg(F.max(F.struct(*named)).alias("new"))
+        values = [(F.col(f"new.{c}") if c in named else F.lit(None)).cast("string").alias(c) for c in METADATA]
+        self._change(fresh.select("chunk_id", F.lit(False).alias("gone"), *values))
 
     def delete(self, ids: DataFrame) -> None:
-        """Remove the given ids."""
-        self._write(without(self.read(), ids), append=False)
+        """Remove the given ids; they can be inserted again."""
+        self._change(ids.select("chunk_id", F.lit(True).alias("gone"), *[F.lit(None).cast("string").alias(c) for c in METADATA]).distinct())
 
     def get(self, ids: DataFrame, include: Sequence[str] = ("text", *METADATA)) -> DataFrame:
         """Stored rows of the given ids."""
@@ -90,20 +151,10 @@ class Collection:
         return self.read().count()
 
 
-def patched(rows: DataFrame, updates: DataFrame) -> DataFrame:
-    """``rows`` with the metadata columns of ``updates`` put in where an id matches; of several updates for an id the largest counts."""
-    named = [c for c in METADATA if c in updates.columns]
-    fresh = updates.select("chunk_id", *[F.col(c).alias(f"_new_{c}") for c in named])
-    fresh = fresh.groupBy("chunk_id").agg(F.max(F.struct(*[f"_new_{c}" for c in named])).alias("_new")).select("chunk_id", "_new.*")
-    out = rows.join(fresh, "chunk_id", "left")
-    for c in named:
-        out = out.withColumn(c, F.coalesce(f"_new_{c}", c))
-    return out.drop(*[f"_new_{c}" for c in named])
-
-
-def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` whose id is not listed."""
-    return sized_join(rows, ids.select("chunk_id").distinct(), ["chunk_id"], "left_anti")
+def _latest(column: str) -> Column:
+    """The last value that the changes give a metadata column, or the row's own."""
+    given = F.filter(F.transform("changes", lambda x: x[column]), lambda v: v.isNotNull())
+    return F.coalesce(F.try_element_at(given, F.lit(-1)), F.col(column)).alias(column)
 
 
 def embedding_cache(spark: SparkSession, path: str, chunks: DataFrame, make_model: Callable = HashingEncoder) -> DataFrame:

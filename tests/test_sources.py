@@ -131,6 +131,68 @@ def test_collection_life(spark, tmp_path):
     assert {r.chunk_id for r in store.read().collect()} == {"c0", "c2", "c3"}
 
 
+def files_of(path):
+    return {p.name: p.stat().st_mtime_ns for p in path.rglob("part-*")}
+
+
+def test_collection_merges_changes_when_read(spark, tmp_path):
+    """Updates and deletions write no vector, hold only for what was stored before them, and go into the next generation."""
+    ddl = "chunk_id string, embedding array<float>, text string, subject string, grade string, chapter string"
+    rows = spark.createDataFrame([(f"c{i}", [float(i)], f"t{i}", "s", "g", None) for i in range(40)], ddl)
+    store = Collection(spark, str(tmp_path / "c"), buckets=4)
+    store.update_metadata(rows.select("chunk_id", "chapter"))
+    store.add(rows)
+    vectors = tmp_path / "c" / "rows-000001-4"
+    before = files_of(vectors)
+    assert 0 < len(before) <= 4
+    change = lambda id_, **v: store.update_metadata(spark.createDataFrame([(id_, *v.values())], "chunk_id string, " + ", ".join(f"{c} string" for c in v)))
+    change("c1", chapter="one", grade="9")
+    change("c1", chapter="two")
+    change("c1", grade=None)
+    store.delete(spark.createDataFrame([("c2",), ("c2",), ("c3",)], "chunk_id string"))
+    assert files_of(vectors) == before
+    found = {r.chunk_id: (r.grade, r.chapter) for r in store.read().collect()}
+    assert found["c1"] == ("9", "two") and not {"c2", "c3"} & set(found) and len(found) == 38
+    store.add(rows.where("chunk_id in ('c1', 'c2')").withColumn("chapter", F.lit("again")))
+    want = {r.chunk_id: (r.grade, r.chapter) for r in store.read().collect()}
+    assert want["c2"] == ("g", "again") and want["c1"] == ("9", "two") and len(want) == 39
+    change("c2", chapter="later")
+    want["c2"] = ("g", "later")
+    for _ in range(2):
+        assert {r.chunk_id: (r.grade, r.chapter) for r in store.read().collect()} == want
+        opened = Collection(spark, str(tmp_path / "c"), buckets=8)
+        spark.sql(f"DROP TABLE {store._table(store._generation())}")  # as a new application, which knows only the files
+        assert opened.count() == 39
+        opened.compact()
+        assert opened._generation().endswith("-8") and not opened._folders(opened._changes_path(opened._generation()), "c")
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_stored_rows_are_not_shuffled(spark, tmp_path, changed):
+    """Get, insert and merge meet the stored rows bucket by bucket."""
+    ddl = "chunk_id string, embedding array<float>, text string, subject string, grade string, chapter string"
+    rows = spark.createDataFrame([(f"c{i}", [float(i)], f"t{i}", "s", "g", None) for i in range(100)], ddl)
+    store = Collection(spark, str(tmp_path / "c"), buckets=4)
+    store.add(rows)
+    if changed:
+        store.update_metadata(rows.select("chunk_id", F.lit("x").alias("chapter")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (store.get(rows.select("chunk_id")), store.missing(rows.withColumn("chunk_id", F.concat("chunk_id", F.lit("0"))))):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            lines = plan[plan.index("Final Plan") : plan.index("Initial Plan")].splitlines() if "Initial Plan" in plan else plan.splitlines()
+            scans = [i for i, line in enumerate(lines) if "collection_" in line or "rows-000001" in line]
+            assert scans and all("Bucketed: true" in lines[i] for i in scans)
+            for i in scans:
+                depth = len(lines[i]) - len(lines[i].lstrip(" :+-*()0123456789"))
+                above = [line for line in lines[:i] if len(line) - len(line.lstrip(" :+-*()0123456789")) < depth]
+                until = next(k for k in range(len(above) - 1, -1, -1) if "Join" in above[k])
+                assert not any("Exchange" in line for line in above[until:])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_stream_ingests_each_chunk_once(spark, tmp_path):
     store = Collection(spark, str(tmp_path / "store"))
     ddl = "book_id string, text string, subject string"
