@@ -299,7 +299,10 @@ def cached_embeddings(spark, sf):
     return embedding_cache(spark, path, rows).select("chunk_id", F.size("embedding").cast("long").alias("dimensions"))
 
 
-@query("incremental_ingest", "SELECT md5(text) AS chunk_id, min(length(text))::BIGINT AS n_chars FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10 GROUP BY 1")
+INGEST_SQL = "SELECT md5(text) AS chunk_id, min(length(text))::BIGINT AS n_chars FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10 GROUP BY 1"
+
+
+@query("incremental_ingest", INGEST_SQL)
 def incremental_ingest(spark, sf):
     """Documents stream in as whole-text chunks; copies are stored once."""
     store = Collection(spark, scratch_path(spark, "ingested"))
@@ -312,3 +315,18 @@ def incremental_ingest(spark, sf):
     )
     stream.awaitTermination()
     return store.read().select("chunk_id", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("incremental_ingest_state", INGEST_SQL)
+def incremental_ingest_state(spark, sf):
+    """Odd documents arrive first, then all of them in late and repeated files, after a restart; ids are kept as streaming state."""
+    store = Collection(spark, scratch_path(spark, "ingested"))
+    source, checkpoint = scratch_path(spark, "incoming"), scratch_path(spark, "stream")
+    docs = table(spark, sf, "documents").select(F.col("source").alias("book_id"), "text", F.col("lang").alias("subject"), "doc_id")
+    for arriving in (docs.where("doc_id % 2 = 1"), docs):
+        arriving.drop("doc_id").write.mode("append").parquet(source)
+        ingest_books(
+            spark, source, "book_id string, text string, subject string", store, checkpoint,
+            prepare=lambda books: books, remember="2 hours", method="fixed", size=1 << 24, overlap=0,
+        ).awaitTermination()
+    return store.read().select("chunk_id", F.length("text").cast("long").alias("n_chars"))

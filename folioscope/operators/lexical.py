@@ -2,8 +2,8 @@
 
 The index holds the passages twice: one row per passage with its length and its
 term counts, computed inside the row without a shuffle, and the same counts as
-postings in term order. A search places whole passages by id once and meets them with blocks of query
-weights of a bounded number, so no pair is shuffled before the top-k. Corpus statistics are kept per subject, because a query restricted to a subject is
+postings in term order. A stored index has its passages bucketed by id: a search meets them where they lie with blocks of query
+weights of a bounded number, so neither passages nor pairs are shuffled before the top-k. Corpus statistics are kept per subject, because a query restricted to a subject is
 scored against the statistics of that subject alone. The pseudo-subject
 ``ANY`` carries the statistics of the whole corpus for queries without one.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
 from folioscope.functions.text import tokens
-from folioscope.plans.scale import materialise, running_sum, scratch_path, sized_join, spread, top_k
+from folioscope.plans.scale import bucketed_table, insert_bucketed, materialise, running_sum, scratch_path, sized_join, spread, top_k
 
 ANY = "*"
 SCORE_DIGITS = 9
@@ -38,12 +38,22 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     corpora: DataFrame
+    placed: bool = False
+    """Whether the passages are bucketed by ``doc``."""
 
-    def save(self, path: str) -> LexicalIndex:
-        """Write the index; each part is computed from the parts already written."""
+    def save(self, path: str, buckets: int | None = None) -> LexicalIndex:
+        """Write the index; each part is computed from the parts already written.
+
+        ``buckets`` is the number of tasks that a search is dealt to, as many as cores by default; a large index needs
+        so many that the passages of one fit a task.
+        """
         spark = self.passages.sparkSession
-        self.passages.sortWithinPartitions("subject").write.parquet(f"{path}/passages")
-        passages = spark.read.parquet(f"{path}/passages")
+        buckets = buckets or spark.sparkContext.defaultParallelism
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.passages.schema)
+        table = bucketed_table(spark, f"{path}/passages", schema, "doc", buckets)
+        insert_bucketed(self.passages, table, "doc", buckets)
+        spark.createDataFrame([(schema, buckets)], "schema string, buckets int").coalesce(1).write.parquet(f"{path}/layout")
+        passages = spark.table(table)
         # a hot term is split too, because the range goes on by passage
         ordered = postings(passages).repartitionByRange("term", "subject", "doc").sortWithinPartitions("term", "subject")
         ordered.write.parquet(f"{path}/postings")
@@ -54,8 +64,9 @@ class LexicalIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
-        parts = ("passages", "postings", "terms", "corpora")
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{part}") for part in parts))
+        layout = spark.read.parquet(f"{path}/layout").first()
+        passages = spark.table(bucketed_table(spark, f"{path}/passages", layout.schema, "doc", layout.buckets))
+        return LexicalIndex(passages, *(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpora")), placed=True)
 
 
 def term_counts(token_array: str) -> Column:
@@ -150,7 +161,7 @@ def matched_scores(index: LexicalIndex, weights: DataFrame) -> DataFrame:
     """
     subjects = [r.subject for r in weights.select("subject").distinct().collect()]
     passages = index.passages if ANY in subjects else index.passages.where(F.col("subject").isin(subjects))
-    rows = postings(passages.repartition("doc"))
+    rows = postings(passages if index.placed else passages.repartition("doc"))
     asked = weights.withColumnRenamed("subject", "_scope")
     pairs = rows.join(F.broadcast(asked), "term").where(F.col("_scope").isin(ANY) | (F.col("_scope") == F.col("subject")))
     tf, dl = F.col("tf"), F.col("dl")

@@ -12,6 +12,7 @@ Three patterns recur in this package:
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -176,6 +177,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bucketed_table(spark: SparkSession, location: str, schema: str, key: str, buckets: int) -> str:
+    """The name under which the session knows the files at ``location``, which are (or will be) bucketed by ``key``.
+
+    Joins and groupings that include ``key`` take such rows where they are. Insert rows with ``insert_bucketed``.
+    """
+    name = f"bucketed_{hashlib.md5(location.encode()).hexdigest()}"
+    quoted = location.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+    spark.catalog.refreshTable(name)
+    return name
+
+
+def insert_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Append ``rows``, one file per bucket."""
+    rows.repartition(buckets, key).write.insertInto(table)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the application's scratch folder; call it when no result read from there is needed any more."""
     root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))

@@ -8,7 +8,6 @@ generation. Readers of an older generation are not disturbed.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.operators.chunking import first_of_each_id
 from folioscope.operators.vectors import HashingEncoder, embed
-from folioscope.plans.scale import materialise, sized_join
+from folioscope.plans.scale import bucketed_table, insert_bucketed, materialise, sized_join
 
 METADATA = ["subject", "grade", "chapter"]
 COLUMNS = [f.strip().split(" ")[0] for f in schemas.VECTORS.split(", ")]
@@ -26,6 +25,10 @@ BUCKETS = 16
 """Default number of buckets of a new collection; about one per few gigabytes is wanted."""
 
 
+def _buckets(generation: str) -> int:
+    return int(generation.rsplit("-", 1)[1])
+
+
 class Collection:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         """``buckets`` counts for a new collection and for the next ``compact``; a stored one keeps its own until then."""
@@ -50,15 +53,7 @@ class Collection:
 
     def _table(self, generation: str) -> str:
         """The name under which the session knows the bucketed files of a generation."""
-        location = f"{self.path}/{generation}"
-        name = f"collection_{hashlib.md5(location.encode()).hexdigest()}"
-        quoted = location.replace("'", "\\'")
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} ({schemas.VECTORS}, inserted BIGINT) USING parquet "
-            f"CLUSTERED BY (chunk_id) INTO {int(generation.rsplit('-', 1)[1])} BUCKETS LOCATION '{quoted}'"
-        )
-        self.spark.catalog.refreshTable(name)
-        return name
+        return bucketed_table(self.spark, f"{self.path}/{generation}", f"{schemas.VECTORS}, inserted BIGINT", "chunk_id", _buckets(generation))
 
     def _changes_path(self, generation: str) -> str:
         return f"{self.path}/changes-{generation.split('-')[1]}"
@@ -69,7 +64,7 @@ class Collection:
             return rows.select(*COLUMNS)
         path = self._changes_path(generation)
         listed = self.spark.read.schema(CHANGES).parquet(*[f"{path}/{c}" for c in changes])
-        listed = listed.repartition(int(generation.rsplit("-", 1)[1]), "chunk_id")  # as many as buckets, so that the rows stay where they are
+        listed = listed.repartition(_buckets(generation), "chunk_id")  # as many as buckets, so that the rows stay where they are
         listed = listed.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("change", "gone", *METADATA))).alias("changes"))  # at most one per change
         later = F.filter("changes", lambda x: x["change"] > F.col("inserted"))
         merged = rows.join(listed, "chunk_id", "left").withColumn("changes", F.coalesce(later, F.array()))
@@ -89,9 +84,7 @@ class Collection:
         self._write(out, generation)
 
     def _write(self, rows: DataFrame, generation: str) -> None:
-        """One file per bucket, by rows of one bucket in one task."""
-        table = self._table(generation)
-        rows.repartition(int(generation.rsplit("-", 1)[1]), "chunk_id").write.insertInto(table)
+        insert_bucketed(rows, self._table(generation), "chunk_id", _buckets(generation))
 
     def _change(self, rows: DataFrame) -> None:
         generation = self._generation()

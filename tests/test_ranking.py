@@ -185,3 +185,16 @@ def test_knn_embeds_each_query_once_and_filters_the_scan(spark, tmp_path):
     assert found.count() == 40 and calls.value == 20
     plan = stored.where(F.col("scope").isin(["s0", "s1"])).mapInArrow(lambda b: b, stored.schema)._jdf.queryExecution().toString()
     assert "PushedFilters: [In(scope, [s0,s1])]" in plan
+
+
+def test_stored_passages_are_scored_where_they_lie(spark, tmp_path):
+    rows = [(i, f"alpha beta word{i} word{i % 5}", "ab"[i % 2]) for i in range(60)]
+    built = lexical.build_index(spark.createDataFrame(rows, "id long, text string, subject string"), "id", "id", "text", "subject")
+    asked = spark.createDataFrame([(1, "alpha word3", "a"), (2, "word7 beta", None)], "query_id long, text string, subject string")
+    want = sorted(map(tuple, lexical.search(built, asked, 5).collect()))
+    built.save(str(tmp_path / "index"), buckets=4)
+    index = lexical.LexicalIndex.load(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, lexical.search(index, asked, 5).collect())) == want
+    weights = lexical.materialise(lexical.query_weights(index, asked), "weights")
+    plan = lexical.matched_scores(index, weights)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning" not in plan

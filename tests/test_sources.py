@@ -182,7 +182,7 @@ def test_stored_rows_are_not_shuffled(spark, tmp_path, changed):
             df.collect()
             plan = df._jdf.queryExecution().executedPlan().toString()
             lines = plan[plan.index("Final Plan") : plan.index("Initial Plan")].splitlines() if "Initial Plan" in plan else plan.splitlines()
-            scans = [i for i, line in enumerate(lines) if "collection_" in line or "rows-000001" in line]
+            scans = [i for i, line in enumerate(lines) if "bucketed_" in line or "rows-000001" in line]
             assert scans and all("Bucketed: true" in lines[i] for i in scans)
             for i in scans:
                 depth = len(lines[i]) - len(lines[i].lstrip(" :+-*()0123456789"))
@@ -307,3 +307,30 @@ def test_end_to_end_with_resume(spark, corpus, sf_dir, tmp_path):
     assert {(int(r.key) % 2 == 0, r.is_correct) for r in results.collect()} == {(True, True), (False, False)}
     before = results.count()
     assert jobs.run_resumable(work, path, lambda todo: 1 / 0, parts=2) and files.read_results(spark, path).count() == before
+
+
+def test_stream_state_passes_each_chunk_once(spark, tmp_path):
+    """Repeated files, also after a restart, do not reach the collection again; what the state has forgotten is not stored twice."""
+
+    class Counting(Collection):
+        passed = []
+
+        def add_texts(self, chunks, *args):
+            self.passed.append(sorted(r.text for r in chunks.select("text").collect()))
+            super().add_texts(chunks, *args)
+
+    store = Counting(spark, str(tmp_path / "store"))
+    ddl = "book_id string, text string, subject string"
+
+    def arrive(rows, remember="1 hour", checkpoint="ck"):
+        spark.createDataFrame(rows, ddl).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest_books(
+            spark, str(tmp_path / "in"), ddl, store, str(tmp_path / checkpoint), lambda b: b, remember=remember, method="fixed", size=50, overlap=0
+        ).awaitTermination()
+
+    first, second = "first text of a book", "another text, a longer one"
+    arrive([("a", first, "x"), ("b", first, "x")])
+    arrive([("c", first, "x"), ("d", second, "y"), ("e", None, "y"), ("f", "short", "y")])
+    assert [t for t in store.passed if t] == [[first], [second]] and store.count() == 2
+    arrive([("g", second, "y")], checkpoint="new")  # a state that knows nothing
+    assert store.count() == 2
