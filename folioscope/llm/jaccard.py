@@ -31,7 +31,7 @@ from folioscope.plans.scale import materialise
 
 LANES = 16
 """64-bit words of the parity sketch."""
-CACHED = 300_000
+CACHED = 100_000
 BYTES_PER_WORD = 6
 """What a word takes in common text, to size the filter."""
 ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -33,7 +33,7 @@ LEARN_RUN = re.compile(r"[^\W\d_]{1,40}")
 LONG = 200
 """Bytes from which a word is scored by itself, a stretch at a time."""
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHED = 250_000
+CACHED = 100_000
 SLICE = 1 << 20
 
 
