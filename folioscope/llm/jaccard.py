@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.components import components
 from folioscope.llm.langid import slices
 from folioscope.llm.line_dedup import has, places, repeat_filter
-from folioscope.llm.tokens import per_process, small_parts
+from folioscope.llm.tokens import bound_batches, per_process, small_parts
 from folioscope.plans.scale import materialise
 
 LANES = 16
@@ -210,6 +210,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     several texts. Every link is found, also where the filter of at most ``max_filter_bits`` bits is too small to rule texts out; features and equal sets are told apart by 64 and 128 bits of hash.
     """
     spark, least = docs.sparkSession, Fraction(percent, 100)
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = rows.mapInArrow(_describe(n), "doc long, size long, set long, second long, sketch array<long>")
     sets = materialise(sets, "shingle-sets")

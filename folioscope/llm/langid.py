@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import free_name, per_process, small_parts
+from folioscope.llm.tokens import bound_batches, free_name, per_process, small_parts
 from folioscope.plans.scale import materialise
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -290,7 +290,9 @@ def scores_of(texts: list[str], words: WordScores) -> tuple[np.ndarray, np.ndarr
     return out, n
 
 
-def _predict(shared, unlearnt: str):
+def _predict(shared, unlearnt: str, at: int, n_kept: int):
+    """``at`` is the place of the text column; the first ``n_kept`` columns are returned with the results."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value) if shared.value else None
         kept = per_process("langid", "word scores", dict)
@@ -299,7 +301,7 @@ def _predict(shared, unlearnt: str):
             kept[model.key] = WordScores(model)
         for batch in small_parts(batches):
             lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            for first, texts in slices(batch.column(batch.num_columns - 1).to_pylist()):
+            for first, texts in slices(batch.column(at).to_pylist()):
                 if not model:
                     for i, text in enumerate(texts):
                         if any(as_word(run[0]) for run in RUN.finditer(text.lower())):
@@ -312,8 +314,7 @@ def _predict(shared, unlearnt: str):
                 for i in np.flatnonzero(n):
                     best = int(share[i].argmax())
                     lang[first + i], score[first + i] = model.langs[best], share[i, best]
-            columns = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:n_kept], "lang_pred", "score"])
 
     return run
 
@@ -339,9 +340,11 @@ def identify(
     like the two results are replaced.
     """
     learn = F.lit(True) if learn is None else learn
+    bound_batches(docs.sparkSession)
     model = fit(docs, learn, text_col, lang_col, id_col, vocabulary, max_rows, passes)
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    rows = docs.select(*keep, F.col(text_col).alias(free_name("_text", keep)))
+    kept = text_col in keep  # then the text travels once
+    rows = docs.select(*keep, *([] if kept else [F.col(text_col).alias(free_name("_text", keep))]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_predict(shared, unlearnt), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared, unlearnt, keep.index(text_col) if kept else len(keep), len(keep)), f"{schema}, lang_pred string, score double")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import per_process
+from folioscope.llm.tokens import bound_batches, per_process
 from folioscope.plans.scale import materialise
 
 PROBES = 3
@@ -177,6 +177,7 @@ def dedup_lines(
     what is broadcast (eight bits per byte); beyond it more lines are checked exactly.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

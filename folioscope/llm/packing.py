@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import WORD_BPE, word_encoder
+from folioscope.llm.tokens import WORD_BPE, bound_batches, word_encoder
 from folioscope.plans.scale import materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, piece_key long"
@@ -79,6 +79,7 @@ def pieces_of(
     ``ids`` are little-endian unsigned 32-bit. A null or empty text is one piece of one id. ``piece_key``
     is unique to the piece, also where rows share an id or have none.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return materialise(rows.mapInArrow(_cut(tokenizer, end_id, capacity), PIECES), "pieces")
 
