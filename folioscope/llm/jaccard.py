@@ -8,7 +8,8 @@ twice, tell most of those. In each signature's bucket the
 sets are first compared with one leader. What those links connect needs no more comparing;
 the rest of a bucket is compared across its components, without exception. Before the words of
 two sets are compared, their sizes and a parity sketch must admit the link: the number of differing
-parity bits is never more than the number of differing features.
+parity bits is never more than the number of differing features. Parity says little of long sets, so small tables of how many
+features fall into each cell must admit it as well, before any feature is moved.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from folioscope.plans.scale import materialise
 
 LANES = 16
 """64-bit words of the parity sketch."""
+CELLS = 1024
+"""Cells of the table of counts, one byte each."""
 CACHED = 100_000
 BYTES_PER_WORD = 6
 """What a word takes in common text, to size the filter."""
@@ -118,6 +121,12 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
+def cell_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many features fall into each cell, 255 at most; tables differ by no more in all than the sets do."""
+    place = (_mix(shingles, 47) >> np.uint64(40)) % np.uint64(CELLS)
+    return np.minimum(np.bincount(place.astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[int]]]:
     """Ids, shingle sets and set ids of some whole texts at a time; the set id of an empty set is 0."""
     words = per_process("jaccard", "words", WordHashes)
@@ -172,7 +181,23 @@ def _sign(n: int, least: Fraction, shared, bits: int):
 def _hash_lists(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, ids in _rows(batches, n):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "features"])
+            columns = [ids, [len(s) for s in sets], [cell_counts(s).tobytes() for s in sets], [s.tobytes() for s in sets]]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["set", "size", "counts", "features"])
+
+    return run
+
+
+def _by_counts(least: Fraction):
+    """Pairs whose tables of counts leave the link possible."""
+    top, bottom = least.numerator, least.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_parts(batches):
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("left", "right"))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            admitted = apart * (bottom + top) <= batch.column("sizes").to_numpy() * (bottom - top)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(admitted, pa.bool_()))
 
     return run
 
@@ -236,12 +261,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         """Links, by representative, among possible pairs ``a, b, p, q``."""
         pairs = materialise(pairs, "possible-pairs")
         needed = materialise(pairs.select("p").union(pairs.select("q")).distinct().select(F.col("p").alias("doc")), "needed-texts")
-        lists = rows.join(needed, "doc", "left_semi").mapInArrow(_hash_lists(n), "set long, features binary").dropDuplicates(["set"])
+        lists = rows.join(needed, "doc", "left_semi").mapInArrow(_hash_lists(n), "set long, size long, counts binary, features binary").dropDuplicates(["set"])
         lists = materialise(lists, "feature-lists")
-        left = lists.select(F.col("set").alias("a"), F.col("features").alias("left"))
-        right = lists.select(F.col("set").alias("b"), F.col("features").alias("right"))
-        both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        found = both.mapInArrow(_verify(least), "a long, b long")
+
+        def with_both(pairs: DataFrame, column: str) -> DataFrame:
+            left = lists.select(F.col("set").alias("a"), F.col("size").alias("s"), F.col(column).alias("left"))
+            right = lists.select(F.col("set").alias("b"), F.col("size").alias("t"), F.col(column).alias("right"))
+            return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("s") + F.col("t")).alias("sizes"), "left", "right")
+
+        likely = materialise(with_both(pairs.select("a", "b"), "counts").mapInArrow(_by_counts(least), "a long, b long"), "likely-pairs")
+        found = with_both(likely, "features").mapInArrow(_verify(least), "a long, b long")
         return materialise(found.join(pairs, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), "links")
 
     copies = real.join(classes.select("set", "second", "rep"), ["set", "second"]).where(F.col("doc") != F.col("rep")).select(F.col("doc").alias("a"), F.col("rep").alias("b"))

@@ -130,6 +130,16 @@ def test_signatures_meet_for_all_sets_that_are_near_enough():
                     assert set(jaccard.signatures(np.unique(x), least)) & set(jaccard.signatures(np.unique(y), least))
 
 
+def test_tables_of_counts_differ_by_no_more_than_the_sets():
+    draw = np.random.default_rng(7)
+    for size in (1, 30, 3_000, 400_000):  # the last fills cells beyond what a byte holds
+        x = np.unique(draw.integers(0, 1 << 62, size).astype(np.uint64))
+        for gone, added in ((0, 0), (size // 9, size // 20), (size - 1, 1), (0, size)):
+            y = np.unique(np.concatenate([x[gone:], draw.integers(0, 1 << 62, added).astype(np.uint64)]))
+            left, right = (jaccard.cell_counts(s).astype(int) for s in (x, y))
+            assert np.abs(left - right).sum() <= len(np.setxor1d(x, y))
+
+
 PAGES = "page_id long, url string, html string"
 
 
