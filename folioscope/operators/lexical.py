@@ -2,8 +2,10 @@
 
 The index holds the passages twice: one row per passage with its length and its
 term counts, computed inside the row without a shuffle, and the same counts as
-postings in term order. A stored index has its passages bucketed by id: a search meets them where they lie with blocks of query
-weights of a bounded number, so neither passages nor pairs are shuffled before the top-k. Corpus statistics are kept per subject, because a query restricted to a subject is
+postings in term order. A stored index has its passages bucketed by blocks of similar length, and the greatest count and
+least length of every term in every block. A search meets the passages where they lie with a bounded number of query weights at a
+time, so neither passages nor pairs are shuffled before the top-k, and it leaves out the blocks whose bound stays below a
+query's k-th score. Corpus statistics are kept per subject, because a query restricted to a subject is
 scored against the statistics of that subject alone. The pseudo-subject
 ``ANY`` carries the statistics of the whole corpus for queries without one.
 """
@@ -24,6 +26,10 @@ ANY = "*"
 SCORE_DIGITS = 9
 WEIGHTS = 100_000
 """Query weights (a query's distinct terms) that are broadcast together, on average."""
+PASSAGES_PER_BLOCK = 128
+"""About how many passages share one bound per term."""
+LENGTH_CLASSES = 8
+"""Classes of length, each 1.4 times the last, that hold most passages of a usual corpus."""
 
 
 @dataclass(frozen=True)
@@ -32,14 +38,14 @@ class LexicalIndex:
 
     ``passages``: doc, pos, subject, dl, terms; ``postings``: doc, pos, subject, dl, term, tf;
     ``terms``: subject, term, df; ``corpora``: subject, n_docs, avgdl, mean_idf.
+    ``bounds``: block, subject, term, tf (greatest), dl (least). Only a stored index has it; its passages have a column ``block`` too and are bucketed by it.
     """
 
     passages: DataFrame
     postings: DataFrame
     terms: DataFrame
     corpora: DataFrame
-    placed: bool = False
-    """Whether the passages are bucketed by ``doc``."""
+    bounds: DataFrame | None = None
 
     def save(self, path: str, buckets: int | None = None) -> LexicalIndex:
         """Write the index; each part is computed from the parts already written.
@@ -49,14 +55,17 @@ class LexicalIndex:
         """
         spark = self.passages.sparkSession
         buckets = buckets or spark.sparkContext.defaultParallelism
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.passages.schema)
-        table = bucketed_table(spark, f"{path}/passages", schema, "doc", buckets)
-        insert_bucketed(self.passages, table, "doc", buckets)
+        blocked = _with_blocks(self.passages)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocked.schema)
+        table = bucketed_table(spark, f"{path}/passages", schema, "block", buckets)
+        insert_bucketed(blocked, table, "block", buckets)
         spark.createDataFrame([(schema, buckets)], "schema string, buckets int").coalesce(1).write.parquet(f"{path}/layout")
         passages = spark.table(table)
         # a hot term is split too, because the range goes on by passage
         ordered = postings(passages).repartitionByRange("term", "subject", "doc").sortWithinPartitions("term", "subject")
         ordered.write.parquet(f"{path}/postings")
+        listed = postings(passages, "block").groupBy("block", "subject", "term")
+        listed.agg(F.max("tf").alias("tf"), F.min("dl").alias("dl")).write.parquet(f"{path}/bounds")
         _term_statistics(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
         corpora = _corpus_statistics(passages, spark.read.parquet(f"{path}/terms"))
         corpora.write.parquet(f"{path}/corpora")
@@ -65,8 +74,15 @@ class LexicalIndex:
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
         layout = spark.read.parquet(f"{path}/layout").first()
-        passages = spark.table(bucketed_table(spark, f"{path}/passages", layout.schema, "doc", layout.buckets))
-        return LexicalIndex(passages, *(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpora")), placed=True)
+        passages = spark.table(bucketed_table(spark, f"{path}/passages", layout.schema, "block", layout.buckets))
+        return LexicalIndex(passages, *(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpora", "bounds")))
+
+
+def _with_blocks(passages: DataFrame) -> DataFrame:
+    """Add ``block``: passages of similar length, because the bound of a block is tight where lengths are."""
+    parts = max(1, passages.count() // (PASSAGES_PER_BLOCK * LENGTH_CLASSES))
+    length = F.floor(F.log2(F.col("dl") + F.lit(1.0)) * 2).cast("long")
+    return passages.withColumn("block", length * F.lit(1 << 40) + F.pmod(F.xxhash64("doc"), F.lit(parts)))
 
 
 def term_counts(token_array: str) -> Column:
@@ -90,12 +106,12 @@ def index_passages(passages: DataFrame, doc: str, pos: str, text: str, subject:
     )
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """Explode the index to ``doc, pos, subject, dl, term, tf``.
+def postings(index: DataFrame, *more: str) -> DataFrame:
+    """Explode the index to ``doc, pos, subject, dl, term, tf`` and the columns named in ``more``.
 
     The outer form keeps Spark from repeating the array expression in a size filter.
     """
-    return index.select("doc", "pos", "subject", "dl", F.inline_outer("terms")).where(F.col("term").isNotNull())
+    return index.select("doc", "pos", "subject", "dl", *more, F.inline_outer("terms")).where(F.col("term").isNotNull())
 
 
 def _term_statistics(listed: DataFrame) -> DataFrame:
@@ -153,21 +169,67 @@ def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     return known.select("query_id", "subject", "term", (F.col("qtf") * _floored_idf()).alias("weight"), "avgdl")
 
 
-def matched_scores(index: LexicalIndex, weights: DataFrame) -> DataFrame:
+def _asked(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Rows by term with the weights of one block of queries; a row meets the queries of its own subject and those without one."""
+    asked = weights.withColumnRenamed("subject", "_scope")
+    return rows.join(F.broadcast(asked), "term").where(F.col("_scope").isin(ANY) | (F.col("_scope") == F.col("subject")))
+
+
+def _part(weight: Column) -> Column:
+    """What a term adds to a score; it grows with ``tf`` and falls with ``dl``."""
+    tf, dl = F.col("tf"), F.col("dl")
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+
+
+def matched_scores(index: LexicalIndex, weights: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``query_id, doc, pos, score`` of every passage that shares a term with a query.
 
-    ``weights`` is one block, so it and its subjects are bounded. Passages of other subjects are not read,
-    and a posting meets the queries of its own subject and those without one.
+    ``weights`` is one block, so it and its subjects are bounded. Passages of other subjects are not read.
+    With ``wanted (query_id, block)``, which is stored, only those blocks are scored.
     """
     subjects = [r.subject for r in weights.select("subject").distinct().collect()]
     passages = index.passages if ANY in subjects else index.passages.where(F.col("subject").isin(subjects))
-    rows = postings(passages if index.placed else passages.repartition("doc"))
-    asked = weights.withColumnRenamed("subject", "_scope")
-    pairs = rows.join(F.broadcast(asked), "term").where(F.col("_scope").isin(ANY) | (F.col("_scope") == F.col("subject")))
-    tf, dl = F.col("tf"), F.col("dl")
-    k1, b = fixed.BM25_K1, fixed.BM25_B
-    part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return pairs.groupBy("query_id", "doc", "pos").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    if wanted is not None:
+        passages = passages.join(wanted.select("block").distinct(), "block", "left_semi")
+    block = ["block"] if index.bounds is not None else []
+    pairs = _asked(postings(passages if block else passages.repartition("doc"), *block), weights)
+    if wanted is not None:
+        pairs = pairs.join(wanted, ["query_id", "block"], "left_semi")
+    score = F.round(F.sum(_part(F.col("weight"))), SCORE_DIGITS)
+    return pairs.groupBy("query_id", *block, "doc", "pos").agg(score.alias("score")).select("query_id", "doc", "pos", "score")
+
+
+def block_bounds(index: LexicalIndex, weights: DataFrame) -> DataFrame:
+    """``query_id, block, bound``: no passage of the block scores higher; blocks without a term of the query are left out."""
+    part = _part(F.greatest("weight", F.lit(0.0)))
+    inside = _asked(index.bounds, weights).groupBy("query_id", "block", "subject").agg(F.sum(part).alias("bound"))
+    return inside.groupBy("query_id", "block").agg(F.max("bound").alias("bound"))
+
+
+def open_blocks(bounds: DataFrame, first: DataFrame, early: DataFrame, k: int) -> DataFrame:
+    """``query_id, block`` outside ``first`` that may hold a passage as good as the ``k``-th of ``early``, ties included."""
+    floor = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    reaches = F.col("floor").isNull() | (F.col("bound") * (1 + 1e-9) + 10.0 ** (1 - SCORE_DIGITS) >= F.col("floor"))
+    left = bounds.join(first, ["query_id", "block"], "left_anti").join(floor, "query_id", "left")
+    return left.where(reaches).select("query_id", "block")
+
+
+def _best(index: LexicalIndex, weights: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """Top ``k`` of one block of weights.
+
+    Each query first scores its ``k`` blocks of highest bound, which hold ``k`` matches or all, and then only
+    those whose bound reaches the ``k``-th score found there.
+    """
+    if index.bounds is None:
+        return top_k(matched_scores(index, weights), ["query_id"], order, k)
+    bounds = materialise(block_bounds(index, weights), "block-bounds")
+    first = top_k(bounds, ["query_id"], [F.desc("bound"), F.asc("block")], k).select("query_id", "block")
+    first = materialise(first, "first-blocks")
+    early = materialise(top_k(matched_scores(index, weights, first), ["query_id"], order, k), "first-scores")
+    rest = materialise(open_blocks(bounds, first, early, k), "open-blocks")
+    late = matched_scores(index, weights, rest)
+    return top_k(early.drop("rank").unionByName(late), ["query_id"], order, k)
 
 
 def _blocks(weights: DataFrame, size: int) -> list[DataFrame]:
@@ -205,7 +267,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, pad: bool = True, bl
     weights = materialise(query_weights(index, queries), "weights")
     folder = scratch_path(spark, "bm25")
     for part in _blocks(weights, block):
-        top_k(matched_scores(index, part), ["query_id"], order, k).write.mode("append").parquet(folder)
+        _best(index, part, order, k).write.mode("append").parquet(folder)
     best = spark.read.parquet(folder)
     if not pad:
         return best

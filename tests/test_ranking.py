@@ -198,3 +198,29 @@ def test_stored_passages_are_scored_where_they_lie(spark, tmp_path):
     weights = lexical.materialise(lexical.query_weights(index, asked), "weights")
     plan = lexical.matched_scores(index, weights)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "hashpartitioning" not in plan
+
+
+def test_blocks_that_cannot_reach_the_top_are_skipped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "PASSAGES_PER_BLOCK", 2)
+    rng = random.Random(4)
+    rows = [(i, " ".join(["gene"] * (1 + i % 3) + ["filler"] * (i % 150)), rng.choice("ab")) for i in range(600)]
+    rows += [(1000 + i, "gene gene gene ion", "a") for i in range(4)] + [(2000, None, "a"), (2001, "gene", None)]
+    df = spark.createDataFrame(rows, "id long, text string, subject string")
+    built = lexical.build_index(df, "id", "id", "text", "subject")
+    index = built.save(str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "gene ion", "a"), (2, "ion", None), (3, "filler gene", None)], "query_id long, text string, subject string")
+    want = sorted(map(tuple, lexical.search(built, asked, 4).collect()))
+    assert sorted(map(tuple, lexical.search(index, asked, 4).collect())) == want
+
+    weights = lexical.materialise(lexical.query_weights(index, asked), "weights")
+    bounds = lexical.block_bounds(index, weights)
+    reached = {(r.query_id, r.block): r.bound for r in bounds.collect()}
+    placed = index.passages.select("doc", "block")
+    for row in lexical.matched_scores(index, weights).join(placed, "doc").collect():
+        assert row.score <= reached[row.query_id, row.block] + 1e-8
+    order = [F.desc("score"), F.asc("pos")]
+    first = lexical.top_k(bounds, ["query_id"], [F.desc("bound"), F.asc("block")], 4).select("query_id", "block")
+    early = lexical.top_k(lexical.matched_scores(index, weights, first), ["query_id"], order, 4)
+    left = lexical.open_blocks(bounds, first, early, 4).where("query_id = 1").count()
+    n_blocks = sum(q == 1 for q, _ in reached)
+    assert n_blocks > 8 and left < (n_blocks - 4) / 2
