@@ -45,6 +45,11 @@ def _tier(page: Column, pattern: str, group: int, label) -> Column:
     return F.when(page.rlike(pattern), found)
 
 
+def running_header(page: Column) -> Column:
+    """Label of one raw page by its running header alone, or null."""
+    return _tier(page, fixed.RUNNING_HEADER, 1, strip)
+
+
 def page_heading(page: Column) -> Column:
     """Label of one raw page or null: running header, then numbered section, then bare title.
 
@@ -52,7 +57,7 @@ def page_heading(page: Column) -> Column:
     """
     number = F.regexp_extract(page, fixed.NUMBERED_SECTION, 1)
     return F.coalesce(
-        _tier(page, fixed.RUNNING_HEADER, 1, strip),
+        running_header(page),
         _tier(page, fixed.NUMBERED_SECTION, 2, lambda title: F.concat(number, F.lit(". "), strip(title))),
         _tier(page, fixed.BARE_TITLE, 1, strip),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
@@ -83,14 +85,14 @@ def as_of_label(
     return placed.unionByName(unplaced)
 
 
-def book_boundaries(books: DataFrame) -> DataFrame:
+def book_boundaries(books: DataFrame, heading: Callable[[Column], Column] = page_heading) -> DataFrame:
     """Add ``chapter_boundaries`` to books that hold their raw ``page_texts`` and cleaned ``text``.
 
     One row is one decoded file, so headings, forward fill and search all run
-    inside the row. A non-null ``starts`` (array of ``page_index, label``) replaces
+    inside the row. ``heading`` gives the label of a page. A non-null ``starts`` (array of ``page_index, label``) replaces
     detection, and the search is then for the first real line of each page.
     """
-    raw = F.transform(F.col("page_texts"), page_heading)
+    raw = F.transform(F.col("page_texts"), heading)
     empty = F.array().cast("array<struct<label:string>>")
 
     def keep_changes(acc, label):
