@@ -108,14 +108,12 @@ def rrf_topk(spark, sf):
        FROM l FULL JOIN v USING (query_id, id)""",
 )
 def fusion_lookup(spark, sf):
-    docs = table(spark, sf, "documents").select(
-        F.col("source").alias("query_id"), F.md5("text").alias("id"), F.col("doc_id").alias("rank"), "lang", "source"
-    )
-    arms = {
-        "lexical": docs.where("rank % 3 <> 1").withColumn("title", F.concat(F.lit("lexical "), "lang")),
-        "vector": docs.where("rank % 3 <> 2").withColumn("title", F.concat(F.lit("vector "), "lang")).withColumn("chapter", F.col("source")),
-    }
-    return fusion.payload(arms, "lexical", ["title", "chapter"])
+    """A text that stands in a source under several languages has as many copies."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("query_id"), F.md5("text").alias("id"), "lang")
+    title = lambda arm: F.concat(F.lit(f"{arm} "), "lang").alias("title")
+    lexical = docs.where("doc_id % 3 <> 1").select("query_id", "id", title("lexical")).distinct()
+    near = docs.where("doc_id % 3 <> 2").select("query_id", "id", title("vector"), F.col("query_id").alias("chapter")).distinct()
+    return fusion.payloads(lexical, near, ["title", "chapter"])
 
 
 @query("hybrid_topk", f"WITH {HYBRID_SQL} SELECT query_id, id, round(score, 9) AS score, rank FROM cand")

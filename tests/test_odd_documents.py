@@ -19,3 +19,8 @@ def differences(spark, folder, name, docs):
 def test_lines_that_read_like_titles_start_no_chapter(spark, tmp_path):
     docs = [("La the", "en", "src0"), ("First line.\nOf this.\nOf the\n12 Some Title\nLast.", "en", "src0"), ("", "en", "src0")]
     assert differences(spark, tmp_path, "chapter_boundaries", docs) is None
+
+
+def test_copies_of_a_text_in_several_languages_are_all_looked_up(spark, tmp_path):
+    docs = [("La la.", lang, "src0") for lang in ("fr", "es", "fr", "es", "en", "de")] + [("A.", lang, "src1") for lang in ("en", "fr")]
+    assert differences(spark, tmp_path, "fusion_lookup", [*docs, ("alone", "en", "src1")]) is None
