@@ -82,6 +82,10 @@ def text_file_round_trip(spark, sf):
     return lines.groupBy(F.md5("value").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+PER_BOOK = 256
+"""Documents that share a book file."""
+
+
 @query(
     "book_file_scan",
     r"""SELECT md5(line) AS page_md5, length(line)::BIGINT AS n_chars, count(*) AS n FROM
@@ -90,7 +94,7 @@ def text_file_round_trip(spark, sf):
 def book_file_scan(spark, sf):
     """A directory of book files, decoded to pages in the tasks; here a page is a line of a text file."""
     path = scratch_path(spark, "books")
-    files.write_text(spread(table(spark, sf, "documents").select("text")), "text", path)
+    files.write_text(spread(table(spark, sf, "documents").select("text")), "text", path, PER_BOOK)
     decoded = files.decode_pages(files.book_files(spark, path, "*.txt"), lambda data: data.decode().split("\n")[:-1])
     pages = files.page_rows(decoded)
     return pages.groupBy(F.md5("text").alias("page_md5"), F.length("text").cast("long").alias("n_chars")).agg(F.count(F.lit(1)).alias("n"))

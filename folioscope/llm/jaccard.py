@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.components import components
 from folioscope.llm.langid import slices
 from folioscope.llm.line_dedup import has, places, repeat_filter
-from folioscope.llm.tokens import bound_batches, per_process, small_parts
-from folioscope.plans.scale import materialise
+from folioscope.llm.tokens import per_process, small_parts
+from folioscope.plans.scale import bound_batches, materialise
 
 LANES = 16
 """64-bit words of the parity sketch."""

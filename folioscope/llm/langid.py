@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import bound_batches, free_name, per_process, small_parts
-from folioscope.plans.scale import materialise
+from folioscope.llm.tokens import free_name, per_process, small_parts
+from folioscope.plans.scale import bound_batches, materialise
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNKNOWN = "und"

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import bound_batches, per_process
-from folioscope.plans.scale import materialise
+from folioscope.llm.tokens import per_process
+from folioscope.plans.scale import bound_batches, materialise
 
 PROBES = 3
 SEGMENT = 1 << 16

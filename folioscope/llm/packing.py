@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.tokens import WORD_BPE, bound_batches, word_encoder
-from folioscope.plans.scale import materialise
+from folioscope.llm.tokens import WORD_BPE, word_encoder
+from folioscope.plans.scale import bound_batches, materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, piece_key long"
 BUCKET = 32_768

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.functions.text import clean_board_text
 from folioscope.operators.chapters import starts_by_file
+from folioscope.plans.scale import bound_batches
 
 PageDecoder = Callable[[bytes], list[str]]
 GridDecoder = Callable[[bytes], list[list[list[list[str | None]]]]]
@@ -49,7 +50,8 @@ def book_files(spark: SparkSession, directory: str, pattern: str = "*.pdf") -> D
 
 
 def decode_pages(files: DataFrame, decode: PageDecoder = pdf_page_texts) -> DataFrame:
-    """``filename, page_texts``: one row per file, decoded once for all later uses."""
+    """``filename, page_texts``: one row per file, decoded once for all later uses; a task holds a few megabytes of files, or one file."""
+    bound_batches(files.sparkSession)
 
     @F.pandas_udf("array<string>")
     def pages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -61,6 +63,7 @@ def decode_pages(files: DataFrame, decode: PageDecoder = pdf_page_texts) -> Data
 
 def decode_grids(files: DataFrame, decode: GridDecoder = pdf_page_grids) -> DataFrame:
     """``filename, page_index, table_ix, rows``: one row per table."""
+    bound_batches(files.sparkSession)
 
     @F.pandas_udf("array<array<array<array<string>>>>")
     def grids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -137,8 +140,9 @@ def read_text(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> Da
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), *folders)
 
 
-def write_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(column).write.text(path)
+def write_text(df: DataFrame, column: str, path: str, rows_per_file: int = 0) -> None:
+    """One line per row; with ``rows_per_file`` a file ends there, so that readers of whole files need bounded memory."""
+    df.select(column).write.option("maxRecordsPerFile", rows_per_file).text(path)
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
