@@ -1,8 +1,8 @@
 """Lexical ranking: a term index over passages and BM25 top-k for sets of queries.
 
-The index holds the passages twice: one row per passage with its length and its
-term counts, computed inside the row without a shuffle, and the same counts as
-postings in term order. A stored index has its passages bucketed by blocks of similar length, and the greatest count and
+The index holds one row per passage with its length and its term counts, computed
+inside the row without a shuffle; its postings are those rows taken apart, and are not
+stored again. A stored index has its passages bucketed by blocks of similar length, and the greatest count and
 least length of every term in every block. A search meets the passages where they lie with a bounded number of query weights at a
 time, so neither passages nor pairs are shuffled before the top-k, and it leaves out the blocks whose bound stays below a
 query's k-th score. Corpus statistics are kept per subject, because a query restricted to a subject is
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fixed
 from folioscope.functions.text import tokens
-from folioscope.plans.scale import bucketed_table, insert_bucketed, materialise, running_sum, scratch_path, sized_join, spread, top_k
+from folioscope.plans.scale import bucketed_table, buckets_for, insert_bucketed, materialise, running_sum, scratch_path, sized_join, spread, top_k
 
 ANY = "*"
 SCORE_DIGITS = 9
 WEIGHTS = 100_000
 """Query weights (a query's distinct terms) that are broadcast together, on average."""
+BUCKET_BYTES = 16 << 20
+"""Stored bytes of passages for which a stored index has a bucket; the bounds of one are gathered in one task, in 30 times that."""
 PASSAGES_PER_BLOCK = 128
 """About how many passages share one bound per term."""
 LENGTH_CLASSES = 8
@@ -50,23 +52,20 @@ class LexicalIndex:
     def save(self, path: str, buckets: int | None = None) -> LexicalIndex:
         """Write the index; each part is computed from the parts already written.
 
-        ``buckets`` is the number of tasks that a search is dealt to, as many as cores by default; a large index needs
-        so many that the passages of one fit a task.
+        ``buckets`` is the number of tasks that a search is dealt to; by default one per ``BUCKET_BYTES`` of the
+        stored passages, and as many as cores at least, so that the terms of one bucket fit the memory of a task.
         """
         spark = self.passages.sparkSession
-        buckets = buckets or spark.sparkContext.defaultParallelism
+        buckets = buckets or buckets_for(self.passages, BUCKET_BYTES, spark.sparkContext.defaultParallelism)
         blocked = _with_blocks(self.passages)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocked.schema)
         table = bucketed_table(spark, f"{path}/passages", schema, "block", buckets)
         insert_bucketed(blocked, table, "block", buckets)
         spark.createDataFrame([(schema, buckets)], "schema string, buckets int").coalesce(1).write.parquet(f"{path}/layout")
         passages = spark.table(table)
-        # a hot term is split too, because the range goes on by passage
-        ordered = postings(passages).repartitionByRange("term", "subject", "doc").sortWithinPartitions("term", "subject")
-        ordered.write.parquet(f"{path}/postings")
         listed = postings(passages, "block").groupBy("block", "subject", "term")
         listed.agg(F.max("tf").alias("tf"), F.min("dl").alias("dl")).write.parquet(f"{path}/bounds")
-        _term_statistics(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
+        _term_statistics(postings(passages)).write.parquet(f"{path}/terms")
         corpora = _corpus_statistics(passages, spark.read.parquet(f"{path}/terms"))
         corpora.write.parquet(f"{path}/corpora")
         return LexicalIndex.load(spark, path)
@@ -75,7 +74,7 @@ class LexicalIndex:
     def load(spark: SparkSession, path: str) -> LexicalIndex:
         layout = spark.read.parquet(f"{path}/layout").first()
         passages = spark.table(bucketed_table(spark, f"{path}/passages", layout.schema, "block", layout.buckets))
-        return LexicalIndex(passages, *(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpora", "bounds")))
+        return LexicalIndex(passages, postings(passages), *(spark.read.parquet(f"{path}/{part}") for part in ("terms", "corpora", "bounds")))
 
 
 def _with_blocks(passages: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from folioscope.operators import lexical
+from folioscope.plans import scale
 from folioscope.sources import files
 
 
@@ -11,3 +13,20 @@ def test_text_files_end_after_their_rows(spark, tmp_path):
     decoded = files.decode_pages(files.book_files(spark, str(tmp_path / "books"), "*.txt"), lambda data: data.decode().split("\n")[:-1])
     assert sorted(r.n for r in decoded.select(F.size("page_texts").alias("n")).collect()) == [4] + 12 * [8]
     assert sorted(r.text for r in files.page_rows(decoded).collect()) == sorted(r.text for r in rows.collect())
+
+
+def test_an_index_has_buckets_by_its_size(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).select("id", F.concat(F.lit("alpha word"), (F.col("id") % 7).cast("string")).alias("text"), F.lit("a").alias("subject"))
+    rows.write.parquet(str(tmp_path / "texts"))
+    built = lexical.build_index(spark.read.parquet(str(tmp_path / "texts")), "id", "id", "text", "subject")
+    monkeypatch.setattr(lexical, "BUCKET_BYTES", 100)
+    stored = built.save(str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index/layout")).first().buckets > 2 * spark.sparkContext.defaultParallelism
+    for part in ("terms", "corpora", "postings"):
+        have, want = getattr(stored, part), getattr(built, part)
+        assert sorted(map(str, have.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_that_are_not_stored_take_the_least_buckets(spark):
+    assert scale.buckets_for(spark.createDataFrame([(1,)], "a long"), 1, 3) >= 3
+    assert scale.buckets_for(spark.sparkContext.parallelize([(1,)]).toDF("a long"), 1, 3) == 3
