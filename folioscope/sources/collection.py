@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import schemas
-from folioscope.operators.chunking import first_of_each_id
 from folioscope.operators.vectors import HashingEncoder, embed
-from folioscope.plans.scale import bucketed_table, insert_bucketed, materialise, sized_join
+from folioscope.plans.scale import bucketed_table, buckets_for, insert_bucketed, insert_dealt, materialise, sized_join
 
 METADATA = ["subject", "grade", "chapter"]
 COLUMNS = [f.strip().split(" ")[0] for f in schemas.VECTORS.split(", ")]
 CHANGES = "chunk_id STRING, gone BOOLEAN, subject STRING, grade STRING, chapter STRING, change BIGINT"
 BUCKETS = 16
-"""Default number of buckets of a new collection; about one per few gigabytes is wanted."""
+"""Least number of buckets of a new collection that is given none."""
+BUCKET_BYTES = 64 << 20
+"""Stored bytes of a first insert for which a bucket is made; one bucket is written, and later merged, by one task."""
 
 
 def _buckets(generation: str) -> int:
@@ -30,8 +31,11 @@ def _buckets(generation: str) -> int:
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        """``buckets`` counts for a new collection and for the next ``compact``; a stored one keeps its own until then."""
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """``buckets`` counts for a new collection and for the next ``compact``; a stored one keeps its own until then.
+
+        Without it a new collection has a bucket per ``BUCKET_BYTES`` of its first insert.
+        """
         self.spark = spark
         self.path = path.rstrip("/")
         self.buckets = buckets
@@ -77,14 +81,11 @@ class Collection:
             return self.spark.createDataFrame([], schemas.VECTORS)
         return self._rows(generation, self._folders(self._changes_path(generation), "c"))
 
-    def _append(self, df: DataFrame) -> None:
-        generation = self._generation() or f"rows-{1:06d}-{self.buckets}"
+    def _append(self, df: DataFrame, generation: str) -> None:
+        """Add rows that are dealt to the buckets of ``generation`` already."""
         changes = self._folders(self._changes_path(generation), "c")
         out = df.select(*COLUMNS, F.lit(int(changes[-1][1:]) if changes else 0).cast("long").alias("inserted"))
-        self._write(out, generation)
-
-    def _write(self, rows: DataFrame, generation: str) -> None:
-        insert_bucketed(rows, self._table(generation), "chunk_id", _buckets(generation))
+        insert_dealt(out, self._table(generation))
 
     def _change(self, rows: DataFrame) -> None:
         generation = self._generation()
@@ -99,28 +100,41 @@ class Collection:
         generation = self._generation()
         if not generation:
             return
-        rows = self.read().withColumn("inserted", F.lit(0).cast("long"))
-        self._write(rows, f"rows-{int(generation.split('-')[1]) + 1:06d}-{self.buckets}")
+        rows, buckets = self.read().withColumn("inserted", F.lit(0).cast("long")), self.buckets or _buckets(generation)
+        insert_bucketed(rows, self._table(f"rows-{int(generation.split('-')[1]) + 1:06d}-{buckets}"), "chunk_id", buckets)
 
-    def missing(self, rows: DataFrame) -> DataFrame:
-        """Rows whose id is not stored yet, one per id.
+    def _stage(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """The rows, stored once and numbered, and the generation they go to."""
+        staged = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "incoming")  # chunked and hashed once
+        return staged, self._generation() or f"rows-{1:06d}-{self.buckets or buckets_for(staged, BUCKET_BYTES, BUCKETS)}"
 
-        The stored ids that also come in are picked out first, so that a small
-        insert never shuffles a large collection.
+    def _missing(self, staged: DataFrame, generation: str) -> DataFrame:
+        """The staged rows whose id is not stored yet, one per id, dealt to the buckets of ``generation``.
+
+        The first row of every id is found from the ids and the order alone. The stored ids that also come in are
+        picked out first, so that a small insert never shuffles a large collection. Whole rows are then moved once.
         """
-        unique = first_of_each_id(rows, [c for c in ("book_id", "chunk_ix") if c in rows.columns] or ["text"])
-        unique = materialise(unique, "incoming")  # chunked and hashed once
-        known = sized_join(self.read().select("chunk_id"), unique.select("chunk_id"), ["chunk_id"], "left_semi")
-        return unique.join(known, "chunk_id", "left_anti")
+        order = [c for c in ("book_id", "chunk_ix") if c in staged.columns] or ["text"]
+        firsts = staged.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min(F.struct(*order, "_row")).alias("_first"))
+        firsts = materialise(firsts.select("chunk_id", F.col("_first._row").alias("_first")), "first-rows")
+        known = self.read().select("chunk_id").join(firsts.select("chunk_id"), "chunk_id", "left_semi")
+        dealt = lambda df: df.repartition(_buckets(generation), "chunk_id")
+        met = dealt(staged).join(dealt(firsts.join(known, "chunk_id", "left_anti")), "chunk_id")
+        return met.where(F.col("_row") == F.col("_first")).drop("_row", "_first")
+
+    def missing(self, rows: DataFrame) -> DataFrame:
+        """Rows whose id is not stored yet, one per id."""
+        return self._missing(*self._stage(rows))
 
     def add(self, rows: DataFrame) -> None:
         """Insert embedded rows; ids already present are left alone, so a repeated insert changes nothing."""
-        self._append(self.missing(rows))
+        staged, generation = self._stage(rows)
+        self._append(self._missing(staged, generation), generation)
 
     def add_texts(self, chunks: DataFrame, make_model: Callable = HashingEncoder, subject: str | None = None) -> None:
         """Embed and insert the chunks that are new, of one subject when it is given."""
-        wanted = chunks if subject is None else chunks.where(F.col("subject") == subject)
-        self._append(embed(self.missing(wanted), "text", make_model))
+        staged, generation = self._stage(chunks if subject is None else chunks.where(F.col("subject") == subject))
+        self._append(embed(self._missing(staged, generation), "text", make_model), generation)
 
     def update_metadata(self, updates: DataFrame) -> None:
         """Replace metadata of the given ids (``chunk_id`` and metadata columns); text and vectors are not touched.

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import lexical
 from folioscope.plans import scale
-from folioscope.sources import files
+from folioscope.sources import collection, files
 
 
 def test_text_files_end_after_their_rows(spark, tmp_path):
@@ -27,6 +27,26 @@ def test_an_index_has_buckets_by_its_size(spark, tmp_path, monkeypatch):
         assert sorted(map(str, have.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_collection_has_buckets_by_its_first_insert(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(collection, "BUCKET_BYTES", 500)
+    ddl = "chunk_id string, embedding array<float>, text string, subject string, grade string, chapter string, book_id string, chunk_ix long"
+    rows = [(f"c{i % 90}", [float(i)], f"t{i}", "s", "g", None, "all", i) for i in range(99, -1, -1)]
+    store = collection.Collection(spark, str(tmp_path / "c"))
+    store.add(spark.createDataFrame(rows, ddl))
+    assert int(store._generation().rsplit("-", 1)[1]) > collection.BUCKETS
+    store.add(spark.createDataFrame([*rows, ("new", [0.0], "new", "s", "g", None, "all", 1)] * 2, ddl))
+    assert sorted((r.chunk_id, r.text) for r in store.read().collect()) == sorted([(f"c{i}", f"t{i}") for i in range(90)] + [("new", "new")])
+
+
+def test_an_insert_moves_whole_rows_once(spark, tmp_path):
+    rows = spark.range(50).select(F.col("id").cast("string").alias("chunk_id"), F.lit("t").alias("text"), F.col("id").alias("chunk_ix"))
+    store = collection.Collection(spark, str(tmp_path / "c"), buckets=4)
+    moved = store.missing(rows)
+    assert moved.count() == 50
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Window" not in plan
+
+
 def test_rows_that_are_not_stored_take_the_least_buckets(spark):
     assert scale.buckets_for(spark.createDataFrame([(1,)], "a long"), 1, 3) >= 3
     assert scale.buckets_for(spark.sparkContext.parallelize([(1,)]).toDF("a long"), 1, 3) == 3
