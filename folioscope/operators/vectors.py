@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import fixed
-from folioscope.plans.scale import materialise, scratch_path, top_k
+from folioscope.plans.scale import bound_batches, materialise, scratch_path, top_k
 
 QUERY_BLOCK = 4096
 _CELLS = 2_000_000
@@ -181,7 +181,8 @@ def knn_in_cells(cells: DataFrame, pivots: DataFrame, queries: DataFrame, k: int
 class HashingEncoder:
     """Deterministic stand-in for an embedding model: hashed token counts at unit length."""
 
-    CACHE = 1 << 20
+    CACHE = 1 << 16
+    """Tokens whose place is remembered; one task at a time uses them, and a few thousand tokens make up most of a text."""
 
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
@@ -210,10 +211,11 @@ class HashingEncoder:
 
 
 def embed(df: DataFrame, text: str, make_model=HashingEncoder, name: str = "embedding") -> DataFrame:
-    """Add the embedding of ``text``; the model is made once per task and fed whole batches.
+    """Add the embedding of ``text``; the model is made once per task and fed whole batches of a few megabytes.
 
     ``make_model`` returns an object with ``encode(list[str])``.
     """
+    bound_batches(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

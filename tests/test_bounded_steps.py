@@ -1,8 +1,9 @@
 """Steps whose memory must not grow with the input: batches, files and buckets."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from folioscope.operators import lexical
+from folioscope.operators import lexical, vectors
 from folioscope.plans import scale
 from folioscope.sources import collection, files
 
@@ -15,6 +16,16 @@ def test_text_files_end_after_their_rows(spark, tmp_path):
     assert sorted(r.text for r in files.page_rows(decoded).collect()) == sorted(r.text for r in rows.collect())
 
 
+def test_the_encoder_is_fed_a_few_megabytes(spark):
+    class BatchLength:
+        def encode(self, texts):
+            return np.full((len(texts), 1), len(texts))
+
+    rows = spark.range(64).select(F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1)
+    largest = vectors.embed(rows, "text", BatchLength).agg(F.max(F.col("embedding")[0])).first()[0]
+    assert 1 <= largest <= 5
+
+
 def test_an_index_has_buckets_by_its_size(spark, tmp_path, monkeypatch):
     rows = spark.range(400).select("id", F.concat(F.lit("alpha word"), (F.col("id") % 7).cast("string")).alias("text"), F.lit("a").alias("subject"))
     rows.write.parquet(str(tmp_path / "texts"))
