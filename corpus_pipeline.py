@@ -63,9 +63,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in the sequences."""
-    pieces = pieces_of(docs, end_id=1, capacity=4096)
-    digest = pieces.select("piece_key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return digest.join(place(pieces, capacity=4096), "piece_key").drop("piece_key")
+    pieces = pieces_of(docs, end_id=1, capacity=4096, of_ids=[F.crc32("ids").alias("ids_crc32")])
+    return pieces.join(place(pieces, capacity=4096), "piece_key").drop("piece_key")
 
 
 STAGES = [

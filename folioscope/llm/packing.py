@@ -7,13 +7,13 @@ about one sequence unfilled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.tokens import WORD_BPE, word_encoder
@@ -72,16 +72,24 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
 
 
 def pieces_of(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE, end_id: int = 1, capacity: int = 4096
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str = WORD_BPE,
+    end_id: int = 1,
+    capacity: int = 4096,
+    of_ids: Sequence[Column | str] = ("ids",),
 ) -> DataFrame:
     """Ids of every text, ``end_id`` after them, cut only where they exceed ``capacity``; stored.
 
     ``ids`` are little-endian unsigned 32-bit. A null or empty text is one piece of one id. ``piece_key``
-    is unique to the piece, also where rows share an id or have none.
+    is unique to the piece, also where rows share an id or have none. ``of_ids`` names what is stored of the
+    ids, which alone take more disk than everything else here.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(_cut(tokenizer, end_id, capacity), PIECES), "pieces")
+    pieces = rows.mapInArrow(_cut(tokenizer, end_id, capacity), PIECES)
+    return materialise(pieces.select("doc_id", "piece", "start", "length", *of_ids, "piece_key"), "pieces")
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from test_text_operators import plain_dedup
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from folioscope.llm import packing
 from folioscope.llm.mixing import mix
 from folioscope.llm.queries import ORACLES, QUERIES
 from folioscope.llm.tokens import WORD_BPE
@@ -57,6 +58,14 @@ def hold_packing(found, rows):
     assert len(inside) <= -(-sum(r.length for r in found) // 4096) + 1
 
 
+@pytest.mark.parametrize("pack", [QUERIES["op6_best_two_fit"], lambda spark, d: corpus_pipeline.packing(spark, spark.read.parquet(f"{d}/documents.parquet"), d)])
+def test_packing_stores_digests_not_ids(spark, sf_dir, pack, monkeypatch):
+    stored = []
+    monkeypatch.setattr(packing, "materialise", lambda df, name: stored.append(materialise(df, name)) or stored[-1])
+    assert pack(spark, sf_dir).count() >= stored[0].count() > 0
+    assert all("ids" not in df.columns for df in stored)
+
+
 def test_packing_query(spark, sf_dir, documents):
     hold_packing(QUERIES["op6_best_two_fit"](spark, sf_dir).collect(), [(r.doc_id, r.text) for r in documents])
 
