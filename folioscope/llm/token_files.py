@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.tokens import WORD_BPE, word_encoder
-from folioscope.plans.scale import materialise
+from folioscope.plans.scale import bound_batches, materialise
 
 ROWS = 512
 INDEX = "shard int, name string, width int, n_docs long, n_null long, n_tokens long"
@@ -49,12 +49,12 @@ def _write(folder: str, tokenizer: str, end_id: int):
             if not batch.num_rows:
                 continue
             out = out or fs.open_output_stream(f"{root}/{name}.tokens")
-            for doc, text in zip(batch.column("doc"), batch.column("text")):
-                ids = np.frombuffer(encoder.encode(text.as_py()) + end, "<u4")
+            for ids in encoder.encode_all(batch.column("text"), end):
+                ids = np.frombuffer(ids.as_buffer(), "<u4")
                 out.write(ids.astype(f"<u{width}").tobytes())
-                nulls += not doc.is_valid
-                docs.append(doc.as_py() or 0)
                 lengths.append(len(ids))
+            nulls += batch.column("doc").null_count
+            docs.extend(batch.column("doc").fill_null(0).to_pylist())
         if out:
             out.close()
             for kind, values, dtype in (("docs", docs, "<i8"), ("lengths", lengths, "<u4")):
@@ -97,6 +97,7 @@ def write_token_files(
     A null or empty text gives the end id alone. Rows without an id come first. Rows that share
     an id stand together, ordered by text. An empty table gives an index without rows.
     """
+    bound_batches(docs.sparkSession)
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))

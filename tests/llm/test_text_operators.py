@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -70,6 +71,21 @@ def test_encoder_equals_the_library(spark, sf_dir):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_asks_once_per_batch_and_word():
+    encoder, asked = WordEncoder(WORD_BPE, max_entries=50), []
+    word, whole = encoder._word, encoder._whole
+    encoder._word = lambda x: asked.append(x) or word(x)
+    encoder._whole = lambda x: asked.append(x) or whole(x)
+    words = [f"{a}{b}" for a in ("was", "Über", "señ", "qu") for b in ("the", "la", "Ich", "xy", "où", "EN")]
+    words += [w + tail for w in words for tail in (",", "###", "&&&", "$$$", "***", "%%%")] + ["it's", "555-1012", "<|endoftext|>a", "a<|endoftext|>", "ab\u0338="]
+    texts = [" ".join(words[k:] + words[:k]) for k in range(len(words))] + [None, "", " \n"]
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 7], "<u4").tobytes() for t in texts]
+    assert encoder.encode_all(pa.array(texts, pa.string()), np.array([7], "<u4").tobytes()).to_pylist() == want
+    assert len(asked) == len(set(asked)) == 24 + 7 + 5  # words in lower case, tails (no tail is one), odd chunks
+    assert encoder.encode_all(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_token_files(spark):
     docs = odd_documents(spark)
     tokenizer = Tokenizer.from_file(WORD_BPE)
