@@ -48,13 +48,10 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
         end = np.array([end_id], "<u4").tobytes()
         key = TaskContext.get().partitionId() << 40
         step = 4 * capacity
-        last, ids = None, end
         for batch in batches:
             doc, piece, cut, held = [], [], [], 0
-            for row, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                if text != last:  # copies that follow each other are encoded once
-                    last, ids = text, encoder.encode(text) + end
+            for row, ids in enumerate(encoder.encode_all(batch.column("text"), end)):
+                ids = ids.as_py()
                 for i, at in enumerate(range(0, len(ids), step)):
                     doc.append(row)
                     piece.append(i)
