@@ -1,29 +1,52 @@
 """Near-duplicate vectors through navigable small-world graphs, one per shard.
 
-Vectors are dealt into shards of a bounded size and every shard builds its hierarchical graph.
-Every vector then searches every shard; queries come in groups of a bounded size, each of which
-meets a graph in one task. A query whose beam ends above the wanted cosine has its beam widened
-until it does not, so that a large cluster is found whole. An audit set is also compared with
-all rows of each shard; while its recall is too low, all beams start wider. Found pairs are
-verified in double precision, and each task reduces its pairs to link counts and a forest.
+Vectors are dealt into shards of a bounded size and every shard builds its hierarchical graph,
+which lies with its vectors in a file of the shared folder. Every vector then searches every
+shard: a task holds one graph at a time and reads the queries from the shards' files, a slice of a
+bounded size after another. A query whose beam ends above the wanted cosine has its beam widened, or
+is compared with the whole shard once that costs less, so that a large cluster is found whole. An audit
+set is also compared with all rows of each shard; while its recall is too low, all beams start
+wider. Found pairs are verified in double precision, and each slice's pairs are reduced to link
+counts and a forest, block by block.
 """
 
 from __future__ import annotations
 
-import io
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.plans.scale import materialise
+from folioscope.llm.token_files import file_system
+from folioscope.plans.scale import bound_batches, materialise, scratch_path
 
 DEGREE = 12
 BUILD_BEAM = 48
 TOGETHER = 4
-"""Places of a beam that are expanded in one step."""
+"""Places of a beam that are expanded in one step; of a wide beam an eighth."""
+SEEN = 32 << 20
+"""Bytes of marks, one for each query and point, and of gathered vectors that a search holds at once."""
+SCAN = 1000
+"""Points that are compared in the time that a place of a beam takes."""
+CELLS = 1 << 22
+"""Cosines of a block of queries with a whole shard."""
+ROWS = 8192
+"""Vectors that are normalised together."""
+SLACK = 1e-4
+"""Graphs are walked in single precision."""
+SURE = 1e-3
+"""What is above the wanted cosine by this in single precision needs no other comparison."""
+EDGES = 1 << 18
+SHARD_BYTES = 64 << 20
+"""Of the single-precision vectors of a shard."""
+TURNS = 4
+"""Slices of queries that a task takes through a graph."""
+INDEX = "name string, size int, width int, n long, layers array<int>"
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -44,13 +67,17 @@ def _fresh(ids: np.ndarray) -> np.ndarray:
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Best ``beam`` points of one layer for each query, best first: ids (-1: none) and similarities.
 
-    All queries walk in step; ``entry`` has a row of start points per query.
+    All queries walk in step, as many at once as ``SEEN`` allows; ``entry`` has a row of start points per query.
     """
-    n = len(queries)
-    seen = np.zeros((n, len(links)), bool)
-    rows = np.arange(n)[:, None]
+    n, n_points = len(queries), len(links)
+    together = min(max(TOGETHER, beam // 8), 254)
+    most = max(1, SEEN // max(n_points, 8 * together * links.shape[1] * points.shape[1]))
+    if n > most:
+        parts = [beam_search(points, links, queries[i : i + most], entry[i : i + most], beam) for i in range(0, n, most)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([sims for _, sims in parts])
+    seen = np.zeros(n * n_points, np.uint8)
     new = _fresh(entry)
-    seen[np.nonzero(new)[0], entry[new]] = True
+    seen[np.nonzero(new)[0] * n_points + entry[new]] = 1
     ids = np.where(new, entry, -1)
     sims = np.where(new, np.einsum("qed,qd->qe", points[entry], queries), -np.inf)
     done = ~new
@@ -58,24 +85,36 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
         fill = beam - ids.shape[1]
         ids, sims, done = np.pad(ids, ((0, 0), (0, fill)), constant_values=-1), np.pad(sims, ((0, 0), (0, fill)), constant_values=-np.inf), np.pad(done, ((0, 0), (0, fill)), constant_values=True)
     order = np.argsort(-sims, axis=1)[:, :beam]
+    rows = np.arange(n)[:, None]
     ids, sims, done = ids[rows, order], sims[rows, order], done[rows, order]
     walking = np.flatnonzero((~done).any(axis=1))
     while len(walking):
-        w = walking[:, None]
-        pick = np.argsort(done[walking], axis=1, kind="stable")[:, :TOGETHER]  # best first, as beams are sorted
-        open_ = ~done[w, pick]
-        nodes = np.where(open_, ids[w, pick], -1)
-        done[w, pick] = True
-        near = np.where((nodes >= 0)[:, :, None], links[nodes], -1).reshape(len(walking), -1)
-        new = _fresh(near) & ~seen[w, near]
-        seen[walking[np.nonzero(new)[0]], near[new]] = True
-        sim = np.where(new, np.einsum("qed,qd->qe", points[near], queries[walking]), -np.inf)
-        all_ids = np.concatenate([ids[walking], near], axis=1)
-        all_sims = np.concatenate([sims[walking], sim], axis=1)
-        all_done = np.concatenate([done[walking], ~new], axis=1)
-        order = np.argsort(-all_sims, axis=1)[:, :beam]
-        here = np.arange(len(walking))[:, None]
-        ids[walking], sims[walking], done[walking] = all_ids[here, order], all_sims[here, order], all_done[here, order]
+        place = np.cumsum(~done[walking], axis=1)
+        row, at = np.nonzero(~done[walking] & (place <= together))  # best first, as beams are sorted
+        tag = (place[row, at] + 1).astype(np.uint8)
+        row = walking[row]
+        done[row, at] = True
+        near = links.take(ids[row, at], axis=0)
+        cell = (row * n_points)[:, None] + near
+        new = np.flatnonzero((near >= 0) & (seen.take(cell, mode="clip") == 0))
+        cell, near, which = cell.take(new), near.take(new), new // links.shape[1]
+        tag = tag.take(which)
+        seen[cell] = tag
+        first = np.flatnonzero(seen.take(cell) == tag)  # of the places of a row that lead to one point, the last to write
+        row, near = row.take(which.take(first)), near.take(first)
+        sim = np.einsum("kd,kd->k", points.take(near, axis=0), queries.take(row, axis=0))
+        good = sim > sims[row, -1]
+        row, near, sim = row[good], near[good], sim[good]
+        if len(row):
+            told, start, count = np.unique(row, return_index=True, return_counts=True)
+            coming, at = np.repeat(np.arange(len(told)), count), beam + np.arange(len(row)) - np.repeat(start, count)
+            shape = (len(told), beam + int(count.max()))
+            all_ids, all_sims, all_done = np.full(shape, -1, ids.dtype), np.full(shape, -np.inf, sims.dtype), np.ones(shape, bool)
+            all_ids[:, :beam], all_sims[:, :beam], all_done[:, :beam] = ids[told], sims[told], done[told]
+            all_ids[coming, at], all_sims[coming, at], all_done[coming, at] = near, sim, False
+            order = np.argsort(-all_sims, axis=1)[:, :beam]
+            here = np.arange(len(told))[:, None]
+            ids[told], sims[told], done[told] = all_ids[here, order], all_sims[here, order], all_done[here, order]
         walking = walking[(~done[walking]).any(axis=1)]
     return np.where(np.isfinite(sims), ids, -1), sims
 
@@ -83,7 +122,8 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
 def diverse(points: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
     """Up to ``keep`` neighbours per row: those nearer to the row's point than to a chosen one, then the nearest others."""
     n, width = ids.shape
-    among = np.einsum("nad,nbd->nab", points[ids], points[ids])
+    near = points[ids]
+    among = near @ near.transpose(0, 2, 1)
     chosen = np.zeros((n, width), bool)
     closest = np.full((n, width), -np.inf)
     for k in range(width):
@@ -154,7 +194,8 @@ class Graph:
         full = (ids >= 0).sum(axis=1) > cap
         roomy = np.take_along_axis(ids[~full], np.argsort(ids[~full] < 0, axis=1, kind="stable")[:, :cap], axis=1)
         links[nodes[~full]] = roomy
-        for part in np.array_split(np.flatnonzero(full), max(1, int(full.sum()) // 256)):
+        at_once = min(256, max(1, (8 << 20) // (ids.shape[1] * self.points.shape[1])))
+        for part in np.array_split(np.flatnonzero(full), max(1, int(full.sum()) // at_once)):
             here = ids[part]
             sims = np.where(here >= 0, np.einsum("nkd,nd->nk", self.points[here], self.points[nodes[part]]), -np.inf)
             best = np.argsort(-sims, axis=1)[:, : 2 * cap]
@@ -163,39 +204,97 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         return beam_search(self.points, self.layers[0], queries, self._start(queries, 0), beam)
 
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, points=self.points, order=self.order, **{f"layer{k}": x for k, x in enumerate(self.layers)})
-        return out.getvalue()
+
+def _array(fs: FileSystem, path: str, dtype: str, at: int, count: int) -> np.ndarray:
+    """``count`` values of a file from byte ``at``; mapped where the file system is a mounted one."""
+    with pa.memory_map(path) if isinstance(fs, LocalFileSystem) else fs.open_input_file(path) as file:
+        file.seek(at)
+        return np.frombuffer(file.read_buffer(count * np.dtype(dtype).itemsize), dtype)
+
+
+class Shard:
+    """The file of a shard: ids, copies, vectors as they came, links of each layer and marks of the audit, in the graph's order.
+
+    ``row`` is the shard's row of the index.
+    """
+
+    def __init__(self, fs: FileSystem, root: str, row: dict):
+        self.fs, self.path, self.row = fs, f"{root}/{row['name']}", row
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
-        graph = cls.__new__(cls)
-        with np.load(io.BytesIO(data)) as kept:
-            graph.points, graph.order = kept["points"], kept["order"]
-            graph.layers = [kept[f"layer{k}"] for k in range(len(kept.files) - 2)]
-        graph.sizes = [len(x) for x in graph.layers]
+    def write(cls, fs: FileSystem, root: str, vectors: np.ndarray, ids: np.ndarray, copies: np.ndarray, audit: np.ndarray) -> dict:
+        points = np.concatenate([_unit(vectors[i : i + ROWS].astype(float)).astype(np.float32) for i in range(0, len(vectors), ROWS)])
+        graph = Graph(points)
+        row = {"name": uuid.uuid4().hex, "size": vectors.shape[1], "width": vectors.itemsize, "n": len(vectors), "layers": graph.sizes}
+        with fs.open_output_stream(f"{root}/{row['name']}") as file:
+            file.write(ids[graph.order].astype("<i8").tobytes())
+            file.write(copies[graph.order].astype("<i8").tobytes())
+            for i in range(0, len(vectors), ROWS):
+                file.write(vectors[graph.order[i : i + ROWS]].astype(f"<f{vectors.itemsize}").tobytes())
+            for links in graph.layers:
+                file.write(links.astype("<i4").tobytes())
+            file.write(audit[graph.order].astype("u1").tobytes())
+        return row
+
+    def ids(self, first: int, last: int) -> np.ndarray:
+        return _array(self.fs, self.path, "<i8", 8 * first, last - first)
+
+    def copies(self) -> np.ndarray:
+        return _array(self.fs, self.path, "<i8", 8 * self.row["n"], self.row["n"])
+
+    def vectors(self, first: int, last: int) -> np.ndarray:
+        """As they came, a row each."""
+        size, width = self.row["size"], self.row["width"]
+        return _array(self.fs, self.path, f"<f{width}", 16 * self.row["n"] + first * size * width, (last - first) * size).reshape(-1, size)
+
+    def audit(self, first: int, last: int) -> np.ndarray:
+        n, size, width, layers = (self.row[x] for x in ("n", "size", "width", "layers"))
+        return _array(self.fs, self.path, "u1", n * (16 + size * width) + 4 * sum(map(_links, range(len(layers)), layers)) + first, last - first) > 0
+
+    def graph(self) -> Graph:
+        graph, n, size, width = Graph.__new__(Graph), self.row["n"], self.row["size"], self.row["width"]
+        graph.sizes, graph.layers, at = self.row["layers"], [], n * (16 + size * width)
+        for k, points in enumerate(graph.sizes):
+            graph.layers.append(_array(self.fs, self.path, "<i4", at, _links(k, points)).reshape(points, -1))
+            at += 4 * _links(k, points)
+        vectors, graph.points = self.vectors(0, n), np.empty((n, size), np.float32)
+        for i in range(0, n, ROWS):
+            graph.points[i : i + ROWS] = _unit(vectors[i : i + ROWS].astype(float))
         return graph
 
 
-def within(graph: Graph, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Query and point (in the order given to the graph) of every pair found with similarity ``least`` or more."""
-    slack = 1e-4  # the graph walks in single precision
-    found_q, found_p = [], []
+def _links(layer: int, points: int) -> int:
+    """Places for links in a layer."""
+    return points * DEGREE * (1 if layer else 2)
+
+
+def within(graph: Graph, queries: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs that may have similarity ``least`` or more, a block of queries at a time: query (ascending), point and similarity."""
     todo, n = np.arange(len(queries)), len(graph.points)
     while len(todo):
         wider = []
-        size = max(1, min(512, (64 << 20) // n, (8 << 20) // min(beam, n)))
+        size = max(1, min(512, (1 << 20) // min(beam, n)))
         for first in range(0, len(todo), size):
             part = todo[first : first + size]
             ids, sims = graph.search(queries[part], min(beam, n))
-            open_ = (sims[:, -1] >= least - slack) & (beam < n)
+            open_ = (sims[:, -1] >= least - SLACK) & (beam < n)
             wider.append(part[open_])
-            q, at = np.nonzero((sims >= least - slack) & ~open_[:, None])
-            found_q.append(part[q])
-            found_p.append(graph.order[ids[q, at]])
+            q, at = np.nonzero((sims >= least - SLACK) & ~open_[:, None])
+            yield part[q], ids[q, at], sims[q, at]
         todo, beam = np.concatenate(wider), 4 * beam
-    return np.concatenate(found_q or [np.zeros(0, np.int64)]), np.concatenate(found_p or [np.zeros(0, np.int64)])
+        if beam * SCAN > n:
+            break
+    yield from compared(graph, queries, todo, least)
+
+
+def compared(graph: Graph, queries: np.ndarray, which: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``within``, by comparing some of the queries with all points."""
+    size = max(1, CELLS // len(graph.points))
+    for first in range(0, len(which), size):
+        part = which[first : first + size]
+        sims = queries[part] @ graph.points.T
+        q, p = np.nonzero(sims >= least - SLACK)
+        yield part[q], p, sims[q, p]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,44 +313,103 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _matrix(column) -> np.ndarray:
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float)
-
-
-def _build(group):
-    group = group.sort_by("rep")
-    vectors = _unit(_matrix(group.column("vector")))
-    graph = Graph(vectors.astype(np.float32))
-    return pa.table({"shard": group.column("shard").slice(0, 1), "ids": pa.array([group.column("rep").to_numpy()], pa.list_(pa.int64())), "copies": pa.array([group.column("copies").to_numpy()], pa.list_(pa.int64())), "vectors": pa.array([vectors.tobytes()], pa.binary()), "graph": pa.array([graph.dump()], pa.binary())})
-
-
-def _seek(least: float, beam: int):
-    def run(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"kind": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("a", "b", "exact")}})
-        shard = right.to_pylist()[0]
-        ids, copies = np.array(shard["ids"]), np.array(shard["copies"])
-        exact = np.frombuffer(shard["vectors"]).reshape(len(ids), -1)
-        queries, names = _unit(_matrix(left.column("vector"))), left.column("rep").to_numpy()
-        q, p = within(Graph.load(shard["graph"]), queries.astype(np.float32), least, beam)
-        right_pairs = (np.einsum("ij,ij->i", queries[q], exact[p]) >= least) & (names[q] != ids[p])
-        q, p = q[right_pairs], p[right_pairs]
-        n_links = np.bincount(q, copies[p], len(names)).astype(np.int64)
-        true = np.full(len(names), -1, np.int64)
-        for i in np.flatnonzero(left.column("audit").to_numpy(zero_copy_only=False)):
-            true[i] = copies[(exact @ queries[i] >= least) & (ids != names[i])].sum()
-        a, b = forest(names[q], ids[p])
-        told = (n_links > 0) | (true >= 0)
-        n = int(told.sum())
-        return pa.table(
-            {
-                "kind": pa.array(np.repeat([0, 1], [n, len(a)]).astype(np.int32)),
-                "a": np.concatenate([names[told], a]),
-                "b": np.concatenate([n_links[told], b]),
-                "exact": np.concatenate([true[told], np.full(len(a), -1)]),
-            }
-        )
+def thinned(q: np.ndarray, p: np.ndarray, n_points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges between queries (ascending) and points that join the same nodes: one of each point, and edges between queries."""
+    turn = np.cumsum(np.diff(q, prepend=q[:1]) != 0)
+    rows = q[np.flatnonzero(np.diff(q, prepend=-1))]
+    first = np.full(n_points, -1)
+    first[p[::-1]] = turn[::-1]  # the last to write is the first query of a point
+    hit = np.flatnonzero(first >= 0)
+    met = np.zeros((len(rows), len(rows)), bool)
+    met[turn, first[p]] = True
+    np.fill_diagonal(met, False)
+    a, b = np.nonzero(met)
+    return rows[first[hit]], hit, rows[a], rows[b]
+
+
+def _build(folder: str, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            vectors = np.concatenate([x.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1) for x in held])
+            ids, copies, audit = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("rep", "copies", "audit"))
+            held.clear()
+            row = Shard.write(fs, root, vectors, ids, copies, audit)
+            return pa.RecordBatch.from_pylist([row], pa.schema([("name", pa.string()), ("size", pa.int32()), ("width", pa.int32()), ("n", pa.int64()), ("layers", pa.list_(pa.int32()))]))
+
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            cuts = [0, *np.flatnonzero(np.diff(sizes)) + 1, len(sizes)] if len(sizes) else []
+            for first, last in zip(cuts, cuts[1:]):
+                part = batch.slice(first, last - first)
+                if held and (held[0].column("size")[0].as_py() != sizes[first] or sum(x.num_rows for x in held) + part.num_rows > most):
+                    yield done()
+                held.append(part)
+        if held:
+            yield done()
+
+    return run
+
+
+def _linked(shard: Shard, graph: Graph, source: Shard, first: int, last: int, least: float, beam: int) -> pa.RecordBatch:
+    """Link counts of a slice of ``source`` in ``shard``, the true counts of its audited vectors (-1: not audited), and a forest."""
+    names, ids, copies, vectors = source.ids(first, last), shard.ids(0, shard.row["n"]), shard.copies(), shard.vectors(0, shard.row["n"])
+    exact = _unit(source.vectors(first, last).astype(float))
+    queries = exact.astype(np.float32)
+
+    def verified(blocks):
+        for q, p, sims in blocks:
+            good = names[q] != ids[p]
+            unsure = np.flatnonzero(good & (sims < least + SURE))
+            size = max(1, (1 << 20) // exact.shape[1])
+            for i in range(0, len(unsure), size):
+                at = unsure[i : i + size]
+                good[at] = np.einsum("ij,ij->i", exact[q[at]], _unit(vectors[p[at]].astype(float))) >= least
+            yield q[good], p[good]
+
+    def counts(q, p):
+        return np.bincount(q, copies[p], len(names)).astype(np.int64)
+
+    n_links, a, b = np.zeros(len(names), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    more: list[tuple[np.ndarray, np.ndarray]] = []
+    for q, p in verified(within(graph, queries, least, beam)):
+        n_links += counts(q, p)
+        if len(q):
+            of, to, left, right = thinned(q, p, len(ids))
+            more += [(names[of], ids[to]), (names[left], names[right])]
+        if sum(len(x) for x, _ in more) > EDGES:
+            a, b = forest(*map(np.concatenate, zip((a, b), *more)))
+            more = []
+    a, b = forest(*map(np.concatenate, zip((a, b), *more)))
+    audited = np.flatnonzero(source.audit(first, last))
+    true = np.full(len(names), -1, np.int64)
+    true[audited] = sum((counts(q, p) for q, p in verified(compared(graph, queries, audited, least))), np.zeros(len(names), np.int64))[audited]
+    told = (n_links > 0) | (true >= 0)
+    n = int(told.sum())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.repeat([0, 1], [n, len(a)]).astype(np.int32)),
+            pa.array(np.concatenate([names[told], a])),
+            pa.array(np.concatenate([n_links[told], b])),
+            pa.array(np.concatenate([true[told], np.full(len(a), -1)])),
+        ],
+        ["kind", "a", "b", "exact"],
+    )
+
+
+def _seek(folder: str, least: float, beam: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        shard, graph = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if shard is None or shard.row["name"] != row["target"]["name"]:
+                    graph = None
+                    shard = Shard(fs, root, row["target"])
+                    graph = shard.graph()
+                yield _linked(shard, graph, Shard(fs, root, row["source"]), row["first"], row["last"], least, beam)
 
     return run
 
@@ -277,39 +435,44 @@ def near_vectors(
     ``audit`` vectors are found, or the beams of all searches are widened.
     """
     spark = vectors.sparkSession
-    value = F.transform(vector_col, lambda x: x.cast("double"))
+    bound_batches(spark)
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # which is kept as it is, and the rest as doubles
+    value = F.col(vector_col) if single else F.transform(vector_col, lambda x: x.cast("double"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), value.alias("vector"))
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & (norm > 1e-300) & (norm < 1e300), F.lit(False))
     keyed = rows.select("vec_id", F.when(sound, F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256)).alias("key"), "vector")
+    keys = materialise(keyed.select("vec_id", F.unhex("key").alias("key"), F.size("vector").alias("size")), "vector-keys")
+    distinct = keys.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
+    distinct = materialise(distinct, "distinct-vectors")
+    total, components_in = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_shards = max(6, -(-total // shard_size), -(-4 * components_in // SHARD_BYTES))
+    audited = F.pmod(F.xxhash64(F.col("key"), F.lit("audit")), F.lit(max(1, total // audit))) == 0
     reps = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
-    reps = materialise(reps.withColumn("size", F.size("vector")), "distinct-vectors")
-    total = reps.count()
-    n_shards, n_groups = max(6, -(-total // shard_size)), max(1, -(-total // group_size))
-    spread = lambda name, n: F.pmod(F.xxhash64(F.col("key"), F.lit(name)), F.lit(n)).cast("int")
-    dealt = reps.withColumn("shard", F.struct(spread("shard", n_shards).alias("number"), "size"))
-    shard_type = "struct<number:int,size:int>"
-    index = dealt.groupBy("shard").applyInArrow(_build, f"shard {shard_type}, ids array<long>, copies array<long>, vectors binary, graph binary")
-    index = materialise(index, "graphs")
-    numbers = F.array([F.lit(i) for i in range(n_groups)])
-    graphs = index.withColumn("group", F.explode(numbers))
-    grain = max(1, total // audit)
-    asking = reps.select(
-        "rep", "vector", spread("group", n_groups).alias("group"), (spread("audit", grain) == 0).alias("audit"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("number"), "size",
-    ).withColumn("shard", F.struct("number", "size"))
-    pairs = asking.groupBy("shard", "group").cogroup(graphs.groupBy("shard", "group"))
+    dealt = reps.select("rep", "vector", "copies", audited.alias("audit"), F.size("vector").alias("size")).repartition(n_shards)
+    folder = scratch_path(spark, "graphs")
+    fs, root = file_system(folder)
+    fs.create_dir(root, recursive=True)
+    index = materialise(dealt.sortWithinPartitions("size", "rep").mapInArrow(_build(folder, 2 * shard_size), INDEX), "graphs")
+    slices = F.ceil(F.col("n") / F.lit(group_size))
+    step = F.ceil(F.col("n") / slices)
+    asking = index.select(F.struct("*").alias("source"), "size", "n", step.alias("step")).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("step"))))
+    units = index.select(F.struct("*").alias("target"), "size").join(asking, "size").select("target", "source", "first", F.least(F.col("first") + F.col("step"), F.col("n")).alias("last"))
+    units = materialise(units, "searches")
+    n_units = units.count()
+    n_tasks = max(min(n_units, 2 * spark.sparkContext.defaultParallelism), -(-n_units // TURNS), 1)
+    units = units.repartitionByRange(n_tasks, "target.name", "source.name", "first").sortWithinPartitions("target.name", "source.name", "first")
     while True:
-        found = materialise(pairs.applyInArrow(_seek(least, beam), "kind int, a long, b long, exact long"), "near-vectors")
+        found = materialise(units.mapInArrow(_seek(folder, least, beam), "kind int, a long, b long, exact long"), "near-vectors")
         seen, true = found.where("exact >= 0").agg(F.sum("b"), F.sum("exact")).first()
         if not true or seen >= recall * true or beam >= shard_size:
             break
         beam *= 2
     linked = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     reach = components(found.where("kind = 1").select("a", "b"), "vector-components")
-    nodes = reps.select("key", "rep", "copies").join(linked, "rep", "left").join(reach, F.col("rep") == F.col("node"), "left")
+    nodes = distinct.select("key", "rep", "copies").join(linked, "rep", "left").join(reach, F.col("rep") == F.col("node"), "left")
     nodes = nodes.select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = keyed.select("vec_id", "key").join(nodes, "key", "left")
+    out = keys.select("vec_id", "key").join(nodes, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

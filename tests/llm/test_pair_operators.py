@@ -1,10 +1,13 @@
 """Top-k search, near vectors, similar documents, components and the archive audit against brute force."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import components, hnsw, jaccard, token_files, topk, warc
-from folioscope.plans.scale import scratch_path
+from folioscope.plans.scale import materialise, scratch_path
 
 
 def roots(nodes, pairs):
@@ -76,6 +79,51 @@ def test_near_vectors(spark):
     assert hnsw.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_keep_graphs_and_vectors_out_of_stored_rows(spark, monkeypatch):
+    """Small shards and slices, mixed dimensions, a group wider than any beam: the rows that Spark stores are narrow, and the result is exact."""
+    draw = np.random.default_rng(7)
+    centre = draw.normal(size=16)
+    vectors = [centre + 0.05 * draw.normal(size=16) for _ in range(260)] + [draw.normal(size=16) for _ in range(240)]
+    vectors += [v + 0.01 * draw.normal(size=16) for v in vectors[260:300]] + [vectors[300]] * 3 + [draw.normal(size=5) for _ in range(30)]
+    vectors = [v.astype(np.float32) for v in vectors]
+    stored = []
+    monkeypatch.setattr(hnsw, "materialise", lambda df, name: stored.append(materialise(df, name)) or stored[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_vectors(df, shard_size=64, group_size=20).collect()}
+    unit = [v.astype(float) / np.linalg.norm(v.astype(float)) for v in vectors]
+    pairs = [(a, b) for a in range(len(unit)) for b in range(a) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    root, links = roots(range(len(unit)), pairs), Counter(x for pair in pairs for x in pair)
+    assert got == {i: (links[i], root[i]) for i in range(len(unit))}
+    assert stored
+    for df in stored:
+        width = df.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0]
+        assert (width or 0) < 1000, df.columns
+
+
+def test_beam_search_in_parts(monkeypatch):
+    draw = np.random.default_rng(8)
+    points = draw.normal(size=(300, 8)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    graph = hnsw.Graph(points)
+    ids, sims = graph.search(points[:50], 12)
+    monkeypatch.setattr(hnsw, "SEEN", 2 * len(points))
+    in_parts = graph.search(points[:50], 12)
+    assert (in_parts[0] == ids).all() and np.allclose(in_parts[1], sims)
+    best = np.sort(points[:50] @ points.T, axis=1)[:, ::-1][:, :12]
+    assert np.mean(np.isclose(sims, best, atol=1e-5)) > 0.95
+
+
+def test_thinned_edges_join_the_same_nodes():
+    draw = np.random.default_rng(9)
+    for n_pairs in (1, 10, 60, 400):
+        q = np.sort(draw.choice(np.arange(5, 45), n_pairs))
+        p = draw.integers(0, 90, n_pairs)
+        of, to, left, right = hnsw.thinned(q, p, 90)
+        edges = [(int(a), 100 + int(b)) for a, b in zip(of, to)] + [(int(a), int(b)) for a, b in zip(left, right)]
+        assert roots(range(200), edges) == roots(range(200), [(int(a), 100 + int(b)) for a, b in zip(q, p)])
+        assert len(of) == len(set(p.tolist()))
+
+
 def word_sets(rows, n):
     sets = {}
     for doc, text in rows:
