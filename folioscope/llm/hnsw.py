@@ -53,6 +53,14 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def _points(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision."""
+    points = np.empty(vectors.shape, np.float32)
+    for i in range(0, len(vectors), ROWS):
+        points[i : i + ROWS] = _unit(vectors[i : i + ROWS].astype(float))
+    return points
+
+
 def _fresh(ids: np.ndarray) -> np.ndarray:
     """Marks the first of each value in every row; -1 never."""
     order = np.argsort(ids, axis=1, kind="stable")
@@ -134,16 +142,17 @@ def diverse(points: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) ->
     return np.take_along_axis(ids, order, axis=1)
 
 
+def drawn(n: int, seed: int = 0) -> tuple[np.ndarray, list[int]]:
+    """The order in which ``n`` points enter a graph, and the points of each layer, which are the first so many."""
+    levels = np.floor(np.random.default_rng(seed).exponential(1 / np.log(DEGREE), n)).astype(int)
+    return np.argsort(-levels, kind="stable"), [int((levels >= k).sum()) for k in range(int(levels.max(initial=0)) + 1)]
+
+
 class Graph:
-    """Layers over points in random order; the points of each layer are the first so many."""
-
-    def __init__(self, points: np.ndarray, seed: int = 0):
-        n = len(points)
-        levels = np.floor(np.random.default_rng(seed).exponential(1 / np.log(DEGREE), n)).astype(int)
-        self.order = np.argsort(-levels, kind="stable")
-        self.points = points[self.order]
-        levels = levels[self.order]
-        self.sizes = [int((levels >= k).sum()) for k in range(int(levels.max(initial=0)) + 1)]
+    """Layers over points in the order drawn; the points of each layer are the first so many."""
+
+    def __init__(self, points: np.ndarray, sizes: list[int]):
+        n, self.points, self.sizes = len(points), points, sizes
         self.layers = [np.full((size, DEGREE * (2 if k == 0 else 1)), -1, np.int32) for k, size in enumerate(self.sizes)]
         self.filled = 0
         while self.filled < n:
@@ -222,18 +231,18 @@ class Shard:
         self.fs, self.path, self.row = fs, f"{root}/{row['name']}", row
 
     @classmethod
-    def write(cls, fs: FileSystem, root: str, vectors: np.ndarray, ids: np.ndarray, copies: np.ndarray, audit: np.ndarray) -> dict:
-        points = np.concatenate([_unit(vectors[i : i + ROWS].astype(float)).astype(np.float32) for i in range(0, len(vectors), ROWS)])
-        graph = Graph(points)
-        row = {"name": uuid.uuid4().hex, "size": vectors.shape[1], "width": vectors.itemsize, "n": len(vectors), "layers": graph.sizes}
+    def write(cls, fs: FileSystem, root: str, vectors: np.ndarray, ids: np.ndarray, copies: np.ndarray, audit: np.ndarray, sizes: list[int]) -> dict:
+        """Build the graph of rows that stand in the order drawn and write it; return its row."""
+        graph = Graph(_points(vectors), sizes)
+        row = {"name": uuid.uuid4().hex, "size": vectors.shape[1], "width": vectors.itemsize, "n": len(vectors), "layers": sizes}
         with fs.open_output_stream(f"{root}/{row['name']}") as file:
-            file.write(ids[graph.order].astype("<i8").tobytes())
-            file.write(copies[graph.order].astype("<i8").tobytes())
+            file.write(ids.astype("<i8").tobytes())
+            file.write(copies.astype("<i8").tobytes())
             for i in range(0, len(vectors), ROWS):
-                file.write(vectors[graph.order[i : i + ROWS]].astype(f"<f{vectors.itemsize}").tobytes())
+                file.write(vectors[i : i + ROWS].astype(f"<f{vectors.itemsize}").tobytes())
             for links in graph.layers:
                 file.write(links.astype("<i4").tobytes())
-            file.write(audit[graph.order].astype("u1").tobytes())
+            file.write(audit.astype("u1").tobytes())
         return row
 
     def ids(self, first: int, last: int) -> np.ndarray:
@@ -257,9 +266,7 @@ class Shard:
         for k, points in enumerate(graph.sizes):
             graph.layers.append(_array(self.fs, self.path, "<i4", at, _links(k, points)).reshape(points, -1))
             at += 4 * _links(k, points)
-        vectors, graph.points = self.vectors(0, n), np.empty((n, size), np.float32)
-        for i in range(0, n, ROWS):
-            graph.points[i : i + ROWS] = _unit(vectors[i : i + ROWS].astype(float))
+        graph.points = _points(self.vectors(0, n))
         return graph
 
 
@@ -333,10 +340,16 @@ def _build(folder: str, most: int):
         held: list[pa.RecordBatch] = []
 
         def done() -> pa.RecordBatch:
-            vectors = np.concatenate([x.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1) for x in held])
-            ids, copies, audit = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("rep", "copies", "audit"))
+            order, layers = drawn(sum(x.num_rows for x in held))
+            ids, copies, audit = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held])[order] for c in ("rep", "copies", "audit"))
+            place, vectors, at = np.argsort(order), None, 0
+            for x in held:
+                values = x.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1)
+                vectors = np.empty((len(order), values.shape[1]), values.dtype) if vectors is None else vectors
+                vectors[place[at : at + x.num_rows]] = values
+                at += x.num_rows
             held.clear()
-            row = Shard.write(fs, root, vectors, ids, copies, audit)
+            row = Shard.write(fs, root, vectors, ids, copies, audit, layers)
             return pa.RecordBatch.from_pylist([row], pa.schema([("name", pa.string()), ("size", pa.int32()), ("width", pa.int32()), ("n", pa.int64()), ("layers", pa.list_(pa.int32()))]))
 
         for batch in batches:
@@ -353,9 +366,9 @@ def _build(folder: str, most: int):
     return run
 
 
-def _linked(shard: Shard, graph: Graph, source: Shard, first: int, last: int, least: float, beam: int) -> pa.RecordBatch:
-    """Link counts of a slice of ``source`` in ``shard``, the true counts of its audited vectors (-1: not audited), and a forest."""
-    names, ids, copies, vectors = source.ids(first, last), shard.ids(0, shard.row["n"]), shard.copies(), shard.vectors(0, shard.row["n"])
+def _linked(graph: Graph, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, source: Shard, first: int, last: int, least: float, beam: int) -> pa.RecordBatch:
+    """Link counts of a slice of ``source`` in a shard, the true counts of its audited vectors (-1: not audited), and a forest."""
+    names = source.ids(first, last)
     exact = _unit(source.vectors(first, last).astype(float))
     queries = exact.astype(np.float32)
 
@@ -402,14 +415,14 @@ def _linked(shard: Shard, graph: Graph, source: Shard, first: int, last: int, le
 def _seek(folder: str, least: float, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
-        shard, graph = None, None
+        name, shard = None, ()
         for batch in batches:
             for row in batch.to_pylist():
-                if shard is None or shard.row["name"] != row["target"]["name"]:
-                    graph = None
-                    shard = Shard(fs, root, row["target"])
-                    graph = shard.graph()
-                yield _linked(shard, graph, Shard(fs, root, row["source"]), row["first"], row["last"], least, beam)
+                if name != row["target"]["name"]:
+                    shard, target = (), Shard(fs, root, row["target"])
+                    name, n = target.row["name"], target.row["n"]
+                    shard = target.graph(), target.ids(0, n), target.copies(), target.vectors(0, n)
+                yield _linked(*shard, Shard(fs, root, row["source"]), row["first"], row["last"], least, beam)
 
     return run
 

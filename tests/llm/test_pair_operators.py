@@ -104,7 +104,7 @@ def test_beam_search_in_parts(monkeypatch):
     draw = np.random.default_rng(8)
     points = draw.normal(size=(300, 8)).astype(np.float32)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    graph = hnsw.Graph(points)
+    graph = hnsw.Graph(points, hnsw.drawn(len(points))[1])
     ids, sims = graph.search(points[:50], 12)
     monkeypatch.setattr(hnsw, "SEEN", 2 * len(points))
     in_parts = graph.search(points[:50], 12)
